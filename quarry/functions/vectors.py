@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import col_of
 
 __all__ = ["l2_normalise", "inner_product", "dim", "TOKEN_PATTERN",
-           "hashed_terms", "DEFAULT_BUCKETS"]
+           "sorted_buckets", "runs", "run_lengths", "l2_norm", "scale", "DEFAULT_BUCKETS"]
 
 # Fixed values of the default encoder: a token is a run of letters, marks
 # and digits of the lower-cased text; 4096 hash buckets.
@@ -34,31 +34,46 @@ def dim(v) -> Column:
     return F.size(col_of(v))
 
 
-def hashed_terms(text, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Sparse unit vector of a text as ``struct(buckets array<int>,
-    weights array<double>)``: term frequencies per md5 bucket of each token,
-    divided by their L2 norm.  Computed inside the row (sort the bucket ids,
-    then read off the runs), so encoding needs no shuffle at all."""
+def sorted_buckets(text, buckets: int = DEFAULT_BUCKETS) -> Column:
+    """Bucket id of every token of the lower-cased text, sorted (natural
+    order, so the sort is code-generated rather than a comparator lambda)."""
     t = F.lower(F.coalesce(col_of(text), F.lit("")))
     toks = F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
-    b = F.array_sort(F.transform(
+    return F.sort_array(F.transform(
         toks, lambda tok: (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long")
                            % F.lit(buckets)).cast("int")))
-    return _runs(b)
 
 
-def _runs(b: Column) -> Column:
+def runs(b) -> Column:
+    """Runs of a sorted array: ``array<struct<v, pos>>`` with the value and
+    1-based start of each run.  Lambdas here read only their own arguments,
+    so however the optimizer inlines, every step stays linear in the row."""
+    b = col_of(b)
     n = F.size(b)
-    # 1-based positions where a new bucket id starts.
-    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.filter(F.sequence(F.lit(1), n),
-                 lambda i: F.when(i == 1, F.lit(True))
-                 .otherwise(F.element_at(b, i) != F.element_at(b, F.greatest(i - 1, F.lit(1))))))
-    m = F.size(starts)
-    tfs = F.transform(starts, lambda s, j: F.when(j + 1 < m, F.element_at(starts, F.least(j + 2, m)))
-                      .otherwise(n + 1) - s)
-    norm = F.sqrt(F.aggregate(tfs, F.lit(0).cast("long"),
-                              lambda acc, x: acc + x.cast("long") * x.cast("long")).cast("double"))
-    ids = F.transform(starts, lambda s: F.element_at(b, s))
-    weights = F.transform(tfs, lambda x: x.cast("double") / norm)
-    return F.struct(ids.alias("buckets"), weights.alias("weights"))
+    prev = F.concat(F.array(F.lit(-1)), F.slice(b, 1, F.greatest(n - 1, F.lit(0))))
+    flagged = F.zip_with(b, prev, lambda x, p: F.struct(x.alias("v"), (x != p).alias("new")))
+    numbered = F.transform(flagged, lambda s, i: F.struct(s["v"].alias("v"), s["new"].alias("new"),
+                                                          (i + 1).alias("pos")))
+    return F.filter(numbered, lambda s: s["new"])
+
+
+def run_lengths(starts, n) -> Column:
+    """Run lengths from the run starts and the array length ``n``."""
+    pos = F.transform(col_of(starts), lambda s: s["pos"])
+    m = F.size(pos)
+    nxt = F.concat(F.slice(pos, 2, F.greatest(m - 1, F.lit(0))), F.array(col_of(n) + 1))
+    return F.when(m == 0, F.array().cast("array<int>")).otherwise(
+        F.zip_with(nxt, pos, lambda q, p: q - p))
+
+
+def l2_norm(v) -> Column:
+    return F.sqrt(F.aggregate(col_of(v), F.lit(0.0).cast("double"),
+                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def scale(v, by) -> Column:
+    """Each element divided by ``by``, passed in as an array so that ``by``
+    is evaluated once per row, not once per element."""
+    v = col_of(v)
+    return F.zip_with(v, F.array_repeat(col_of(by), F.size(v)),
+                      lambda x, d: x.cast("double") / d)

@@ -7,22 +7,91 @@ L2-normalised in the same pass.
 """
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import DEFAULT_BUCKETS, hashed_terms, l2_normalise
+from quarry.functions.vectors import DEFAULT_BUCKETS, TOKEN_PATTERN, l2_normalise
+
+
+def tokens(text):
+    """Tokens of the lower-cased text (JVM side)."""
+    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
+
+
+def bucket_of(token: str, buckets: int) -> int:
+    """First 32 bits of the token's md5 (UTF-8), modulo the bucket count."""
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % buckets
+
+
+def token_buckets_arrow(arr: pa.Array, buckets: int) -> pa.Array:
+    """list<string> tokens -> list<int> bucket ids; each distinct token of
+    the batch is hashed once (dictionary encoding in Arrow)."""
+    flat = arr.flatten()
+    enc = pc.dictionary_encode(flat)
+    table = np.fromiter((bucket_of(t, buckets) for t in enc.dictionary.to_pylist()),
+                        dtype=np.int32, count=len(enc.dictionary))
+    ids = table[np.asarray(enc.indices, dtype=np.int64)] if len(flat) else np.zeros(0, np.int32)
+    offsets = np.r_[0, np.cumsum(np.asarray(arr.value_lengths().fill_null(0), dtype=np.int64))]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+def term_vectors_arrow(batch: pa.RecordBatch, col: str) -> pa.RecordBatch:
+    """Per row: count equal bucket ids and divide the counts by their L2 norm.
+    Vectorised over the whole Arrow batch (one lexsort, no per-row Python)."""
+    arr = batch.column(col)
+    n_rows = batch.num_rows
+    lengths = np.asarray(arr.value_lengths().fill_null(0), dtype=np.int64)
+    flat = np.asarray(arr.flatten(), dtype=np.int64)
+    row = np.repeat(np.arange(n_rows, dtype=np.int64), lengths)
+    order = np.lexsort((flat, row))
+    flat, row = flat[order], row[order]
+    if len(flat):
+        new = np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]
+        starts = np.flatnonzero(new)
+        tf = np.diff(np.r_[starts, len(flat)]).astype(np.float64)
+        ids = flat[starts].astype(np.int32)
+        run_row = row[starts]
+        per_row = np.bincount(run_row, minlength=n_rows).astype(np.int64)
+        sq = np.bincount(run_row, weights=tf * tf, minlength=n_rows)
+        w = tf / np.sqrt(sq)[run_row]
+    else:
+        ids, w, per_row = np.zeros(0, np.int32), np.zeros(0), np.zeros(n_rows, np.int64)
+    offsets = pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32))
+    cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != col]
+    names = [nm for nm in batch.schema.names if nm != col]
+    cols += [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
+             pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))]
+    return pa.RecordBatch.from_arrays(cols, names=names + ["buckets", "weights"])
 
 
 def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Sparse unit vectors ``buckets array<int>, weights array<double>``."""
-    keep = [c for c in (keep if keep is not None else df.columns) if c not in ("buckets", "weights")]
-    return df.select(*keep, hashed_terms(text_col, buckets).alias("_v")).select(
-        *keep, "_v.buckets", "_v.weights")
+    """Sparse unit vectors ``buckets array<int>, weights array<double>``.
+    Tokenising and hashing run in the JVM; counting equal ids and the L2
+    division run on whole Arrow batches in numpy.  A narrow transformation:
+    no shuffle, whatever the size of a document."""
+    keep = [c for c in (keep if keep is not None else df.columns)
+            if c not in ("buckets", "weights", "_tb")]
+    src = df.select(*keep, tokens(text_col).alias("_tb"))
+    fields = [f for f in src.schema.fields if f.name != "_tb"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = (schema + ", " if schema else "") + "buckets array<int>, weights array<double>"
+
+    def run(batches):
+        for b in batches:
+            i = b.schema.get_field_index("_tb")
+            b = b.set_column(i, "_tb", token_buckets_arrow(b.column(i), buckets))
+            yield term_vectors_arrow(b, "_tb")
+
+    return src.mapInArrow(run, schema)
 
 
 def sparse_long(vectors: DataFrame, keys) -> DataFrame:

@@ -35,8 +35,8 @@ def hashed_vectors_check(spark, sf):
 
 
 @register("l2_normalise", """
-WITH s AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE) * (vec_id % 7)) AS v FROM embeddings),
-n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM s),
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 7)) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s),
 e AS (SELECT vec_id, v, norm, unnest(range(len(v))) AS pos FROM n)
 SELECT vec_id, CAST(pos AS BIGINT) AS pos,
        CASE WHEN v[pos + 1] = 0 THEN 0.0
