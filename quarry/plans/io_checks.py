@@ -1 +1,91 @@
-"""Sources, sinks and streams (filled below)."""
+"""Sources, sinks and streams: round trips through the shared checkpoint
+folder (``spark.checkpoint.dir``), read back by the returned DataFrame."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators.retrieve import attach_passages, retrieve
+from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS
+from quarry.plans.registry import register, table
+from quarry.plans.search_checks import TEXT_HITS_SQL, TEXT_K, TEXT_MIN, passages
+from quarry.session import scratch_path
+from quarry.sources import tables as TB
+from quarry.sources.documents import read_text_files
+from quarry.streaming.streams import answer_stream, chunk_stream, file_stream
+
+SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
+def _typed(df):
+    return df.select(F.col("s_suppkey").cast("long"), "s_name", F.col("s_nationkey").cast("int"),
+                     F.col("s_acctbal").cast("double"))
+
+
+@register("table_roundtrip", " UNION ALL ".join(
+    f"SELECT '{fmt}' AS fmt, s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+    for fmt in ("csv", "json", "parquet", "table")))
+def table_roundtrip(spark, sf):
+    src = table(spark, sf, "supplier").select(*SUPPLIER_COLS)
+    base = scratch_path(spark, "roundtrip")
+    TB.write_csv(src, f"{base}/csv")
+    TB.write_json(src, f"{base}/json")
+    TB.write_parquet(src, f"{base}/parquet")
+    db = "quarry_roundtrip"
+    TB.create_database(spark, db, f"{base}/warehouse")
+    name = f"{db}.supplier_{base.rsplit('-', 1)[-1]}"
+    TB.write_table(src, name, "parquet", path=f"{base}/table")
+    csv = _typed(TB.read_csv_strings(spark, f"{base}/csv", SUPPLIER_COLS))
+    js = _typed(spark.read.schema(src.schema).json(f"{base}/json"))
+    pq = TB.read_parquet(spark, f"{base}/parquet")
+    tb = TB.read_table(spark, name).select(*SUPPLIER_COLS)
+    parts = [d.select(F.lit(f).alias("fmt"), *SUPPLIER_COLS) for f, d in
+             (("csv", csv), ("json", js), ("parquet", pq), ("table", tb))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("text_scan", """
+SELECT doc_id, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS text FROM documents
+""")
+def text_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    base = scratch_path(spark, "texts")
+    docs.write.mode("overwrite").partitionBy("doc_id").text(base)
+    back = read_text_files(spark, base)
+    # The text writer ends each record with one \n: drop exactly that one.
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+@register("stream_chunks", f"SELECT doc_id, section_id, chunk_id, chunk_index, text FROM {DOC_CHUNKS_SQL}")
+def stream_chunks(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    base = scratch_path(spark, "stream-chunks")
+    docs = file_stream(spark, sf, schema, glob="documents.parquet")
+    q = chunk_stream(docs, f"{base}/sink", f"{base}/checkpoint", DOC_TOKENS, DOC_OVERLAP)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink").withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@register("stream_answers", f"""
+SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score
+FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
+""")
+def stream_answers(spark, sf):
+    schema = table(spark, sf, "benchmark").schema
+    base = scratch_path(spark, "stream-answers")
+    pas = passages(spark, sf)
+
+    def rank(batch):
+        q = batch.select("item_id", F.col("text").alias("question"))
+        hits = retrieve(q, pas, TEXT_K, TEXT_MIN, question_id="item_id", question_text="question",
+                        passage_id="chunk_id")
+        return attach_passages(hits, pas, "chunk_id", columns=("doc_id",)).select(
+            F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+            F.col("hit_id").alias("chunk_id"), "doc_id", "score")
+
+    qs = file_stream(spark, sf, schema, glob="benchmark.parquet")
+    answer_stream(qs, rank, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/sink").drop("batch_id")
