@@ -72,15 +72,55 @@ def term_vectors_arrow(batch: pa.RecordBatch, col: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=names + ["buckets", "weights"])
 
 
+_TOKEN_RE = None
+_BUCKET_MEMO: dict = {}
+
+
+def text_buckets_arrow(arr: pa.Array, buckets: int) -> pa.Array:
+    """string texts -> list<int> bucket id per token.  Lower-casing and the
+    token pattern run per text in C (``str.lower``, ``regex``); each distinct
+    token of the batch is hashed once (Arrow dictionary encoding, plus a
+    bounded memo per worker)."""
+    global _TOKEN_RE
+    if _TOKEN_RE is None:
+        import regex
+        _TOKEN_RE = regex.compile(TOKEN_PATTERN)
+    find = _TOKEN_RE.findall
+    per_row = [find(t.lower()) if t else [] for t in arr.to_pylist()]
+    lengths = np.fromiter(map(len, per_row), dtype=np.int64, count=len(per_row))
+    flat = pa.array([t for row in per_row for t in row], pa.string())
+    if len(flat):
+        enc = pc.dictionary_encode(flat)
+        if len(_BUCKET_MEMO) > 2_000_000:
+            _BUCKET_MEMO.clear()
+        table = np.fromiter((_memo_bucket(t, buckets) for t in enc.dictionary.to_pylist()),
+                            dtype=np.int32, count=len(enc.dictionary))
+        ids = table[np.asarray(enc.indices, dtype=np.int64)]
+    else:
+        ids = np.zeros(0, np.int32)
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+
+
+def _memo_bucket(token: str, buckets: int) -> int:
+    key = (token, buckets)
+    b = _BUCKET_MEMO.get(key)
+    if b is None:
+        b = _BUCKET_MEMO[key] = bucket_of(token, buckets)
+    return b
+
+
 def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Sparse unit vectors ``buckets array<int>, weights array<double>``.
-    Tokenising and hashing run in the JVM; counting equal ids and the L2
-    division run on whole Arrow batches in numpy.  A narrow transformation:
-    no shuffle, whatever the size of a document."""
+
+    One ``mapInArrow`` pass over Arrow batches of (keep..., text): tokens are
+    found and hashed per batch, equal ids counted and L2-divided with numpy
+    over the whole batch.  A narrow transformation: no shuffle, whatever the
+    size of a document; texts never leave their partition."""
     keep = [c for c in (keep if keep is not None else df.columns)
             if c not in ("buckets", "weights", "_tb")]
-    src = df.select(*keep, tokens(text_col).alias("_tb"))
+    src = df.select(*keep, F.col(text_col).cast("string").alias("_tb"))
     fields = [f for f in src.schema.fields if f.name != "_tb"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema = (schema + ", " if schema else "") + "buckets array<int>, weights array<double>"
@@ -88,7 +128,7 @@ def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index("_tb")
-            b = b.set_column(i, "_tb", token_buckets_arrow(b.column(i), buckets))
+            b = b.set_column(i, "_tb", text_buckets_arrow(b.column(i), buckets))
             yield term_vectors_arrow(b, "_tb")
 
     return src.mapInArrow(run, schema)

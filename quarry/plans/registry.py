@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.plans import sql as S  # noqa: F401
 from quarry.session import ship_package
+from quarry.sources.tables import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,11 +31,9 @@ def register(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Importing the modules fills the registry.
-from quarry.plans import corpus_checks  # noqa: E402,F401
-from quarry.plans import search_checks  # noqa: E402,F401
-from quarry.plans import answer_checks  # noqa: E402,F401
-from quarry.plans import io_checks  # noqa: E402,F401
+def load_all() -> None:
+    """Import every check module, which fills the registry."""
+    from quarry.plans import answer_checks, corpus_checks, io_checks, search_checks  # noqa: F401

@@ -9,6 +9,7 @@ scan.  Sinks overwrite; the format of managed tables is a parameter
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +49,30 @@ def read_question_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("items").alias("item_ord", "item")).select("item_ord", "item.*")
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, spread_bytes: int | None = 4 << 20) -> DataFrame:
+    df = spark.read.parquet(path)
+    return spread(df, spread_bytes) if spread_bytes else df
+
+
+def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+    """Spread a scan over all cores when its input has fewer splits than
+    cores although it is large (e.g. one big parquet row group, which one
+    task must read alone).  Inputs that already split into enough tasks, as
+    any large data set does, are returned unchanged: no shuffle is added."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = 0
+    for f in df.inputFiles():
+        local = f[len("file:"):] if f.startswith("file:") else (f if f.startswith("/") else None)
+        if local is None:
+            return df
+        try:
+            size += os.path.getsize(local)
+        except OSError:
+            return df
+    return df.repartition(cores) if size >= min_bytes else df
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
