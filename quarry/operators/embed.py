@@ -176,3 +176,14 @@ def embed(df: DataFrame, encoder_factory: Callable[[], Callable[[list], np.ndarr
             yield out
 
     return df.mapInPandas(run, schema)
+
+
+def build_vector_set(passages: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
+                     encoder_factory=None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Vectors of a passage table (default encoder: hashed terms; else a
+    model through :func:`embed`).  An empty passage table cannot be indexed."""
+    if passages.isEmpty():
+        raise ValueError("passage table is empty; nothing to index")
+    if encoder_factory is None:
+        return hashed_vectors(passages, text_col, keep=[id_col], buckets=buckets)
+    return embed(passages, encoder_factory, text_col, keep=[id_col])

@@ -14,6 +14,7 @@ from quarry.plans import callables
 from quarry.plans import sql as S
 from quarry.plans.corpus_checks import DOC_CHUNKS_SQL
 from quarry.plans.registry import register, table
+from quarry.session import materialize
 from quarry.plans.search_checks import KNN_K, TEXT_HITS_SQL, dense_knn, passages, text_hits
 
 L = S.sql_str
@@ -205,7 +206,7 @@ def passage_eval(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     exp = (containing(q, docs, "item_id", "question", "doc_id", "text")
            .groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_section")))
-    hits = attach_passages(text_hits(spark, sf), passages(spark, sf), "chunk_id")
+    hits = materialize(attach_passages(text_hits(spark, sf), passages(spark, sf), "chunk_id"))
     p = prompts(q.join(exp, "item_id"), hits, "item_id", "question")
     ans = generate(p, callables.cite_first_block, "prompt", cache_key="cite_first_block")
     rows = hit_flags(ans.select("item_id", "question", "expected_section", "answer"),

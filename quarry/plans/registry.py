@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans import sql as S  # noqa: F401
-from quarry.session import ship_package
+from quarry.session import ensure_checkpoint_dir, ship_package
 from quarry.sources.tables import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,7 @@ def register(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    ensure_checkpoint_dir(spark)
     return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

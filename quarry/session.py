@@ -79,3 +79,11 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def materialize(df):
+    """Cut lineage of a small intermediate result that is read more than
+    once: a reliable checkpoint into the shared checkpoint folder (it
+    survives the loss of executors, unlike a cache or a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
