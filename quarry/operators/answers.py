@@ -89,8 +89,8 @@ def answer(questions: DataFrame, passages: DataFrame,
     """One record per question: ``question_id, question, answer, citations,
     schemes, latency_ms`` (schemes empty when no catalogue is given)."""
     hits = retrieve(questions, passages, k, min_score, question_id=question_id,
-                    question_text=question_text, passage_id=passage_id, **search_kw)
-    hits = attach_passages(hits, passages, passage_id)
+                    question_text=question_text, passage_id=passage_id,
+                    attach=["section_id", "title", "text"], **search_kw)
     p = prompts(questions.select(question_id, question_text), hits, question_id, question_text)
     out = generate(p, model_factory, "prompt", system_prompt)
     empty_cites = F.array().cast(out.schema["citations"].dataType)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators.embed import hashed_vectors
-from quarry.operators.search import search
+from quarry.operators.search import search_bounded
 
 # Defaults of the reference.
 TOP_K = 5
@@ -35,45 +35,75 @@ def keep_min_score(hits: DataFrame, k: int, min_score: float, fallback: bool = T
     return hits.filter(cond)
 
 
+# Hits known to be at most this many rows are broadcast to the passage table
+# when their metadata is attached (the passage table is then never shuffled).
+BROADCAST_HITS = 2_000_000
+
+
 def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_id: str,
                 question_text: str, passage_id: str, passage_vectors: bool = False,
-                passage_text: str = "text", dedupe: bool = True, **search_kw) -> DataFrame:
-    """Top-k of texts against passages with the default (sparse) encoder.
-    ``dedupe`` scores each distinct question text once and joins the hits
-    back to every question that asked it."""
+                passage_text: str = "text", dedupe: bool = True, min_score: float | None = None,
+                fallback: bool = True, attach=None, meta: DataFrame | None = None,
+                **search_kw) -> DataFrame:
+    """Top-k of texts against passages with the default (sparse) encoder:
+    ``query_id, hit_id, score, rank`` plus the ``attach`` columns of ``meta``
+    (default: the passages).  ``dedupe`` scores each distinct question text
+    once; the minimum-score rule and the metadata join run on those distinct
+    hits (at most k per text, a proven bound, so they are broadcast to the
+    passage table), and only then are hits fanned out to every question
+    that asked the text."""
     q = non_blank(questions, question_text)
     pv = passages if passage_vectors else hashed_vectors(
         passages.select(passage_id, passage_text), passage_text, keep=[passage_id])
+    meta = passages if meta is None else meta
+    attach = [c for c in (attach or []) if c in meta.columns and c != passage_id]
+
+    def finish(hits, bound):
+        if min_score is not None:
+            hits = keep_min_score(hits, k, min_score, fallback)
+        if attach:
+            hits = attach_passages(hits, meta, passage_id, attach, bound=bound, fill_title=False)
+        return hits
+
     if dedupe:
         distinct = q.select(F.col(question_text).alias("_qtext")).distinct()
         qv = hashed_vectors(distinct, "_qtext", keep=["_qtext"])
-        hits = search(qv, pv, k, kind="sparse", question_id="_qtext", corpus_id=passage_id,
-                      **search_kw)
+        hits, bound = search_bounded(qv, pv, k, kind="sparse", question_id="_qtext",
+                                     corpus_id=passage_id, **search_kw)
+        hits = finish(hits, bound)
         return (q.select(question_id, F.col(question_text).alias("_qtext"))
                 .join(hits.withColumnRenamed("query_id", "_qtext"), "_qtext")
-                .select(F.col(question_id).alias("query_id"), "hit_id", "score", "rank"))
+                .select(F.col(question_id).alias("query_id"), "hit_id", "score", "rank", *attach))
     qv = hashed_vectors(q.select(question_id, question_text), question_text, keep=[question_id])
-    return search(qv, pv, k, kind="sparse", question_id=question_id, corpus_id=passage_id,
-                  **search_kw)
+    return finish(*search_bounded(qv, pv, k, kind="sparse", question_id=question_id,
+                                  corpus_id=passage_id, **search_kw))
 
 
 def retrieve(questions: DataFrame, passages: DataFrame, k: int = TOP_K,
              min_score: float = MIN_SCORE, *, question_id: str = "query_id",
              question_text: str = "question", passage_id: str = "chunk_id",
-             **kw) -> DataFrame:
-    """Passages per question: ``query_id, rank, hit_id, score``."""
-    hits = text_search(questions, passages, k, question_id=question_id,
-                       question_text=question_text, passage_id=passage_id, **kw)
-    return keep_min_score(hits, k, min_score, fallback=True)
+             attach=None, **kw) -> DataFrame:
+    """Passages per question: ``query_id, rank, hit_id, score`` plus the
+    passage columns named in ``attach`` (a missing title becomes '')."""
+    hits = text_search(questions, passages, k, question_id=question_id, question_text=question_text,
+                       passage_id=passage_id, min_score=min_score, fallback=True, attach=attach, **kw)
+    if "title" in hits.columns:
+        hits = hits.withColumn("title", F.coalesce("title", F.lit("")))
+    return hits
 
 
 def attach_passages(hits: DataFrame, passages: DataFrame, passage_id: str = "chunk_id",
-                    columns=("section_id", "title", "text")) -> DataFrame:
-    """Join passage metadata to ranked hits (a missing title becomes '')."""
+                    columns=("section_id", "title", "text"), bound: int | None = None,
+                    fill_title: bool = True) -> DataFrame:
+    """Join passage metadata to ranked hits (a missing title becomes '').
+    With a proven ``bound`` on the hit rows under ``BROADCAST_HITS`` the hits
+    are broadcast, so the passage table is streamed, not shuffled; otherwise
+    Spark (and AQE, on measured sizes) chooses the join."""
     cols = [c for c in columns if c in passages.columns]
     meta = passages.select(F.col(passage_id).alias("hit_id"), *cols)
-    out = hits.join(meta, "hit_id")
-    if "title" in cols:
+    small = F.broadcast(hits) if bound is not None and bound <= BROADCAST_HITS else hits
+    out = small.join(meta, "hit_id")
+    if fill_title and "title" in cols:
         out = out.withColumn("title", F.coalesce("title", F.lit("")))
     return out
 
@@ -95,7 +125,8 @@ def match_catalogue(questions: DataFrame, catalogue: DataFrame, k: int = CATALOG
     ``query_id, rank, hit_id, score`` plus every catalogue column."""
     docs = catalogue.select(catalogue_id, catalogue_text(catalogue, name, description, eligibility)
                             .alias("_ctext"))
-    hits = text_search(questions, docs, k, question_id=question_id, question_text=question_text,
-                       passage_id=catalogue_id, passage_text="_ctext", **kw)
-    hits = keep_min_score(hits, k, min_score, fallback=False)
-    return hits.join(catalogue.withColumnRenamed(catalogue_id, "hit_id"), "hit_id")
+    cat_cols = [c for c in catalogue.columns if c != catalogue_id]
+    cat = catalogue.select(F.col(catalogue_id), *cat_cols)
+    return text_search(questions, docs, k, question_id=question_id, question_text=question_text,
+                       passage_id=catalogue_id, passage_text="_ctext", min_score=min_score,
+                       fallback=False, attach=cat_cols, meta=cat, **kw)

@@ -267,15 +267,12 @@ def _matrix_bytes(qpdf: pd.DataFrame, kind: str) -> int:
     return 8 * len(used) * len(qpdf)
 
 
-def search(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
-           question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
-           method: str = "auto", max_questions: int = 8192, max_bytes: int = 256 << 20,
-           corpus_block_rows: int = 200_000) -> DataFrame:
-    """Exact top-k: ``query_id, hit_id, score double (6 digits), rank int``.
-
-    ``questions`` and ``corpus`` carry an id column and the vector columns of
-    ``kind``.  ``method``: ``auto`` (broadcast when the checked question block
-    fits, else blocked), ``broadcast`` or ``blocked``."""
+def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
+                   question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
+                   method: str = "auto", max_questions: int = 8192, max_bytes: int = 64 << 20,
+                   corpus_block_rows: int | None = None):
+    """:func:`search`, also returning a proven upper bound on the number of
+    result rows (``k`` x the counted questions), or None when unknown."""
     if k < 1:
         raise ValueError("k must be at least 1")
     vcols = _vector_cols(kind)
@@ -289,11 +286,27 @@ def search(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "
         fits = len(qpdf) <= max_questions and _matrix_bytes(qpdf, kind) <= max_bytes
         if fits:
             cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema)
-            return _rank(cands, k)
+            return _rank(cands, k), k * len(qpdf)
         if method == "broadcast":
             raise ValueError("question block too large to broadcast; use method='blocked'")
     n_q = q.count()
-    n_c = c.count()
+    if corpus_block_rows is None:
+        # One corpus block per input split: bounded by the split size, and
+        # known from the plan without running the corpus pipeline.
+        n_c, corpus_block_rows = max(1, c.rdd.getNumPartitions()), 1
+    else:
+        n_c = c.count()
     cands = _blocked_plan(q, c, kind, k, exclude_self, schema, n_q, n_c, max_questions,
                           corpus_block_rows)
-    return _rank(cands, k)
+    return _rank(cands, k), k * n_q
+
+
+def search(questions: DataFrame, corpus: DataFrame, k: int = 5, **kw) -> DataFrame:
+    """Exact top-k: ``query_id, hit_id, score double (6 digits), rank int``.
+
+    ``questions`` and ``corpus`` carry an id column and the vector columns of
+    ``kind`` (``dense``: ``embedding``; ``sparse``: ``buckets, weights``).
+    ``method``: ``auto`` (broadcast when the checked question block fits,
+    else blocked), ``broadcast`` or ``blocked``.  Keywords as for
+    :func:`search_bounded`."""
+    return search_bounded(questions, corpus, k, **kw)[0]

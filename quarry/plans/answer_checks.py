@@ -43,7 +43,7 @@ SELECT b.item_id, {prompt_sql('b.text', 'ctx.context')} AS prompt
 FROM benchmark b LEFT JOIN ctx ON ctx.query_id = b.item_id
 """)
 def prompt_context(spark, sf):
-    hits = attach_passages(text_hits(spark, sf), passages(spark, sf), "chunk_id")
+    hits = text_hits(spark, sf, attach=["section_id", "title", "text"])
     return prompts(benchmark_questions(spark, sf), hits, "item_id", "question").select("item_id", "prompt")
 
 
@@ -206,7 +206,7 @@ def passage_eval(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     exp = (containing(q, docs, "item_id", "question", "doc_id", "text")
            .groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_section")))
-    hits = materialize(attach_passages(text_hits(spark, sf), passages(spark, sf), "chunk_id"))
+    hits = materialize(text_hits(spark, sf, attach=["section_id", "title", "text"]))
     p = prompts(q.join(exp, "item_id"), hits, "item_id", "question")
     ans = generate(p, callables.cite_first_block, "prompt", cache_key="cite_first_block")
     rows = hit_flags(ans.select("item_id", "question", "expected_section", "answer"),

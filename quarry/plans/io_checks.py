@@ -81,8 +81,8 @@ def stream_answers(spark, sf):
     def rank(batch):
         q = batch.select("item_id", F.col("text").alias("question"))
         hits = retrieve(q, pas, TEXT_K, TEXT_MIN, question_id="item_id", question_text="question",
-                        passage_id="chunk_id")
-        return attach_passages(hits, pas, "chunk_id", columns=("doc_id",)).select(
+                        passage_id="chunk_id", attach=["doc_id"])
+        return hits.select(
             F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
             F.col("hit_id").alias("chunk_id"), "doc_id", "score")
 

@@ -11,7 +11,8 @@ from quarry.operators.lookup import first_per_key, list_all, lookup, unmatched
 from quarry.operators.retrieve import attach_passages, keep_min_score, match_catalogue, retrieve
 from quarry.operators.search import search
 from quarry.plans import sql as S
-from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, document_chunks
+from quarry.operators.chunks import char_chunks
+from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS
 from quarry.plans.registry import register, table
 from quarry.sources.tables import manifest
 
@@ -95,15 +96,17 @@ TEXT_K, TEXT_MIN = 5, 0.55
 
 
 def passages(spark, sf) -> DataFrame:
-    """Chunks of documents with their source as title."""
-    src = table(spark, sf, "documents").select("doc_id", "source")
-    return document_chunks(spark, sf).join(src, "doc_id").withColumnRenamed("source", "title")
+    """Chunks of documents with their source as title, carried through the
+    chunking (no join back to the documents)."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("section_id"), F.col("source").alias("title"), "text")
+    return char_chunks(d, DOC_TOKENS, DOC_OVERLAP, keep=["doc_id", "section_id", "title"])
 
 
-def text_hits(spark, sf, **kw) -> DataFrame:
+def text_hits(spark, sf, attach=None, **kw) -> DataFrame:
     q = table(spark, sf, "benchmark").select(F.col("item_id"), F.col("text").alias("question"))
     return retrieve(q, passages(spark, sf), TEXT_K, TEXT_MIN, question_id="item_id",
-                    question_text="question", passage_id="chunk_id", **kw)
+                    question_text="question", passage_id="chunk_id", attach=attach, **kw)
 
 
 TEXT_HITS_SQL = f"""(
@@ -121,8 +124,7 @@ SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score,
 FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
 """)
 def retrieve_text(spark, sf):
-    hits = attach_passages(text_hits(spark, sf), passages(spark, sf), "chunk_id",
-                           columns=("doc_id", "text"))
+    hits = text_hits(spark, sf, attach=["doc_id", "text"])
     return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
                        F.col("hit_id").alias("chunk_id"), "doc_id", "score",
                        snippet("text").alias("snippet"))
