@@ -12,6 +12,10 @@ skipped: they would pair with every haystack.
 """
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +30,77 @@ def _grams(df: DataFrame, id_col: str, text_col: str, q: int, step: int, count_e
                     F.substring(text_col, F.col("_i") * step + 1, q).alias("gram")))
 
 
+_AUTOMATA: dict = {}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
+
+
+def _automaton(key, texts):
+    a = _AUTOMATA.get(key)
+    if a is None:
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for i, t in enumerate(texts):
+            a.add_word(t, i)
+        a.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = a
+    return a
+
+
 def containing(needles: DataFrame, haystacks: DataFrame, needle_id: str = "needle_id",
                needle_text: str = "needle", hay_id: str = "doc_id", hay_text: str = "text",
-               levels=LEVELS) -> DataFrame:
+               levels=LEVELS, method: str = "auto", max_needles: int = 200_000,
+               max_bytes: int = 64 << 20) -> DataFrame:
     """Distinct ``needle_id, doc_id`` pairs where the haystack text contains
-    the needle text (an empty needle is in every haystack)."""
+    the needle text.  ``auto``: when the needle set is proven small (row and
+    byte caps) it is broadcast as one Aho-Corasick automaton and every task
+    scans its haystacks once (``mapInArrow``; texts stay where they were
+    read); else the gram equi-join below."""
+    if method in ("auto", "automaton"):
+        npdf = (needles.select(F.col(needle_id).alias("_nid"), F.col(needle_text).alias("_nt"))
+                .filter(F.length("_nt") > 0).limit(max_needles + 1).toPandas())
+        size = int(npdf["_nt"].map(lambda t: len(t.encode("utf-8"))).sum()) if len(npdf) else 0
+        if len(npdf) <= max_needles and size <= max_bytes:
+            return _automaton_plan(npdf, haystacks, needle_id, hay_id, hay_text, needles, needle_id)
+        if method == "automaton":
+            raise ValueError("needle set too large to broadcast; use method='grams'")
+    return _gram_plan(needles, haystacks, needle_id, needle_text, hay_id, hay_text, levels)
+
+
+def _automaton_plan(npdf, haystacks, needle_id, hay_id, hay_text, needles, nid_col) -> DataFrame:
+    spark = haystacks.sparkSession
+    # Needles with equal text share one automaton entry.
+    groups = npdf.groupby("_nt", sort=True)["_nid"].apply(list)
+    texts, ids = list(groups.index), list(groups.values)
+    bc = spark.sparkContext.broadcast((texts, ids))
+    key = f"ac-{uuid.uuid4().hex}"
+    ntype = needles.schema[nid_col].dataType.simpleString()
+    htype = haystacks.schema[hay_id].dataType.simpleString()
+    ntype_pa, htype_pa = _ARROW[ntype], _ARROW[htype]
+
+    def run(batches):
+        t, i = bc.value
+        auto = _automaton(key, t)
+        for b in batches:
+            hids = b.column(0).to_pylist()
+            out_n, out_h = [], []
+            for hid, txt in zip(hids, b.column(1).to_pylist()):
+                if not txt:
+                    continue
+                seen = {v for _end, v in auto.iter(txt)}
+                for v in seen:
+                    for nid in i[v]:
+                        out_n.append(nid)
+                        out_h.append(hid)
+            yield pa.RecordBatch.from_arrays([pa.array(out_n, type=ntype_pa), pa.array(out_h, type=htype_pa)],
+                                             names=[needle_id, hay_id])
+
+    src = haystacks.select(hay_id, hay_text).filter(F.col(hay_text).isNotNull())
+    return src.mapInArrow(run, f"`{needle_id}` {ntype}, `{hay_id}` {htype}")
+
+
+def _gram_plan(needles, haystacks, needle_id, needle_text, hay_id, hay_text, levels) -> DataFrame:
     n = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_text).alias("_nt")).filter(
         F.col("_nt").isNotNull())
     h = haystacks.select(F.col(hay_id).alias("_hid"), F.col(hay_text).alias("_ht")).filter(
