@@ -70,9 +70,13 @@ def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_i
         qv = hashed_vectors(distinct, "_qtext", keep=["_qtext"])
         hits, bound = search_bounded(qv, pv, k, kind="sparse", question_id="_qtext",
                                      corpus_id=passage_id, **search_kw)
-        hits = finish(hits, bound)
+        hits = finish(hits, bound).withColumnRenamed("query_id", "_qtext")
+        # Fan out: the distinct-text hits are bounded, so they are broadcast
+        # and a text asked by a third of all questions causes no skew.
+        if bound is not None and bound <= BROADCAST_HITS:
+            hits = F.broadcast(hits)
         return (q.select(question_id, F.col(question_text).alias("_qtext"))
-                .join(hits.withColumnRenamed("query_id", "_qtext"), "_qtext")
+                .join(hits, "_qtext")
                 .select(F.col(question_id).alias("query_id"), "hit_id", "score", "rank", *attach))
     qv = hashed_vectors(q.select(question_id, question_text), question_text, keep=[question_id])
     return finish(*search_bounded(qv, pv, k, kind="sparse", question_id=question_id,

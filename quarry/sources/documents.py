@@ -18,14 +18,22 @@ def read_text_files(spark: SparkSession, path: str, id_from_path: bool = True) -
 
 
 def assemble_pages(pages: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", block_pages: int = 4096) -> DataFrame:
     """Join the page texts of each document in page order with ``\\n``; a
-    page without text counts as ''.  One shuffle by document (map-side the
-    rows are only projected: a document is one output row whatever its size)."""
-    return pages.groupBy(doc_col).agg(
-        F.expr(f"listagg(coalesce({text_col}, ''), '\\n') WITHIN GROUP (ORDER BY {page_col})")
-        .alias(text_col)
-    )
+    page without text counts as ''.
+
+    Two levels, so that a document holding a large share of all pages is
+    not concatenated by one task from single pages: pages are first joined
+    per (document, block of ``block_pages`` consecutive page numbers), then
+    the block texts per document in block order (joining blocks with the
+    same separator gives the same text)."""
+    sep = "\n"
+    blk = F.floor(F.col(page_col) / F.lit(block_pages)).alias("_blk")
+    lvl1 = (pages.select(doc_col, page_col, blk, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+            .groupBy(doc_col, "_blk")
+            .agg(F.expr(f"listagg(_t, '{sep}') WITHIN GROUP (ORDER BY {page_col})").alias("_t")))
+    return lvl1.groupBy(doc_col).agg(
+        F.expr(f"listagg(_t, '{sep}') WITHIN GROUP (ORDER BY _blk)").alias(text_col))
 
 
 def prefer_paged(paged: DataFrame, plain: DataFrame, key: str = "doc_id",

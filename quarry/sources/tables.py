@@ -49,12 +49,12 @@ def read_question_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("items").alias("item_ord", "item")).select("item_ord", "item.*")
 
 
-def read_parquet(spark: SparkSession, path: str, spread_bytes: int | None = 4 << 20) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, spread_bytes: int | None = 1 << 20) -> DataFrame:
     df = spark.read.parquet(path)
     return spread(df, spread_bytes) if spread_bytes else df
 
 
-def spread(df: DataFrame, min_bytes: int = 4 << 20) -> DataFrame:
+def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
     """Spread a scan over all cores when its input has fewer splits than
     cores although it is large (e.g. one big parquet row group, which one
     task must read alone).  Inputs that already split into enough tasks, as
