@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieve import attach_passages, retrieve
+from quarry.operators.answers import append_traces, answer
+from quarry.operators.retrieve import retrieve
+from quarry.plans import callables
+from quarry.plans import sql as S
+from quarry.plans.corpus_checks import SECTION_OVERLAP, SECTION_TOKENS, conversation_statutes
+from quarry.plans.ingest import ingest
 from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS
 from quarry.plans.registry import register, table
 from quarry.plans.search_checks import TEXT_HITS_SQL, TEXT_K, TEXT_MIN, passages
@@ -89,3 +94,41 @@ def stream_answers(spark, sf):
     qs = file_stream(spark, sf, schema, glob="benchmark.parquet")
     answer_stream(qs, rank, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/sink").drop("batch_id")
+
+
+@register("ingest_corpus", f"""
+SELECT doc_id, section_ord, title, section_id, chunk_id, chunk_index, text
+FROM {S.char_chunks(S.section_rows(), "section_id", "text", SECTION_TOKENS, SECTION_OVERLAP,
+                    extra="doc_id, section_ord, title")}
+""")
+def ingest_corpus(spark, sf):
+    """Q-1 end to end: statute texts written as one text file per document,
+    ingested (read whole, sectioned, chunked, written), read back."""
+    base = scratch_path(spark, "ingest")
+    conversation_statutes(spark, sf).write.mode("overwrite").partitionBy("doc_id").text(f"{base}/texts")
+    out = ingest(spark, f"{base}/texts", f"{base}/out", chunk_tokens=SECTION_TOKENS, overlap=SECTION_OVERLAP)
+    chunks = spark.read.parquet(out["chunks"])
+    # doc_id is the file path; the partition folder names the document, and
+    # the text writer ends each file with one newline (stripped with the body).
+    doc = F.regexp_extract("doc_id", r"doc_id=([0-9]+)", 1).cast("long")
+    return chunks.select(doc.alias("doc_id"), F.col("section_ord").cast("long"), "title", "section_id",
+                         "chunk_id", F.col("chunk_index").cast("long"), "text")
+
+
+@register("trace_log", f"""
+WITH c AS (SELECT query_id, count(*) AS n FROM {TEXT_HITS_SQL} GROUP BY query_id)
+SELECT b.item_id, CAST(coalesce(c.n, 0) AS DOUBLE) AS n_citations, CAST(0 AS DOUBLE) AS n_schemes
+FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id
+""")
+def trace_log(spark, sf):
+    """Answer records appended as trace rows (params, metrics, nested JSON
+    trace) to a table folder, read back."""
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    a = answer(q, passages(spark, sf), callables.cite_first_block, question_id="item_id",
+               question_text="question")
+    path = scratch_path(spark, "traces")
+    append_traces(a, path, {"top_k": TEXT_K, "min_score": TEXT_MIN}, question_id="item_id")
+    t = spark.read.parquet(path)
+    return t.select(F.substring_index("run_id", "-", -1).cast("long").alias("item_id"),
+                    F.col("metrics")["n_citations"].alias("n_citations"),
+                    F.col("metrics")["n_schemes"].alias("n_schemes"))

@@ -109,20 +109,25 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def manifest(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+def manifest(vectors: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """Vector-set manifest as one row: ``dim, min_dim, ntotal, metadata_columns``
-    (a JSON array of the other column names).  One aggregate pass."""
-    meta = [c for c in vectors.columns if c != vector_col]
-    return vectors.agg(
-        F.max(F.size(vector_col)).cast("long").alias("dim"),
-        F.min(F.size(vector_col)).cast("long").alias("min_dim"),
-        F.count(F.lit(1)).cast("long").alias("ntotal"),
-    ).withColumn("metadata_columns", F.lit(json.dumps(meta)))
-
-
-def write_manifest(vectors: DataFrame, path: str, vector_col: str = "embedding") -> DataFrame:
-    m = manifest(vectors, vector_col)
-    if m.first()["min_dim"] != m.first()["dim"]:
+    (a JSON array of the other column names).  One aggregate pass.  Sparse
+    sets (``buckets``/``weights``) pass their bucket count as ``dim``."""
+    meta = [c for c in vectors.columns if c not in (vector_col, "weights")]
+    if dim is not None:
+        aggs = [F.lit(dim).cast("long").alias("dim"), F.lit(dim).cast("long").alias("min_dim")]
+    else:
+        aggs = [F.max(F.size(vector_col)).cast("long").alias("dim"),
+                F.min(F.size(vector_col)).cast("long").alias("min_dim")]
+    return vectors.agg(*aggs, F.count(F.lit(1)).cast("long").alias("ntotal")).withColumn(
+        "metadata_columns", F.lit(json.dumps(meta)))
+
+
+def write_manifest(vectors: DataFrame, path: str, vector_col: str = "embedding",
+                   dim: int | None = None) -> DataFrame:
+    m = manifest(vectors, vector_col, dim)
+    first = m.first()
+    if first["min_dim"] != first["dim"]:
         raise ValueError("vectors of different dimensions in one set")
     m.coalesce(1).write.mode("overwrite").json(path)
     return m

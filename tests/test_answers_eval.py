@@ -64,3 +64,31 @@ def test_question_set_reader(spark, tmp_path):
     p.write_text(json.dumps(doc, indent=2))
     rows = read_question_set(spark, str(p)).orderBy("item_ord").collect()
     assert [r.language for r in rows] == ["en", "hi"] and rows[0].expected_section == "BNS_303"
+
+
+def test_model_encoder_and_vector_build(spark, tmp_path):
+    import numpy as np
+
+    from quarry.operators.embed import embed
+    from quarry.plans.ingest import build_vectors, corpus_chunks, corpus_profile
+
+    def factory():
+        # A stand-in model: letter counts (a..e) as a 5-dim vector.
+        return lambda texts: np.array([[t.count(c) for c in "abcde"] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([(1, "abc abc"), (2, "eee"), (3, "zzz")], "id long, text string")
+    rows = {r.id: r.embedding for r in embed(df, factory, "text", keep=["id"]).collect()}
+    assert abs(np.linalg.norm(rows[1]) - 1) < 1e-6 and rows[2] == [0, 0, 0, 0, 1.0] and rows[3] == [0.0] * 5
+    texts = spark.createDataFrame([("d1", "Section 1. A\nalpha beta\nSection 2. B\ngamma")], "doc_id string, text string")
+    chunks = corpus_chunks(texts, 4, 1)
+    m = build_vectors(chunks, str(tmp_path / "vec"))
+    assert m.first().ntotal == chunks.count()
+    prof = corpus_profile(chunks)
+    assert [r.section_id for r in prof["chunks_per_section"].collect()] == ["BNS_1", "BNS_2"]
+
+
+def test_write_results(spark, tmp_path):
+    from quarry.operators.evaluate import write_results
+    rows = spark.createDataFrame([(1, True)], "query_id long, in_top_1 boolean")
+    write_results(rows, rows.groupBy().count(), str(tmp_path / "eval"))
+    assert spark.read.json(str(tmp_path / "eval/results")).count() == 1
