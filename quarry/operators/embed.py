@@ -1,7 +1,8 @@
 """Text -> vector encoders and vector-set utilities.
 
-The default encoder (hashed term frequencies, L2-normalised) is one native
-expression per row.  A model encoder plugs in through ``mapInPandas``: the
+The default encoder (hashed term frequencies, L2-normalised) runs on whole
+Arrow batches: Arrow kernels lower-case and split, numpy counts.  A model
+encoder plugs in through ``mapInPandas``: the
 model is loaded once per Python worker and fed Arrow batches; its output is
 L2-normalised in the same pass.
 """
@@ -17,13 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vectors import DEFAULT_BUCKETS, TOKEN_PATTERN, l2_normalise
-
-
-def tokens(text):
-    """Tokens of the lower-cased text (JVM side)."""
-    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
+from quarry.functions.vectors import DEFAULT_BUCKETS, l2_normalise
 
 
 def bucket_of(token: str, buckets: int) -> int:
@@ -31,85 +26,57 @@ def bucket_of(token: str, buckets: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % buckets
 
 
-def token_buckets_arrow(arr: pa.Array, buckets: int) -> pa.Array:
-    """list<string> tokens -> list<int> bucket ids; each distinct token of
-    the batch is hashed once (dictionary encoding in Arrow)."""
-    flat = arr.flatten()
-    enc = pc.dictionary_encode(flat)
-    table = np.fromiter((bucket_of(t, buckets) for t in enc.dictionary.to_pylist()),
-                        dtype=np.int32, count=len(enc.dictionary))
-    ids = table[np.asarray(enc.indices, dtype=np.int64)] if len(flat) else np.zeros(0, np.int32)
-    offsets = np.r_[0, np.cumsum(np.asarray(arr.value_lengths().fill_null(0), dtype=np.int64))]
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-
-
-def term_vectors_arrow(batch: pa.RecordBatch, col: str) -> pa.RecordBatch:
-    """Per row: count equal bucket ids and divide the counts by their L2 norm.
-    Vectorised over the whole Arrow batch (one lexsort, no per-row Python)."""
-    arr = batch.column(col)
-    n_rows = batch.num_rows
-    lengths = np.asarray(arr.value_lengths().fill_null(0), dtype=np.int64)
-    flat = np.asarray(arr.flatten(), dtype=np.int64)
-    row = np.repeat(np.arange(n_rows, dtype=np.int64), lengths)
-    order = np.lexsort((flat, row))
-    flat, row = flat[order], row[order]
-    if len(flat):
-        new = np.r_[True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])]
-        starts = np.flatnonzero(new)
-        tf = np.diff(np.r_[starts, len(flat)]).astype(np.float64)
-        ids = flat[starts].astype(np.int32)
-        run_row = row[starts]
-        per_row = np.bincount(run_row, minlength=n_rows).astype(np.int64)
-        sq = np.bincount(run_row, weights=tf * tf, minlength=n_rows)
-        w = tf / np.sqrt(sq)[run_row]
-    else:
-        ids, w, per_row = np.zeros(0, np.int32), np.zeros(0), np.zeros(n_rows, np.int64)
-    offsets = pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32))
-    cols = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != col]
-    names = [nm for nm in batch.schema.names if nm != col]
-    cols += [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
-             pa.ListArray.from_arrays(offsets, pa.array(w, pa.float64()))]
-    return pa.RecordBatch.from_arrays(cols, names=names + ["buckets", "weights"])
-
-
-_TOKEN_RE = None
+# Runs of anything but letters, marks and digits separate tokens (the
+# complement of the token pattern).
+_SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
 _BUCKET_MEMO: dict = {}
 
 
-def text_buckets_arrow(arr: pa.Array, buckets: int) -> pa.Array:
-    """string texts -> list<int> bucket id per token.  Lower-casing and the
-    token pattern run per text in C (``str.lower``, ``regex``); each distinct
-    token of the batch is hashed once (Arrow dictionary encoding, plus a
-    bounded memo per worker)."""
-    global _TOKEN_RE
-    if _TOKEN_RE is None:
-        import regex
-        _TOKEN_RE = regex.compile(TOKEN_PATTERN)
-    find = _TOKEN_RE.findall
-    per_row = [find(t.lower()) if t else [] for t in arr.to_pylist()]
-    lengths = np.fromiter(map(len, per_row), dtype=np.int64, count=len(per_row))
-    flat = pa.array([t for row in per_row for t in row], pa.string())
-    if len(flat):
-        enc = pc.dictionary_encode(flat)
-        if len(_BUCKET_MEMO) > 2_000_000:
-            _BUCKET_MEMO.clear()
-        table = np.fromiter((_memo_bucket(t, buckets) for t in enc.dictionary.to_pylist()),
-                            dtype=np.int32, count=len(enc.dictionary))
-        ids = table[np.asarray(enc.indices, dtype=np.int64)]
-    else:
-        ids = np.zeros(0, np.int32)
-    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-
-
 def _memo_bucket(token: str, buckets: int) -> int:
     key = (token, buckets)
     b = _BUCKET_MEMO.get(key)
     if b is None:
+        if len(_BUCKET_MEMO) > 2_000_000:
+            _BUCKET_MEMO.clear()
         b = _BUCKET_MEMO[key] = bucket_of(token, buckets)
     return b
 
 
+def term_vectors(texts: pa.Array, buckets: int):
+    """Texts -> (bucket ids, weights) as two list arrays, one entry per
+    distinct bucket of a text, weights = counts / L2 norm of the counts.
+
+    Lower-casing and splitting are Arrow kernels (RE2) over the whole batch;
+    each distinct token of the batch is hashed once; counting is one
+    lexsort over (row, bucket)."""
+    n_rows = len(texts)
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=_SEPARATOR)
+    flat = pc.list_flatten(parts)
+    parent = pc.list_parent_indices(parts)
+    keep = pc.greater(pc.utf8_length(flat), 0)
+    flat, parent = flat.filter(keep), np.asarray(parent.filter(keep), dtype=np.int64)
+    if len(flat):
+        enc = pc.dictionary_encode(flat)
+        table = np.fromiter((_memo_bucket(t, buckets) for t in enc.dictionary.to_pylist()),
+                            dtype=np.int64, count=len(enc.dictionary))
+        ids = table[np.asarray(enc.indices, dtype=np.int64)]
+        order = np.lexsort((ids, parent))
+        ids, parent = ids[order], parent[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (parent[1:] != parent[:-1])]
+        starts = np.flatnonzero(new)
+        tf = np.diff(np.r_[starts, len(ids)]).astype(np.float64)
+        run_row = parent[starts]
+        per_row = np.bincount(run_row, minlength=n_rows)
+        norm = np.sqrt(np.bincount(run_row, weights=tf * tf, minlength=n_rows))
+        out_ids, out_w = ids[starts].astype(np.int32), tf / norm[run_row]
+    else:
+        per_row = np.zeros(n_rows, np.int64)
+        out_ids, out_w = np.zeros(0, np.int32), np.zeros(0)
+    offsets = pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32))
+    return (pa.ListArray.from_arrays(offsets, pa.array(out_ids, pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(out_w, pa.float64())))
+
+
 def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Sparse unit vectors ``buckets array<int>, weights array<double>``.
@@ -128,8 +95,10 @@ def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
     def run(batches):
         for b in batches:
             i = b.schema.get_field_index("_tb")
-            b = b.set_column(i, "_tb", text_buckets_arrow(b.column(i), buckets))
-            yield term_vectors_arrow(b, "_tb")
+            ids, weights = term_vectors(b.column(i), buckets)
+            cols = [b.column(j) for j in range(b.num_columns) if j != i]
+            names = [nm for j, nm in enumerate(b.schema.names) if j != i]
+            yield pa.RecordBatch.from_arrays(cols + [ids, weights], names=names + ["buckets", "weights"])
 
     return src.mapInArrow(run, schema)
 

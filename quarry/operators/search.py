@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 
 # Work per scoring step: about this many (passage x question) scores at once.
 _STEP_CELLS = 2_000_000
+# Up to this many distinct question buckets the sparse product runs as dense
+# BLAS slices; beyond it as gathered sparse products.
+_DENSE_BUCKETS = 16_384
 
 
 # ------------------------------------------------------------------ kernels
@@ -75,12 +78,32 @@ def score_block(prep, n_c: int, dense=None, lengths=None, buckets=None, weights=
     row, pos, w = row[hit], pos[hit], np.asarray(weights, dtype=np.float64)[hit]
     if len(row) == 0:
         return s
+    if len(used) <= _DENSE_BUCKETS:
+        # Dense slices over the buckets the questions use: a BLAS product
+        # beats gathering question rows per entry by a wide margin here.
+        step = max(1, _STEP_CELLS // len(used))
+        bounds = np.searchsorted(row, np.arange(0, n_c + step, step))
+        for k0, r0 in enumerate(range(0, n_c, step)):
+            r1 = min(n_c, r0 + step)
+            e0, e1 = bounds[k0], bounds[k0 + 1]
+            m = np.zeros((r1 - r0, len(used)), dtype=np.float64)
+            m[row[e0:e1] - r0, pos[e0:e1]] = w[e0:e1]
+            s[r0:r1] = m @ qmat
+        return s
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     urow = row[starts]
-    width = max(1, _STEP_CELLS // max(1, len(row)))
-    for c0 in range(0, n_q, width):
-        c1 = min(n_q, c0 + width)
-        s[urow, c0:c1] = np.add.reduceat(w[:, None] * qmat[pos, c0:c1], starts, axis=0)
+    # Wide bucket sets: slices of whole rows with about _STEP_CELLS products
+    # each; gather full question rows (contiguous), multiply, reduceat.
+    per_step = max(1, _STEP_CELLS // max(1, n_q))
+    bounds = np.r_[starts, len(row)]
+    i, n_rows = 0, len(starts)
+    while i < n_rows:
+        j = int(np.searchsorted(bounds, bounds[i] + per_step, side="right")) - 1
+        j = min(max(j, i + 1), n_rows)
+        e0, e1 = bounds[i], bounds[j]
+        prod = w[e0:e1, None] * qmat[pos[e0:e1]]
+        s[urow[i:j]] = np.add.reduceat(prod, starts[i:j] - e0, axis=0)
+        i = j
     return s
 
 
