@@ -36,7 +36,7 @@ def _memo_bucket(token: str, buckets: int) -> int:
     key = (token, buckets)
     b = _BUCKET_MEMO.get(key)
     if b is None:
-        if len(_BUCKET_MEMO) > 2_000_000:
+        if len(_BUCKET_MEMO) > 250_000:  # bounded: ~40 MB per worker
             _BUCKET_MEMO.clear()
         b = _BUCKET_MEMO[key] = bucket_of(token, buckets)
     return b

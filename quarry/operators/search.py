@@ -312,6 +312,11 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
             return _rank(cands, k), k * len(qpdf)
         if method == "broadcast":
             raise ValueError("question block too large to broadcast; use method='blocked'")
+    # The question side is read twice below (count, then blocks): cut it
+    # with a reliable checkpoint so its vectors are computed once.
+    from quarry.session import materialize
+
+    q = materialize(q)
     n_q = q.count()
     if corpus_block_rows is None:
         # One corpus block per input split: bounded by the split size, and

@@ -70,6 +70,11 @@ def ship_package(spark: SparkSession) -> None:
     key = id(sc._jsc) if sc._jsc is not None else id(sc)
     if key in _SHIPPED:
         return
+    if not sc.master.startswith("local") or "quarry" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
+        # On a cluster the package is installed on executors or passed with
+        # --py-files; nothing is shipped from the driver's disk.
+        _SHIPPED.add(key)
+        return
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
