@@ -1,5 +1,5 @@
-"""Vector expressions: L2 normalisation, inner product, dimension, and the
-default text encoder (hashed term frequencies) as one in-row expression."""
+"""Vector expressions: L2 normalisation, inner product and dimension, plus
+the fixed values of the default text encoder (``operators.embed``)."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import col_of
 
-__all__ = ["l2_normalise", "inner_product", "dim", "TOKEN_PATTERN",
-           "sorted_buckets", "runs", "run_lengths", "l2_norm", "scale", "DEFAULT_BUCKETS"]
+__all__ = ["l2_normalise", "inner_product", "dim", "TOKEN_PATTERN", "DEFAULT_BUCKETS"]
 
 # Fixed values of the default encoder: a token is a run of letters, marks
 # and digits of the lower-cased text; 4096 hash buckets.
@@ -17,11 +16,14 @@ DEFAULT_BUCKETS = 4096
 
 
 def l2_normalise(v) -> Column:
-    """Divide by the L2 norm (doubles); a zero vector stays zero."""
+    """Divide by the L2 norm (doubles); a zero vector stays zero.  The norm
+    is passed into the division as an array, so it is computed once per row
+    rather than once per element."""
     v = col_of(v)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
+    safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    return F.zip_with(v, F.array_repeat(safe, F.size(v)), lambda x, n: x.cast("double") / n)
 
 
 def inner_product(a, b) -> Column:
@@ -32,48 +34,3 @@ def inner_product(a, b) -> Column:
 
 def dim(v) -> Column:
     return F.size(col_of(v))
-
-
-def sorted_buckets(text, buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Bucket id of every token of the lower-cased text, sorted (natural
-    order, so the sort is code-generated rather than a comparator lambda)."""
-    t = F.lower(F.coalesce(col_of(text), F.lit("")))
-    toks = F.regexp_extract_all(t, F.lit(TOKEN_PATTERN), 0)
-    return F.sort_array(F.transform(
-        toks, lambda tok: (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long")
-                           % F.lit(buckets)).cast("int")))
-
-
-def runs(b) -> Column:
-    """Runs of a sorted array: ``array<struct<v, pos>>`` with the value and
-    1-based start of each run.  Lambdas here read only their own arguments,
-    so however the optimizer inlines, every step stays linear in the row."""
-    b = col_of(b)
-    n = F.size(b)
-    prev = F.concat(F.array(F.lit(-1)), F.slice(b, 1, F.greatest(n - 1, F.lit(0))))
-    flagged = F.zip_with(b, prev, lambda x, p: F.struct(x.alias("v"), (x != p).alias("new")))
-    numbered = F.transform(flagged, lambda s, i: F.struct(s["v"].alias("v"), s["new"].alias("new"),
-                                                          (i + 1).alias("pos")))
-    return F.filter(numbered, lambda s: s["new"])
-
-
-def run_lengths(starts, n) -> Column:
-    """Run lengths from the run starts and the array length ``n``."""
-    pos = F.transform(col_of(starts), lambda s: s["pos"])
-    m = F.size(pos)
-    nxt = F.concat(F.slice(pos, 2, F.greatest(m - 1, F.lit(0))), F.array(col_of(n) + 1))
-    return F.when(m == 0, F.array().cast("array<int>")).otherwise(
-        F.zip_with(nxt, pos, lambda q, p: q - p))
-
-
-def l2_norm(v) -> Column:
-    return F.sqrt(F.aggregate(col_of(v), F.lit(0.0).cast("double"),
-                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-
-def scale(v, by) -> Column:
-    """Each element divided by ``by``, passed in as an array so that ``by``
-    is evaluated once per row, not once per element."""
-    v = col_of(v)
-    return F.zip_with(v, F.array_repeat(col_of(by), F.size(v)),
-                      lambda x, d: x.cast("double") / d)

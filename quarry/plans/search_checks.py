@@ -83,6 +83,14 @@ def knn_dense(spark, sf):
     return dense_knn(spark, sf).withColumn("rank", F.col("rank").cast("long"))
 
 
+@register("knn_dense_blocked", _KNN_SQL)
+def knn_dense_blocked(spark, sf):
+    """The same search through the plan used for question sets too large to
+    broadcast: hash blocks of 128 questions x blocks of 100 vectors."""
+    return dense_knn(spark, sf, method="blocked", max_questions=128,
+                     corpus_block_rows=100).withColumn("rank", F.col("rank").cast("long"))
+
+
 @register("retrieve_min_score", f"""
 SELECT * FROM ({_KNN_SQL}) WHERE score >= {KNN_MIN} OR rank = 1
 """)
