@@ -86,9 +86,14 @@ def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_i
 def retrieve(questions: DataFrame, passages: DataFrame, k: int = TOP_K,
              min_score: float = MIN_SCORE, *, question_id: str = "query_id",
              question_text: str = "question", passage_id: str = "chunk_id",
-             attach=None, **kw) -> DataFrame:
+             attach=None, vectors: DataFrame | None = None, **kw) -> DataFrame:
     """Passages per question: ``query_id, rank, hit_id, score`` plus the
-    passage columns named in ``attach`` (a missing title becomes '')."""
+    passage columns named in ``attach`` (a missing title becomes '').
+    ``vectors`` is a stored vector table (``passage_id, buckets, weights``)
+    to score against instead of encoding the passages on the fly."""
+    if vectors is not None:
+        kw = dict(kw, passage_vectors=True, meta=passages)
+        passages = vectors
     hits = text_search(questions, passages, k, question_id=question_id, question_text=question_text,
                        passage_id=passage_id, min_score=min_score, fallback=True, attach=attach, **kw)
     if "title" in hits.columns:

@@ -9,7 +9,7 @@ from quarry.operators.retrieve import retrieve
 from quarry.plans import callables
 from quarry.plans import sql as S
 from quarry.plans.corpus_checks import SECTION_OVERLAP, SECTION_TOKENS, conversation_statutes
-from quarry.plans.ingest import ingest
+from quarry.plans.ingest import build_vectors, ingest
 from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS
 from quarry.plans.registry import register, table
 from quarry.plans.search_checks import TEXT_HITS_SQL, TEXT_K, TEXT_MIN, passages
@@ -82,11 +82,14 @@ def stream_answers(spark, sf):
     schema = table(spark, sf, "benchmark").schema
     base = scratch_path(spark, "stream-answers")
     pas = passages(spark, sf)
+    # The passage vectors are built once (a stored table), not per batch.
+    build_vectors(pas, f"{base}/index")
+    vecs = spark.read.parquet(f"{base}/index/vectors")
 
     def rank(batch):
         q = batch.select("item_id", F.col("text").alias("question"))
         hits = retrieve(q, pas, TEXT_K, TEXT_MIN, question_id="item_id", question_text="question",
-                        passage_id="chunk_id", attach=["doc_id"])
+                        passage_id="chunk_id", attach=["doc_id"], vectors=vecs)
         return hits.select(
             F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
             F.col("hit_id").alias("chunk_id"), "doc_id", "score")
