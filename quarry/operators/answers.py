@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CONTEXT_SEPARATOR, context_block, strip_reasoning, user_prompt
-from quarry.operators.retrieve import (CATALOGUE_K, CATALOGUE_MIN, MIN_SCORE, TOP_K, attach_passages,
-                                       match_catalogue, retrieve)
+from quarry.operators.retrieve import CATALOGUE_K, CATALOGUE_MIN, MIN_SCORE, TOP_K, match_catalogue, retrieve
 
 _MODELS: dict = {}
 

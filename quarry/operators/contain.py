@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -53,8 +53,12 @@ def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_i
     passage table), and only then are hits fanned out to every question
     that asked the text."""
     q = non_blank(questions, question_text)
-    pv = passages if passage_vectors else hashed_vectors(
-        passages.select(passage_id, passage_text), passage_text, keep=[passage_id])
+    if passage_vectors:
+        pv = passages
+    else:
+        # Raw passages: encoded inside the scoring tasks.
+        pv = passages.select(passage_id, passage_text)
+        search_kw = dict(search_kw, corpus_text=passage_text)
     meta = passages if meta is None else meta
     attach = [c for c in (attach or []) if c in meta.columns and c != passage_id]
 

@@ -145,7 +145,17 @@ def _arrow_list(arr: pa.Array):
     return lengths, np.asarray(arr.flatten())
 
 
-def _block_from_arrow(batch: pa.RecordBatch, kind: str):
+def _encode_text(arr: pa.Array, buckets: int):
+    from quarry.operators.embed import term_vectors
+
+    ids, weights = term_vectors(arr, buckets)
+    return {"lengths": np.asarray(ids.value_lengths(), dtype=np.int64),
+            "buckets": np.asarray(ids.flatten()), "weights": np.asarray(weights.flatten())}
+
+
+def _block_from_arrow(batch: pa.RecordBatch, kind: str, text_buckets: int | None = None):
+    if text_buckets:
+        return _encode_text(batch.column(1), text_buckets)
     if kind == "dense":
         lengths, flat = _arrow_list(batch.column(1))
         if len(lengths) and (lengths.min() != lengths.max()):
@@ -156,8 +166,10 @@ def _block_from_arrow(batch: pa.RecordBatch, kind: str):
     return {"lengths": lb, "buckets": fb, "weights": fw}
 
 
-def _block_from_pandas(pdf: pd.DataFrame, kind: str, offset: int = 1):
+def _block_from_pandas(pdf: pd.DataFrame, kind: str, offset: int = 1, text_buckets: int | None = None):
     cols = list(pdf.columns)
+    if text_buckets:
+        return _encode_text(pa.array(pdf[cols[offset]].tolist(), pa.string()), text_buckets)
     if kind == "dense":
         vals = pdf[cols[offset]].values
         flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
@@ -217,7 +229,7 @@ def _rank(cands: DataFrame, k: int) -> DataFrame:
 
 
 def _broadcast_plan(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k: int,
-                    exclude_self: bool, schema: str) -> DataFrame:
+                    exclude_self: bool, schema: str, text_buckets: int | None = None) -> DataFrame:
     if kind == "dense":
         vals = qpdf.iloc[:, 1].values
         dense = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
@@ -236,7 +248,7 @@ def _broadcast_plan(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k:
             if batch.num_rows == 0:
                 continue
             cids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            blk = _block_from_arrow(batch, kind)
+            blk = _block_from_arrow(batch, kind, text_buckets)
             r = score_and_select(p, cids, blk, kind, k, exclude_self)
             if r is not None and len(r):
                 frames.append(r)
@@ -251,7 +263,7 @@ def _broadcast_plan(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k:
 
 def _blocked_plan(questions: DataFrame, corpus: DataFrame, kind: str, k: int, exclude_self: bool,
                   schema: str, n_questions: int, n_corpus: int, max_questions: int,
-                  corpus_block_rows: int) -> DataFrame:
+                  corpus_block_rows: int, text_buckets: int | None = None) -> DataFrame:
     nqb = max(1, math.ceil(n_questions / max_questions))
     ncb = max(1, math.ceil(n_corpus / corpus_block_rows))
     qcols = questions.columns
@@ -272,7 +284,7 @@ def _blocked_plan(questions: DataFrame, corpus: DataFrame, kind: str, k: int, ex
         else:
             prep = prepare_questions(qpdf.iloc[:, 0].values, kind, lengths=qb["lengths"],
                                      buckets=qb["buckets"], weights=qb["weights"])
-        cb = _block_from_pandas(cpdf, kind)
+        cb = _block_from_pandas(cpdf, kind, text_buckets=text_buckets)
         r = score_and_select(prep, np.asarray(cpdf.iloc[:, 0].values), cb, kind, k, exclude_self)
         return empty if r is None else r
 
@@ -293,14 +305,28 @@ def _matrix_bytes(qpdf: pd.DataFrame, kind: str) -> int:
 def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
                    question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
                    method: str = "auto", max_questions: int = 8192, max_bytes: int = 64 << 20,
-                   corpus_block_rows: int | None = None):
+                   corpus_block_rows: int | None = None, corpus_text: str | None = None,
+                   buckets: int | None = None):
     """:func:`search`, also returning a proven upper bound on the number of
-    result rows (``k`` x the counted questions), or None when unknown."""
+    result rows (``k`` x the counted questions), or None when unknown.
+
+    With ``corpus_text`` the corpus carries raw text instead of vectors; it
+    is encoded (default encoder, ``buckets``) inside the scoring task, so
+    the vectors never travel between the JVM and Python."""
     if k < 1:
         raise ValueError("k must be at least 1")
     vcols = _vector_cols(kind)
     q = questions.select(question_id, *vcols).filter(F.col(vcols[0]).isNotNull())
-    c = corpus.select(corpus_id, *vcols).filter(F.col(vcols[0]).isNotNull())
+    text_buckets = None
+    if corpus_text is not None:
+        if kind != "sparse":
+            raise ValueError("raw-text corpora are encoded into sparse vectors")
+        from quarry.functions.vectors import DEFAULT_BUCKETS
+
+        text_buckets = buckets or DEFAULT_BUCKETS
+        c = corpus.select(corpus_id, F.col(corpus_text).cast("string"))
+    else:
+        c = corpus.select(corpus_id, *vcols).filter(F.col(vcols[0]).isNotNull())
     schema = _out_schema(q, c, question_id, corpus_id)
     spark = questions.sparkSession
 
@@ -308,7 +334,7 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
         qpdf = q.limit(max_questions + 1).toPandas()
         fits = len(qpdf) <= max_questions and _matrix_bytes(qpdf, kind) <= max_bytes
         if fits:
-            cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema)
+            cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema, text_buckets)
             return _rank(cands, k), k * len(qpdf)
         if method == "broadcast":
             raise ValueError("question block too large to broadcast; use method='blocked'")
@@ -325,7 +351,7 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
     else:
         n_c = c.count()
     cands = _blocked_plan(q, c, kind, k, exclude_self, schema, n_q, n_c, max_questions,
-                          corpus_block_rows)
+                          corpus_block_rows, text_buckets)
     return _rank(cands, k), k * n_q
 
 

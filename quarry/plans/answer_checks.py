@@ -9,7 +9,7 @@ from quarry.functions.text import (CONTEXT_SEPARATOR, NO_CONTEXT_TEMPLATE, PROMP
 from quarry.operators.answers import answer, generate, prompts
 from quarry.operators.contain import containing
 from quarry.operators.evaluate import hit_flags, judge, totals
-from quarry.operators.retrieve import attach_passages, keep_min_score
+from quarry.operators.retrieve import keep_min_score
 from quarry.plans import callables
 from quarry.plans import sql as S
 from quarry.plans.corpus_checks import DOC_CHUNKS_SQL

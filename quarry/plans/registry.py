@@ -10,9 +10,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quarry.plans import sql as S  # noqa: F401
 from quarry.session import ensure_checkpoint_dir, ship_package
 from quarry.sources.tables import read_parquet
 

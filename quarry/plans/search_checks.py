@@ -1,14 +1,14 @@
 """Vectors, search, catalogue matching and key lookups."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import snippet
 from quarry.functions.vectors import l2_normalise
 from quarry.operators.embed import hashed_vectors, sparse_long
 from quarry.operators.lookup import first_per_key, list_all, lookup, unmatched
-from quarry.operators.retrieve import attach_passages, keep_min_score, match_catalogue, retrieve
+from quarry.operators.retrieve import keep_min_score, match_catalogue, retrieve
 from quarry.operators.search import search
 from quarry.plans import sql as S
 from quarry.operators.chunks import char_chunks

@@ -99,3 +99,16 @@ def test_retrieve_blank_question_and_empty_corpus(spark):
     assert {r.query_id for r in rows} == {3}
     with pytest.raises(ValueError):
         build_vector_set(p.limit(0))
+
+
+@pytest.mark.parametrize("method", ["broadcast", "blocked"])
+def test_raw_text_corpus_equals_stored_vectors(spark, method):
+    texts = ["the cat sat on the mat", "a dog and a cat", None, "", "cat cat cat", "state property theft"]
+    raw = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cv = hashed_vectors(raw, "text", keep=["doc_id"], buckets=64)
+    qdf = hashed_vectors(spark.createDataFrame([(0, "cat on mat"), (1, "theft")], "query_id long, text string"),
+                         "text", keep=["query_id"], buckets=64)
+    kw = dict(max_questions=1, corpus_block_rows=2) if method == "blocked" else {}
+    a = search(qdf, cv, 3, kind="sparse", method=method, **kw).collect()
+    b = search(qdf, raw, 3, kind="sparse", method=method, corpus_text="text", buckets=64, **kw).collect()
+    assert as_dict(a) == as_dict(b)
