@@ -332,6 +332,8 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
 
     if method in ("auto", "broadcast"):
         qpdf = q.limit(max_questions + 1).toPandas()
+        if len(qpdf) == 0:
+            return _rank(spark.createDataFrame([], schema), k), 0
         fits = len(qpdf) <= max_questions and _matrix_bytes(qpdf, kind) <= max_bytes
         if fits:
             cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema, text_buckets)

@@ -112,3 +112,11 @@ def test_raw_text_corpus_equals_stored_vectors(spark, method):
     a = search(qdf, cv, 3, kind="sparse", method=method, **kw).collect()
     b = search(qdf, raw, 3, kind="sparse", method=method, corpus_text="text", buckets=64, **kw).collect()
     assert as_dict(a) == as_dict(b)
+
+
+def test_no_questions_gives_no_rows(spark):
+    q, c, qdf, cdf = dense_frames(spark, 3, 10)
+    assert search(qdf.limit(0), cdf, 5, kind="dense").collect() == []
+    p = spark.createDataFrame([("c1", "theft")], "chunk_id string, text string")
+    blank = spark.createDataFrame([(1, " ")], "query_id long, question string")
+    assert retrieve(blank, p, 5, 0.5).collect() == []
