@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import strip
 from quarry.operators.embed import hashed_vectors
 from quarry.operators.search import search_bounded
+from quarry.session import materialize
 
 # Defaults of the reference.
 TOP_K = 5
@@ -35,9 +36,11 @@ def keep_min_score(hits: DataFrame, k: int, min_score: float, fallback: bool = T
     return hits.filter(cond)
 
 
-# Hits known to be at most this many rows are broadcast to the passage table
-# when their metadata is attached (the passage table is then never shuffled).
-BROADCAST_HITS = 2_000_000
+# Hits proven (or measured) to be at most this many bytes are broadcast: to
+# the passage table when their metadata is attached (the passage table is
+# then streamed, never shuffled), and to the questions when hits of distinct
+# question texts are fanned out.
+BROADCAST_BYTES = 64 << 20
 
 
 def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_id: str,
@@ -75,10 +78,14 @@ def text_search(questions: DataFrame, passages: DataFrame, k: int, *, question_i
         hits, bound = search_bounded(qv, pv, k, kind="sparse", question_id="_qtext",
                                      corpus_id=passage_id, **search_kw)
         hits = finish(hits, bound).withColumnRenamed("query_id", "_qtext")
-        # Fan out: the distinct-text hits are bounded, so they are broadcast
-        # and a text asked by a third of all questions causes no skew.
-        if bound is not None and bound <= BROADCAST_HITS:
-            hits = F.broadcast(hits)
+        if bound is not None:
+            # At most k rows per distinct text: write them once (reliable
+            # checkpoint), measure, and broadcast them to the questions when
+            # small, so a text asked by a third of all questions causes no
+            # skew.  Otherwise AQE plans the join (skew join on hot texts).
+            hits = materialize(hits)
+            if _measured_bytes(hits) <= BROADCAST_BYTES:
+                hits = F.broadcast(hits)
         return (q.select(question_id, F.col(question_text).alias("_qtext"))
                 .join(hits, "_qtext")
                 .select(F.col(question_id).alias("query_id"), "hit_id", "score", "rank", *attach))
@@ -106,21 +113,30 @@ def retrieve(questions: DataFrame, passages: DataFrame, k: int = TOP_K,
 
 
 def attach_passages(hits: DataFrame, passages: DataFrame, passage_id: str = "chunk_id",
-                    columns=("section_id", "title", "text"), bound: int | None = None,
+                    columns=("section_id", "title", "text"), bound: dict | None = None,
                     fill_title: bool = True) -> DataFrame:
     """Join passage metadata to ranked hits (a missing title becomes '').
-    With a proven ``bound`` on the hit rows under ``BROADCAST_HITS`` the hits
+    With a proven ``bound`` of the hits under ``BROADCAST_BYTES`` they
     are broadcast, so the passage table is streamed, not shuffled; otherwise
     Spark (and AQE, on measured sizes) chooses the join."""
     cols = [c for c in columns if c in passages.columns]
     meta = passages.select(F.col(passage_id).alias("hit_id"), *cols)
-    small = F.broadcast(hits) if bound is not None and bound <= BROADCAST_HITS else hits
+    small = F.broadcast(hits) if bound is not None and bound["bytes"] <= BROADCAST_BYTES else hits
     out = small.join(meta, "hit_id")
     if fill_title and "title" in cols:
         out = out.withColumn("title", F.coalesce("title", F.lit("")))
     return out
 
 
+def _measured_bytes(df: DataFrame) -> int:
+    """Bytes of a small materialised frame: string lengths plus 16 bytes per
+    other column, per row (one aggregate job)."""
+    parts = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) if f.dataType.simpleString() == "string"
+             else F.count(F.lit(1)) * 16 for f in df.schema.fields]
+    total = df.agg(sum(parts[1:], parts[0]).alias("b")).first()["b"] if parts else 0
+    return int(total or 0)
+
+
 def catalogue_text(df: DataFrame, name: str = "name", description: str = "description",
                    eligibility: str = "eligibility") -> F.Column:
     """``name. description. Eligibility: eligibility`` with nulls as ''."""

@@ -302,13 +302,27 @@ def _matrix_bytes(qpdf: pd.DataFrame, kind: str) -> int:
     return 8 * len(used) * len(qpdf)
 
 
+def _id_bytes(qpdf: pd.DataFrame) -> int:
+    """Bytes of all result rows for one hit per question: the question id
+    (its UTF-8 length for strings), plus 8-byte hit id, score and rank, plus
+    a 64-byte allowance for a string hit id and row overhead."""
+    ids = qpdf.iloc[:, 0]
+    if ids.dtype == object:
+        key = int(ids.map(lambda v: len(str(v).encode("utf-8"))).sum())
+    else:
+        key = 8 * len(ids)
+    return key + (8 * 3 + 64) * len(ids)
+
+
 def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
                    question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
                    method: str = "auto", max_questions: int = 8192, max_bytes: int = 64 << 20,
                    corpus_block_rows: int | None = None, corpus_text: str | None = None,
                    buckets: int | None = None):
-    """:func:`search`, also returning a proven upper bound on the number of
-    result rows (``k`` x the counted questions), or None when unknown.
+    """:func:`search`, also returning proven upper bounds on the result:
+    ``{"rows": k x questions, "bytes": ...}`` (ids, score and rank of every
+    row, measured on the collected question block), or None when the
+    question block was not collected (blocked plan).
 
     With ``corpus_text`` the corpus carries raw text instead of vectors; it
     is encoded (default encoder, ``buckets``) inside the scoring task, so
@@ -333,11 +347,11 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
     if method in ("auto", "broadcast"):
         qpdf = q.limit(max_questions + 1).toPandas()
         if len(qpdf) == 0:
-            return _rank(spark.createDataFrame([], schema), k), 0
+            return _rank(spark.createDataFrame([], schema), k), {"rows": 0, "bytes": 0}
         fits = len(qpdf) <= max_questions and _matrix_bytes(qpdf, kind) <= max_bytes
         if fits:
             cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema, text_buckets)
-            return _rank(cands, k), k * len(qpdf)
+            return _rank(cands, k), {"rows": k * len(qpdf), "bytes": k * _id_bytes(qpdf)}
         if method == "broadcast":
             raise ValueError("question block too large to broadcast; use method='blocked'")
     # The question side is read twice below (count, then blocks): cut it
@@ -354,7 +368,7 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
         n_c = c.count()
     cands = _blocked_plan(q, c, kind, k, exclude_self, schema, n_q, n_c, max_questions,
                           corpus_block_rows, text_buckets)
-    return _rank(cands, k), k * n_q
+    return _rank(cands, k), None
 
 
 def search(questions: DataFrame, corpus: DataFrame, k: int = 5, **kw) -> DataFrame:
