@@ -47,14 +47,18 @@ def chunk_stream(docs: DataFrame, sink: str, checkpoint: str, chunk_tokens: int
     return w.start()
 
 
+def write_batch(result: DataFrame, sink: str, batch_id: int) -> None:
+    """Write one micro-batch's result to ``sink/batch_id=N``, replacing what
+    a previous attempt of the same batch wrote."""
+    result.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+
+
 def answer_stream(questions: DataFrame, rank_batch: Callable[[DataFrame], DataFrame], sink: str,
                   checkpoint: str, available_now: bool = True):
     """Run ``rank_batch`` on every micro-batch of questions and write its
     result under ``sink/batch_id=N`` (idempotent per batch)."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        res = rank_batch(batch)
-        (res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .parquet(f"{sink.rstrip('/')}/batch_id={batch_id}"))
+        write_batch(rank_batch(batch), sink, batch_id)
 
     w = questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
