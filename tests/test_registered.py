@@ -14,6 +14,10 @@ import oracle_check  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
@@ -40,5 +44,8 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    for f in df.schema.fields:
+        assert SQL_TYPES.get(f.dataType.simpleString()) == types[f.name], (f.name, f.dataType, types[f.name])
     assert len(rows) == len(orows)
     assert oracle_check.digest(df.columns, rows) == oracle_check.digest(ocols, orows)
