@@ -92,8 +92,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def materialize(df):
-    """Cut lineage of a small intermediate result that is read more than
-    once: a reliable checkpoint into the shared checkpoint folder (it
-    survives the loss of executors, unlike a cache or a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage of an intermediate result that is read more than once:
+    write it as a parquet table into the shared checkpoint folder and read
+    it back.  One computation (``checkpoint(eager=True)`` on an unpersisted
+    plan computes it twice: once to count, once to write), and the written
+    table survives the loss of executors, unlike a cache or a local
+    checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
