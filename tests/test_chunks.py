@@ -81,3 +81,9 @@ def test_token_budget_like_reference(spark):
     df = spark.createDataFrame([("BNS_1", "A" * 10000)], "section_id string, text string")
     rows = token_chunks(df, 128, 16).collect()
     assert len(rows) > 1 and all(r.text for r in rows)
+
+
+def test_combining_marks_count_as_characters(spark):
+    text = "cafe\u0301 " * 7  # combining acute accent: its own code point, as in Python
+    got = chunks_of(spark, [text], 2, 1)
+    assert [r.text for r in got[0]] == loop_windows(text, 2, 1)

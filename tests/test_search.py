@@ -120,3 +120,14 @@ def test_no_questions_gives_no_rows(spark):
     p = spark.createDataFrame([("c1", "theft")], "chunk_id string, text string")
     blank = spark.createDataFrame([(1, " ")], "query_id long, question string")
     assert retrieve(blank, p, 5, 0.5).collect() == []
+
+
+def test_catalogue_null_column_and_no_fallback(spark):
+    from quarry.operators.retrieve import match_catalogue
+
+    cat = spark.createDataFrame([("S1", "Legal aid", None, "theft victims"), ("S2", "Farm support", "seeds", None)],
+                                "scheme_id string, name string, description string, eligibility string")
+    qs = spark.createDataFrame([(1, "legal aid for theft victims"), (2, "zebra")], "query_id long, question string")
+    rows = match_catalogue(qs, cat, 3, 0.25).collect()
+    assert [(r.query_id, r.hit_id) for r in rows] == [(1, "S1")] and rows[0].description is None
+    assert match_catalogue(qs, cat, 3, 0.99).collect() == []
