@@ -330,7 +330,8 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
     if k < 1:
         raise ValueError("k must be at least 1")
     vcols = _vector_cols(kind)
-    q = questions.select(question_id, *vcols).filter(F.col(vcols[0]).isNotNull())
+    q = questions.select(question_id, *vcols).filter(
+        F.col(question_id).isNotNull() & F.col(vcols[0]).isNotNull())
     text_buckets = None
     if corpus_text is not None:
         if kind != "sparse":
@@ -338,9 +339,10 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
         from quarry.functions.vectors import DEFAULT_BUCKETS
 
         text_buckets = buckets or DEFAULT_BUCKETS
-        c = corpus.select(corpus_id, F.col(corpus_text).cast("string"))
+        c = corpus.select(corpus_id, F.col(corpus_text).cast("string")).filter(F.col(corpus_id).isNotNull())
     else:
-        c = corpus.select(corpus_id, *vcols).filter(F.col(vcols[0]).isNotNull())
+        c = corpus.select(corpus_id, *vcols).filter(
+            F.col(corpus_id).isNotNull() & F.col(vcols[0]).isNotNull())
     schema = _out_schema(q, c, question_id, corpus_id)
     spark = questions.sparkSession
 
