@@ -49,3 +49,11 @@ def test_query_matches_oracle(spark, con, name):
         assert SQL_TYPES.get(f.dataType.simpleString()) == types[f.name], (f.name, f.dataType, types[f.name])
     assert len(rows) == len(orows)
     assert oracle_check.digest(df.columns, rows) == oracle_check.digest(ocols, orows)
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_pairwise_operators(spark, name):
+    """No registered plan pairs rows without a key: no Cartesian product and
+    no nested-loop join (scoring happens inside tasks, joins are equi-joins)."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
