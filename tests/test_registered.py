@@ -57,3 +57,14 @@ def test_no_pairwise_operators(spark, name):
     no nested-loop join (scoring happens inside tasks, joins are equi-joins)."""
     plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_scans_read_only_needed_columns(spark):
+    """Column pruning reaches the parquet scans."""
+    cases = {"char_chunks": ("n_chars", "lang", "source"), "key_lookup": ("c_acctbal", "c_mktsegment"),
+             "knn_dense": ("label",)}
+    for name, absent in cases.items():
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        schemas = [seg.split("]")[0].split("\n")[0] for seg in plan.split("ReadSchema: ")[1:]]
+        assert schemas, name
+        assert all(col not in sch for sch in schemas for col in absent), (name, schemas)
