@@ -78,3 +78,9 @@ def corpus_profile(chunks: DataFrame, catalogue: DataFrame | None = None,
         order = "map_ord" if "map_ord" in mapping.columns else mapping.columns[0]
         out["mapping_head"] = mapping.orderBy(order).limit(n)
     return out
+
+
+def load_vectors(spark: SparkSession, out_path: str) -> tuple[DataFrame, DataFrame]:
+    """A vector set written by :func:`build_vectors`: ``(vectors, manifest)``."""
+    base = out_path.rstrip("/")
+    return spark.read.parquet(f"{base}/vectors"), spark.read.json(f"{base}/manifest")
