@@ -360,6 +360,14 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
     # with a reliable checkpoint so its vectors are computed once.
     from quarry.session import materialize
 
+    if text_buckets:
+        # Passages are replicated once per question block here: encode them
+        # once, before the replication, instead of inside every group.
+        from quarry.operators.embed import hashed_vectors
+
+        c = hashed_vectors(c, c.columns[1], keep=[corpus_id], buckets=text_buckets)
+        text_buckets = None
+
     q = materialize(q)
     n_q = q.count()
     if corpus_block_rows is None:

@@ -138,6 +138,19 @@ def retrieve_text(spark, sf):
                        snippet("text").alias("snippet"))
 
 
+@register("retrieve_text_blocked", f"""
+SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score
+FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
+""")
+def retrieve_text_blocked(spark, sf):
+    """Text retrieval through the blocked plan (question blocks of 8, passage
+    blocks of 1,000 raw chunks encoded inside each group)."""
+    hits = text_hits(spark, sf, attach=["doc_id"], method="blocked", max_questions=8,
+                     corpus_block_rows=1000)
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+                       F.col("hit_id").alias("chunk_id"), "doc_id", "score")
+
+
 # Catalogue: parts as catalogue rows, every part's name as a question.
 @register("catalogue_match", f"""
 WITH cat AS (SELECT p_partkey, coalesce(p_name, '') || '. ' || coalesce(p_type, '') || '. Eligibility: '
