@@ -40,3 +40,17 @@ def op9_sharding(spark, sf_dir):
     from quarry.llm.sharding import shard_digest
 
     return shard_digest(table(spark, sf_dir, "documents"))
+
+
+@register("op3_warc", """
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+    FROM (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+                 CASE WHEN strlen(html) >= 100 AND page_id > min(page_id) OVER same
+                      THEN min(page_id) OVER same END AS refers_to
+          FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)
+          WINDOW same AS (PARTITION BY html))""")
+def op3_warc(spark, sf_dir):
+    from quarry.llm.warc import archive_pages
+
+    return archive_pages(spark, table(spark, sf_dir, "pages")).drop("url")
