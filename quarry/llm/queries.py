@@ -54,3 +54,15 @@ def op3_warc(spark, sf_dir):
     from quarry.llm.warc import archive_pages
 
     return archive_pages(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
+# The fixed rules of the url query: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register("op10_urls")
+def op10_urls(spark, sf_dir):
+    from quarry.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
