@@ -79,7 +79,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
         .otherwise(F.least(F.col("__cap"), F.col("__first")["__level"] * F.col("__w"))).alias("target"))
 
 
-def take(rows: DataFrame, targets: DataFrame, seed: int = 0, bin_rows: int = 20_000) -> DataFrame:
+def take(rows: DataFrame, targets: DataFrame, seed: int = 0, bin_rows: int = 2_000) -> DataFrame:
     """``rows`` (``doc_id, source, size, weight``) with ``source_size, target``
     and ``copies``, how often the mix takes the document."""
     draw = -F.log(uniform(F.lit(seed), F.col("doc_id"))) / F.col("weight")

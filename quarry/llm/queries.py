@@ -66,3 +66,15 @@ def op10_urls(spark, sf_dir):
     from quarry.llm.urls import judge
 
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from quarry.llm.toxicity import fold, toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return toxicity(docs, model, ["doc_id"]).select(
+        "doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("__score").alias("score"),
+        (F.col("__score") >= 0.5).cast("int").alias("predicted"))

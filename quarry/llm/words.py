@@ -97,42 +97,33 @@ def text_shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 class Lookup:
-    """An open-addressing table from 64-bit keys to row numbers, built and
-    probed with whole arrays."""
+    """An open-addressing table from distinct 64-bit keys to row numbers,
+    built and probed with whole arrays: 4 bytes a slot, 3 to 6 slots a key."""
 
     def __init__(self, keys: np.ndarray):
-        keys = np.ascontiguousarray(keys, np.uint64)
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.keys = keys = np.ascontiguousarray(keys, np.uint64)
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
         self.mask = np.uint64((1 << self.bits) - 1)
-        self.slot_row = np.full(1 << self.bits, -1, np.int32)
-        self.slot_key = np.zeros(1 << self.bits, np.uint64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
         rows, at = np.arange(len(keys), dtype=np.int32), self._home(keys)
         while len(rows):
-            free = self.slot_row[at] < 0
-            first = np.full(1 << self.bits, -1, np.int32) if len(rows) > 4096 else None
-            if first is not None:
-                first[at[free][::-1]] = rows[free][::-1]
-                won = free & (first[at] == rows)
-            else:
-                _, index = np.unique(at, return_index=True)
-                won = np.zeros(len(rows), bool)
-                won[index] = True
-                won &= free
-            self.slot_row[at[won]] = rows[won]
-            self.slot_key[at[won]] = keys[rows[won]]
-            rows, at = rows[~won], (at[~won] + np.uint64(1)) & self.mask
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]  # of several rows for a slot the last stays
+            lost = self.slots[at] != rows
+            rows, at = rows[lost], (at[lost] + np.uint64(1)) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row number of each key, -1 if absent."""
+        if len(self.keys) == 0:
+            return np.full(len(keys), -1, np.int32)
         at = self._home(keys)
-        row = self.slot_row[at]
-        open_ = np.flatnonzero((row >= 0) & (self.slot_key[at] != keys))
+        row = self.slots[at]
+        open_ = np.flatnonzero((self.keys[row] != keys) & (row >= 0))
         while len(open_):
             at[open_] = (at[open_] + np.uint64(1)) & self.mask
-            nxt = at[open_]
-            row[open_] = self.slot_row[nxt]
-            open_ = open_[(row[open_] >= 0) & (self.slot_key[nxt] != keys[open_])]
+            row[open_] = self.slots[at[open_]]
+            open_ = open_[(self.keys[row[open_]] != keys[open_]) & (row[open_] >= 0)]
         return row
