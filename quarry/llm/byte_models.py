@@ -181,9 +181,11 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], classes: int,
-          order: int = ORDER, lower: bool = False, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``keep..., total double, bytes long``: the sum of the model's values
-    over all bytes of each text.  With a model of one part this is one narrow
+          order: int = ORDER, lower: bool = False, floors: tuple[float, ...] = (0.0,),
+          max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``keep..., total0, total1, ... double, bytes long``: the sum of the
+    model's values over all bytes of each text, one sum for each of
+    ``floors``, which leaves out values nearer to 0 than it.  With a model of one part this is one narrow
     pass; with more, each part is a pass and the sums are added by row."""
     spark = docs.sparkSession
     unseen = math.log(1.0 / 256) if classes == 1 else 0.0
@@ -192,7 +194,8 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
     pair = F.lit(0xFFFF)
     parts = (model.withColumn("as_gram", _owner(F.shiftright("code", 8).bitwiseAND(pair), passes))
              .withColumn("as_context", _owner(F.col("code").bitwiseAND(pair), passes)))
-    fields = [StructField("total", DoubleType()), StructField("bytes", LongType())]
+    totals = [f"total{i}" for i in range(len(floors))]
+    fields = [StructField(t, DoubleType()) for t in totals] + [StructField("bytes", LongType())]
     made = []
     for p in range(passes):
         mine = parts.filter((k < 3) | (F.col("as_gram") == p) | (F.col("as_context") == p))
@@ -200,13 +203,13 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
         data = spark.sparkContext.broadcast(tuple(
             rows.column(i).to_numpy(zero_copy_only=False).astype(t)
             for i, t in enumerate((np.uint64, np.float32, np.float32))))
-        made.append(per_text(docs, text_col, keep, fields, _summing(data, order, unseen, lower, p, passes)))
+        made.append(per_text(docs, text_col, keep, fields, _summing(data, order, unseen, lower, floors, p, passes)))
     if passes == 1:
         return made[0]
     rows = made[0]
     for more in made[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy(*keep).agg(F.sum("total").alias("total"), F.max("bytes").alias("bytes"))
+    return rows.groupBy(*keep).agg(*[F.sum(t).alias(t) for t in totals], F.max("bytes").alias("bytes"))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -220,7 +223,7 @@ def _scorer(key: str, data, order: int, unseen: float) -> Scorer:
     return _SCORERS[key]
 
 
-def _summing(data, order, unseen, lower, p, passes):
+def _summing(data, order, unseen, lower, floors, p, passes):
     key = uuid.uuid4().hex
 
     def run(buf, off):
@@ -230,7 +233,10 @@ def _summing(data, order, unseen, lower, p, passes):
             mine = _owner((codes >> np.uint64(8)).astype(np.int64) & 0xFFFF, passes) == p
         values = np.zeros(len(codes))
         values[mine] = _scorer(key, data, order, unseen)(codes[mine])
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        return [sums[off[1:]] - sums[off[:-1]], np.diff(off)]
+        made = []
+        for floor in floors:
+            sums = np.concatenate([[0.0], np.cumsum(np.where(np.abs(values) < floor, 0.0, values))])
+            made.append(sums[off[1:]] - sums[off[:-1]])
+        return made + [np.diff(off)]
 
     return run

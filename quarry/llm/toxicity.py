@@ -4,8 +4,11 @@ Two byte models are trained side by side, on texts labelled toxic and on
 texts labelled ordinary; their lower orders share the counts of both classes,
 so an expression too rare to tell the classes apart gets nearly equal
 probabilities from both.  A text's evidence is the difference of its
-log-likelihoods over its length, and a logistic curve, fitted on labelled
-rows that trained neither model, turns it into a score.
+log-likelihoods over its length.  Bytes whose probabilities differ by less
+than a floor count as equally likely, else the sampling noise of thousands of
+ordinary bytes hides a few telling words; the floor, of a few fixed ones, and
+a logistic curve that turns evidence into a score are fitted on labelled rows
+that trained neither model.
 
 Rows with ``crc32(doc_id) % 5 = 0`` are held out; remainder 1 fits the curve,
 the others train the models.  At most about ``max_labels`` labelled rows
@@ -27,7 +30,8 @@ from quarry.llm.byte_models import count_windows, estimate, score
 
 SHARED = 2
 FOLDS = 5
-DAMP = 30.0  # bytes of no evidence added to every text's length
+DAMP = 100.0  # bytes of no evidence added to every text's length
+FLOORS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0)
 
 
 def fold(id_col: str) -> Column:
@@ -70,11 +74,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / scale, b
 
 
+def curve(x, slope: float, offset: float):
+    return 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+
+
 class Model:
-    """The n-gram table and the score curve."""
+    """The n-gram table, the evidence floor and the score curve."""
 
-    def __init__(self, grams: DataFrame | None, slope: float, offset: float, prior: float):
-        self.grams, self.slope, self.offset, self.prior = grams, slope, offset, prior
+    def __init__(self, grams: DataFrame | None, floor: float = 0.0, slope: float = 1.0,
+                 offset: float = 0.0, prior: float = 0.0):
+        self.grams, self.floor, self.slope, self.offset, self.prior = grams, floor, slope, offset, prior
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -83,22 +92,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = rows.groupBy("__class").count().collect()
     n = {r["__class"]: r["count"] for r in n}
     if not (n.get(0) and n.get(1)):
-        return Model(None, 0.0, 0.0, 0.0)
+        return Model(None)
     windows = count_windows(rows.filter("__fold > 1"), "__text", "__class", 2, lower=True)
     grams = estimate(windows, 2, shared=SHARED)
-    check = score(rows.filter("__fold = 1"), grams, "__text", ["__class"], 2, lower=True)
-    pairs = check.select(evidence(F.col("total"), F.col("bytes")).alias("x"), "__class").toArrow()
-    x, y = pairs.column(0).to_numpy(), pairs.column(1).to_numpy().astype(float)
-    slope, offset = fit_curve(x, y) if 0 < y.sum() < len(y) else (1.0, 0.0)
-    return Model(grams, slope, offset, n[1] / (n[0] + n[1]))
+    check = score(rows.filter("__fold = 1"), grams, "__text", ["__class"], 2, lower=True, floors=FLOORS)
+    pairs = check.select("__class", *[evidence(F.col(f"total{i}"), F.col("bytes")).alias(f"x{i}")
+                                      for i in range(len(FLOORS))]).toArrow()
+    y = pairs.column(0).to_numpy().astype(float)
+    prior = n[1] / (n[0] + n[1])
+    if not 0 < y.sum() < len(y):
+        return Model(grams, prior=prior)
+    fits = []
+    for i, floor in enumerate(FLOORS):
+        x = pairs.column(i + 1).to_numpy()
+        slope, offset = fit_curve(x, y)
+        p = np.clip(curve(x, slope, offset), 1e-12, 1 - 1e-12)
+        fits.append((-np.mean(np.log(np.where(y == 1, p, 1 - p))), floor, slope, offset))
+    return Model(grams, *min(fits)[1:], prior)
 
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep..., __score``: the columns asked for and the score."""
     if model.grams is None:
         return docs.select(*[f"`{c}`" for c in keep], F.lit(0.0).alias("__score"))
-    made = score(docs, model.grams, text_col, keep, 2, lower=True)
-    x = evidence(F.col("total"), F.col("bytes"))
+    made = score(docs, model.grams, text_col, keep, 2, lower=True, floors=(model.floor,))
+    x = evidence(F.col("total0"), F.col("bytes"))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.slope) * x + F.lit(model.offset))))
     prior = min(model.prior, math.nextafter(0.5, 0))
     return made.select(*[f"`{c}`" for c in keep],
