@@ -192,7 +192,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     n = hosts.agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a")).first()
     prior = math.log((float(n["b"] or 0) + 1.0) / (float(n["a"] or 0) + 1.0))
     score = (F.lit(prior) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("shape_score", F.lit(0.0)))
-    return (urls.join(scored(hosts, "host"), "host", "left").join(scored(shapes, "shape"), "shape", "left")
+    # Written first, so that both sides of each join are plain exchanges and
+    # AQE can split a host or shape that holds a large share of the pages.
+    by_host, by_shape = materialize(scored(hosts, "host")), materialize(scored(shapes, "shape"))
+    return (urls.join(by_host, "host", "left").join(by_shape, "shape", "left")
             .withColumn("score", score)
             .select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
                     F.coalesce(F.col("fit.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
