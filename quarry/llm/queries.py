@@ -78,3 +78,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity(docs, model, ["doc_id"]).select(
         "doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("__score").alias("score"),
         (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op5_quality")
+def op5_quality(spark, sf_dir):
+    from quarry.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
