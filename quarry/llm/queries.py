@@ -85,3 +85,17 @@ def op5_quality(spark, sf_dir):
     from quarry.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public vocabulary file installed beside Python's libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op4_tokens")
+def op4_tokens(spark, sf_dir):
+    from quarry.llm.tokens import load_sentencepiece, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), *load_sentencepiece(vocabulary_path()), ["doc_id"])
