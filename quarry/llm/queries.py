@@ -99,3 +99,10 @@ def op4_tokens(spark, sf_dir):
     from quarry.llm.tokens import load_sentencepiece, token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), *load_sentencepiece(vocabulary_path()), ["doc_id"])
+
+
+@register("op2_embeddings")
+def op2_embeddings(spark, sf_dir):
+    from quarry.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
