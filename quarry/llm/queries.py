@@ -106,3 +106,10 @@ def op2_embeddings(spark, sf_dir):
     from quarry.llm.embeddings import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_jaccard")
+def op7_jaccard(spark, sf_dir):
+    from quarry.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
