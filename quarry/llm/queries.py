@@ -113,3 +113,10 @@ def op7_jaccard(spark, sf_dir):
     from quarry.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op1_decontaminate")
+def op1_decontaminate(spark, sf_dir):
+    from quarry.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
