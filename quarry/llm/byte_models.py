@@ -159,7 +159,7 @@ class Scorer:
 
     def __init__(self, codes, values, backs, order: int, unseen: float):
         self.table, self.order, self.unseen = Lookup(codes), order, unseen
-        self.values, self.backs = values, backs
+        self.values, self.backs = values, np.append(backs, 0.0)  # row -1, no such context: weight 1
         self.known = ~np.isnan(values)
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ class Scorer:
             if len(left) == 0:
                 return total
             context = self.table.find((bytes_ >> np.uint64(8)) | np.uint64(_tag(k - 1)))
-            total[left] += np.where(context >= 0, self.backs[context], 0.0)
+            total[left] += self.backs[context]
         total[left] += self.unseen
         return total
 

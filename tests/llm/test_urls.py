@@ -1,0 +1,73 @@
+import itertools
+import math
+
+from pyspark.sql import functions as F
+
+from quarry.llm.queries import URL_RULES
+from quarry.llm.urls import cut, host_and_path, judge, rule_for, word_counts
+
+URLS = {
+    "http://A.Example.ORG/es/x?y#z": ("a.example.org", "/es/x", "example.org/es/"),
+    "https://example.org/en/1#t": ("example.org", "/en/1", "example.org/en/1"),
+    "https://example.org/en/19": ("example.org", "/en/19", "example.org/en/1"),
+    "https://example.org/en/2": ("example.org", "/en/2", "org/"),
+    "http://borg/x": ("borg", "/x", None),
+    "http://x.org": ("x.org", "", None),
+    "http://x.org?a=/b": ("x.org", "", None),
+    "http://m.x.com/fr/1": ("m.x.com", "/fr/1", "com/fr/"),
+    "http://com/de/": ("com", "/de/", "com/de/"),
+    "ftp://h#/a://b": ("h", "", None),
+    "http:///p": ("", "/p", None),
+    "no scheme.org/es/": ("", "", None),
+    "": ("", "", None),
+    "É://ÉX.ORG/Ü\n/?": ("Éx.org", "/Ü\n/", "org/"),
+}
+
+
+def test_hosts_paths_and_rules(spark):
+    df = spark.createDataFrame([(u,) for u in [*URLS, None]], "url string")
+    host, path = host_and_path(F.col("url"))
+    rows = df.select("url", host.alias("h"), path.alias("p")) \
+        .withColumn("r", rule_for(F.col("h"), F.col("p"), URL_RULES)).collect()
+    for r in rows:
+        if r.url is not None:
+            assert (r.h, r.p, r.r and r.r.rule) == URLS[r.url]
+
+
+def test_cut_is_the_cheapest_split():
+    words = {"the": 50, "then": 20, "no": 9, "now": 7, "here": 8, "nowhere": 1, "he": 30}
+    total, text = sum(words.values()) + 1.0, "thenowhere"
+    unknown = math.log(total) + math.log(1000.0)
+    costs = {(i, j): math.log(total / words[text[i:j]]) for i in range(len(text))
+             for j in range(i + 1, len(text) + 1) if text[i:j] in words}
+    best = math.inf
+    for k in range(len(text)):
+        for cuts in itertools.combinations(range(1, len(text)), k):
+            edges = [0, *cuts, len(text)]
+            best = min(best, sum(costs.get((i, j), unknown if j - i == 1 else math.inf)
+                                 for i, j in zip(edges, edges[1:])))
+    got = cut(text, costs, unknown)
+    assert "".join(got) == text
+    assert abs(sum(math.log(total / words[w]) if w in words else unknown for w in got) - best) < 1e-9
+    assert cut("", {}, 1.0) == [] and cut("zz", {}, 1.0) == ["z", "z"]
+
+
+def test_word_counts(spark):
+    df = spark.createDataFrame([("The the<b>THE</b> tea",), (None,), ("",), ("tea1tea",), ("x" * 50,)], "html string")
+    assert sorted(r.n for r in word_counts(df, "html").collect()) == [2, 3, 3]
+
+
+def test_judge(spark):
+    pages = [(i, f"http://goodnews.org/a/{i}", "good news for all") for i in range(30)]
+    pages += [(100 + i, f"http://badcasino.com/de/{i}", "bad casino") for i in range(30)]
+    pages += [(200, "http://casinobad.net/x/1", None), (201, "http://newsgood.net/a/1", ""), (202, None, "t"),
+              (203, "junk", "t"), (None, "http://goodnews.net/a/", "t"), (200, "http://casinobad.net/x/1", "t")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("other"))
+    out = judge(df, URL_RULES).collect()
+    assert len(out) == len(pages)
+    by = {r.page_id: r for r in out}
+    assert by[200].verdict == "block" and by[201].verdict == "allow" and by[None].verdict == "allow"
+    assert by[202].host == by[202].path == "" and by[203].rule is None
+    assert by[5].rule == "org/" and by[105].verdict == "block" and by[105].rule == "com/de/"
+    assert judge(df.limit(0), URL_RULES).count() == 0
+    assert all(r.verdict == "allow" for r in judge(df.filter("page_id >= 200"), []).collect())
