@@ -11,15 +11,20 @@ and its size.  Two sets link when their overlap reaches
   their shingles into inverted lists.  The prefix order is the same for all:
   shingles by hash, and the most frequent ones, a bounded table of counts over
   all documents, last.  Any order finds all links; this one keeps passages
-  shared by many texts out of the prefixes.
+  shared by many texts out of the prefixes.  Prefixes are a little longer than
+  one common shingle asks for, so that linked sets meet in ``TOGETHER`` lists
+  (or their whole overlap): sets that meet in fewer by chance are no candidates.
 * The boundary is the largest size whose enumeration costs less than scanning
   its lists, both estimated from the counts.
 
-Lists are scanned twice.  First only neighbours by size are candidates, which
-is linear in a list; after exact verification and connected components, a
-list gives the pairs whose ends are still in different components.  Then every
-two members of a list are connected or verified, so no link is lost for the
-components, and a large group of copies never becomes all its pairs.
+Lists are met in rounds.  First only neighbours by size are candidates, which
+is linear in a list; then, while it pays, members outside a list's largest
+component meet the members of it that are in most lists; each round is
+verified exactly and followed by connected components.  Last, a list gives all
+pairs whose ends are still in different components, less those verified.  Then
+every two sets that meet often enough are connected or verified, so no link is
+lost for the components, and a large group of copies never becomes all its
+pairs.
 
 Verification sends each set to the smaller end of its pairs.  A bounded Bloom
 filter of the ids in question spares the scan the sets that nobody asked for;
@@ -52,6 +57,8 @@ LIGHT_LIMIT = 16  # sizes that are ever enumerated
 GROUP_POSTINGS = 500_000  # postings that a group of lists should have
 FILTER_BITS = 1 << 26  # bits of the largest Bloom filter (8 MB)
 TOKEN_BYTES = 5  # bytes of a shingle's hash kept for verification
+TOGETHER = 5  # lists that linked sets share at least
+HUBS = 3  # members of a list's largest component that the others meet first
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,7 +72,12 @@ class Threshold:
         return -(-(self.num * (x + y)) // (self.num + self.den))
 
     def prefix(self, n):
-        return n + (-self.num * n) // self.den + 1
+        """Shingles of a set of ``n`` that go into lists: two linked sets have
+        ``together`` of them in common."""
+        return np.minimum(n, n + (-self.num * n) // self.den + TOGETHER)
+
+    def together(self, x, y):
+        return np.minimum(TOGETHER, self.overlap(x, y))
 
     def close(self, small, large):
         return self.den * small >= self.num * large
@@ -251,8 +263,9 @@ def postings(docs: DataFrame, words: int, limit: Threshold, light: int, often: n
 
 
 def lists(packed: DataFrame, limit: Threshold, light: int) -> DataFrame:
-    """Distinct lists, ``mark, keys, sizes`` with members by size, and the
-    links that subsets prove (``mark`` null: first member with each other)."""
+    """Distinct lists, ``mark, keys, sizes, times`` with members by size and
+    the number of shingles that have the same members; with ``mark`` null the
+    links that subsets prove (first member with each other)."""
     def scan(batches):
         types = [np.uint64, np.int64, np.int32, np.int32]
         for _, (tokens, keys, sizes, places) in _parts(batches, ["tokens", "keys", "sizes", "places"], types):
@@ -276,7 +289,7 @@ def lists(packed: DataFrame, limit: Threshold, light: int) -> DataFrame:
                     ok = limit.overlap(s[0], s) <= -places[a]
                     if ok[1:].any():
                         ok[0] = True
-                        out[("s", k[ok].tobytes())] = (None, k[ok], s[ok])
+                        out[("s", k[ok].tobytes())] = [None, k[ok], s[ok], 1]
                     continue
                 if s[-1] <= light:
                     continue
@@ -284,26 +297,33 @@ def lists(packed: DataFrame, limit: Threshold, light: int) -> DataFrame:
                 keep = np.append(near, False) | np.append(False, near)
                 k, s = k[keep], s[keep]
                 if len(k) > 1:
-                    mark = mix(k.astype(np.uint64)).sum(dtype=np.uint64).astype(np.int64)
-                    out[("l", int(mark))] = (int(mark), k, s)
+                    mark = int(mix(k.astype(np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+                    out.setdefault(("l", mark), [mark, k, s, 0])[3] += 1
             if out:
                 rows = list(out.values())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                     pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["mark", "keys", "sizes"])
+                     pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+                     pa.array([r[3] for r in rows], pa.int64())], names=["mark", "keys", "sizes", "times"])
+
+    return materialize(packed.mapInArrow(scan, "mark long, keys array<long>, sizes array<int>, times long"))
+
 
-    found = packed.mapInArrow(scan, "mark long, keys array<long>, sizes array<int>")
-    kept = found.filter("mark is not null").dropDuplicates(["mark"])
-    return materialize(kept.unionByName(found.filter("mark is null")))
+PAIR = "x long, nx int, y long, ny int, times long"
 
 
-PAIR = "x long, nx int, y long, ny int"
+def _pair_batch(x, nx, y, ny, times):
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(nx, pa.int32()), pa.array(y, pa.int64()),
+                                       pa.array(ny, pa.int32()), pa.array(times, pa.int64())],
+                                      names=["x", "nx", "y", "ny", "times"])
 
 
-def _pair_batch(x, nx, y, ny):
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(nx, pa.int32()),
-                                       pa.array(y, pa.int64()), pa.array(ny, pa.int32())],
-                                      names=["x", "nx", "y", "ny"])
+def often_enough(pairs: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs that meet as often as a link needs to."""
+    need = F.least(F.lit(TOGETHER), F.ceil((F.col("nx") + F.col("ny")) * F.lit(limit.num)
+                                           / F.lit(limit.num + limit.den)))
+    return (pairs.groupBy("x", "nx", "y", "ny").agg(F.sum("times").alias("times"))
+            .filter(F.col("times") >= need).drop("times"))
 
 
 def neighbours(table: DataFrame, limit: Threshold) -> DataFrame:
@@ -313,36 +333,71 @@ def neighbours(table: DataFrame, limit: Threshold) -> DataFrame:
             keys, sizes = batch.column("keys"), batch.column("sizes")
             k, s = keys.flatten().to_numpy(), sizes.flatten().to_numpy()
             row = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+            times = batch.column("times").to_numpy()[row]
             ok = (row[1:] == row[:-1]) & limit.close(s[:-1], s[1:])
-            yield _pair_batch(k[:-1][ok], s[:-1][ok], k[1:][ok], s[1:][ok])
+            yield _pair_batch(k[:-1][ok], s[:-1][ok], k[1:][ok], s[1:][ok], times[1:][ok])
+
+    return table.mapInArrow(pairs, PAIR)
+
+
+def mixed_lists(table: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists of more than two members in several components: ``members``
+    (``key, n, degree, component``; the degree is how many shingles the set
+    has in such lists) and ``times``."""
+    single = table.select("mark", "times", F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
+    single = single.select("mark", "times", F.col("m.keys").alias("key"), F.col("m.sizes").alias("n"))
+    degree = materialize(single.groupBy("key", "n").agg(F.sum("times").alias("degree"))
+                         .join(groups, ["key", "n"]))
+    return (single.join(degree, ["key", "n"]).groupBy("mark")
+            .agg(F.collect_list(F.struct("key", "n", "degree", "component")).alias("members"),
+                 F.first("times").alias("times"), F.min("component").alias("low"),
+                 F.max("component").alias("high"))
+            .filter("low != high").select("members", "times"))
 
-    return table.mapInArrow(pairs, PAIR).distinct()
 
+def _members(batch):
+    for members, times in zip(batch.column("members"), batch.column("times").to_pylist()):
+        flat = members.values
+        k, s, d, g = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        order = np.lexsort((k, s))
+        yield k[order], s[order], d[order], g[order], times
 
-def across(table: DataFrame, groups: DataFrame, limit: Threshold, light: int) -> DataFrame:
-    """Pairs of list members in different components (``key, n, component``)."""
+
+def to_hubs(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
+    """Members outside a list's largest component with its members of the
+    highest degree and with their own neighbour in size."""
+    def pairs(batches):
+        for batch in batches:
+            for k, s, d, g, times in _members(batch):
+                parts, back, n = np.unique(g, return_inverse=True, return_counts=True)
+                large = np.flatnonzero(back == np.argmax(n))
+                stray = np.flatnonzero(back != np.argmax(n))
+                hubs = large[np.lexsort((k[large], -d[large]))][:HUBS]
+                a, b = np.repeat(stray, len(hubs)), np.tile(hubs, len(stray))
+                apart = g[stray[1:]] != g[stray[:-1]]
+                a, b = np.append(a, stray[:-1][apart]), np.append(b, stray[1:][apart])
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                ok = limit.close(s[a], s[b]) & (s[b] > light)
+                a, b = a[ok], b[ok]
+                yield _pair_batch(k[a], s[a], k[b], s[b], np.full(len(a), times))
+
+    return mixed.mapInArrow(pairs, PAIR).drop("times").distinct()
+
+
+def across(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
+    """All pairs of list members in different components."""
     def pairs(batches):
         for batch in batches:
-            for members in batch.column("members").to_pylist():
-                k = np.array([m["key"] for m in members])
-                s = np.array([m["n"] for m in members])
-                g = np.array([m["component"] for m in members])
-                order = np.lexsort((k, s))
-                k, s, g = k[order], s[order], g[order]
+            for k, s, _, g, times in _members(batch):
                 for i in range(len(k) - 1):
                     stop = int(np.searchsorted(s, s[i] * limit.den // limit.num, "right"))
                     j = np.arange(i + 1, stop)
                     j = j[(g[j] != g[i]) & (s[j] > light)]
                     if len(j):
-                        yield _pair_batch(np.full(len(j), k[i]), np.full(len(j), s[i]), k[j], s[j])
+                        yield _pair_batch(np.full(len(j), k[i]), np.full(len(j), s[i]), k[j], s[j],
+                                          np.full(len(j), times))
 
-    single = table.filter(F.size("keys") > 2).select("mark", F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
-    single = single.select("mark", F.col("m.keys").alias("key"), F.col("m.sizes").alias("n"))
-    mixed = (single.join(groups, ["key", "n"]).groupBy("mark")
-             .agg(F.collect_list(F.struct("key", "n", "component")).alias("members"),
-                  F.min("component").alias("low"), F.max("component").alias("high"))
-             .filter("low != high").select("members"))
-    return mixed.mapInArrow(pairs, PAIR).distinct()
+    return mixed.mapInArrow(pairs, PAIR)
 
 
 def id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -436,8 +491,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often, length = frequent(rows, parts)
     light = boundary(limit, length)
 
-    table = lists(postings(docs, words, limit, light, often, parts, "text"), limit, light)
-    listed = table.filter("mark is not null")
+    found = lists(postings(docs, words, limit, light, often, parts, "text"), limit, light)
+    listed = found.filter("mark is not null")
+    twos = materialize(neighbours(listed.filter(F.size("keys") == 2), limit)
+                       .groupBy("x", "nx", "y", "ny").agg(F.sum("times").alias("times")))
+    table = materialize(listed.filter(F.size("keys") > 2).groupBy("mark").agg(
+        F.first("keys").alias("keys"), F.first("sizes").alias("sizes"), F.sum("times").alias("times")))
 
     def named(pairs: DataFrame) -> DataFrame:
         for side, name in (("x", "a"), ("y", "b")):
@@ -449,23 +508,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.when(turn, F.col("y")).otherwise(F.col("x")).alias("x"),
             F.when(turn, F.col("x")).otherwise(F.col("y")).alias("y")).distinct()
 
-    star = table.filter("mark is null").select(
-        F.col("keys")[0].alias("x"), F.col("sizes")[0].alias("nx"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
-    star = named(star.select("x", "nx", F.col("m.keys").alias("y"), F.col("m.sizes").alias("ny"))
-                 .filter("x != y or nx != ny").distinct()).select("a", "b")
-    first = materialize(named(neighbours(listed, limit)))
-    links = materialize(star.unionByName(verify(docs, first, words, limit, "doc_id", "text")))
-
     def grouped(edges: DataFrame) -> DataFrame:
         return materialize(classes.join(components(edges, "a", "b"), F.col("first") == F.col("id"), "left")
                            .select("key", "n", F.coalesce("component", "first").alias("component")))
 
+    star = found.filter("mark is null").select(
+        F.col("keys")[0].alias("x"), F.col("sizes")[0].alias("nx"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
+    links = named(star.select("x", "nx", F.col("m.keys").alias("y"), F.col("m.sizes").alias("ny"))
+                  .filter("x != y or nx != ny").distinct()).select("a", "b")
+    met = materialize(named(often_enough(neighbours(table, limit).unionByName(twos), limit)))
+    links = materialize(links.unionByName(verify(docs, met, words, limit, "doc_id", "text")))
     groups = grouped(links)
-    second = materialize(named(across(listed, groups, limit, light))
-                         .join(first, ["a", "b", "x", "y"], "left_anti"))
-    if not second.isEmpty():
-        links = links.unionByName(verify(docs, second, words, limit, "doc_id", "text"))
+    apart = None
+    while True:  # while a round leaves at most half of the sets that were apart
+        mixed = materialize(mixed_lists(table, groups))
+        before, apart = apart, mixed.agg(F.sum(F.size("members"))).first()[0] or 0
+        if apart == 0 or (before is not None and apart > before / 2):
+            break
+        fresh = materialize(named(to_hubs(mixed, limit, light)).join(met, ["a", "b", "x", "y"], "left_anti"))
+        links = materialize(links.unionByName(verify(docs, fresh, words, limit, "doc_id", "text")))
+        met = materialize(met.unionByName(fresh))
         groups = grouped(links)
+    last = often_enough(across(mixed, limit, light).unionByName(twos), limit)
+    last = materialize(named(last).join(met, ["a", "b", "x", "y"], "left_anti"))
+    if not last.isEmpty():
+        groups = grouped(links.unionByName(verify(docs, last, words, limit, "doc_id", "text")))
     return (rows.select(F.col("id").alias("doc_id"), "n", "key").join(groups, ["key", "n"], "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
