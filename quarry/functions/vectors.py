@@ -1,5 +1,5 @@
-"""Vector expressions: L2 normalisation, inner product and dimension, plus
-the fixed values of the default text encoder (``operators.embed``)."""
+"""L2 normalisation and the bucket count of the default text encoder
+(``operators.embed``)."""
 from __future__ import annotations
 
 from pyspark.sql import Column
@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import col_of
 
-__all__ = ["l2_normalise", "inner_product", "dim", "TOKEN_PATTERN", "DEFAULT_BUCKETS"]
+__all__ = ["l2_normalise", "DEFAULT_BUCKETS"]
 
-# Fixed values of the default encoder: a token is a run of letters, marks
-# and digits of the lower-cased text; 4096 hash buckets.
-TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+"
+# Fixed value of the default encoder: 4096 hash buckets.
 DEFAULT_BUCKETS = 4096
 
 
@@ -24,13 +22,3 @@ def l2_normalise(v) -> Column:
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
     safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
     return F.zip_with(v, F.array_repeat(safe, F.size(v)), lambda x, n: x.cast("double") / n)
-
-
-def inner_product(a, b) -> Column:
-    """Sum of element products in doubles (cosine on unit vectors)."""
-    prods = F.zip_with(col_of(a), col_of(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-
-
-def dim(v) -> Column:
-    return F.size(col_of(v))

@@ -1,7 +1,7 @@
 """Prompts, generation and answer records.
 
 ``generate`` runs a caller's model over a prompt column in Arrow batches
-(``mapInPandas``: the model is built once per Python worker) and cleans its
+(``mapInArrow``: the model is built once per Python worker) and cleans its
 output with the native ``strip_reasoning`` expression.  ``answer`` puts
 retrieval, prompt, generation and catalogue matches into one record per
 question; hits are aggregated per question (at most k rows each), so no
@@ -13,58 +13,62 @@ import time
 import uuid
 from typing import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import CONTEXT_SEPARATOR, context_block, strip_reasoning, user_prompt
+from quarry.operators.workers import factory_key, kept
 from quarry.operators.retrieve import CATALOGUE_K, CATALOGUE_MIN, MIN_SCORE, TOP_K, match_catalogue, retrieve
 
-_MODELS: dict = {}
-
-
 def generate(df: DataFrame, model_factory: Callable[[], Callable[[str, str], str]],
              prompt_col: str = "prompt", system_prompt: str = "", out_col: str = "answer",
-             clean: bool = True, cache_key: str | None = None) -> DataFrame:
-    """Add ``out_col`` (model output, cleaned) and ``latency_ms`` per row.
+             clean: bool = True) -> DataFrame:
+    """Add ``out_col`` (model output, cleaned), ``error`` and ``latency_ms``.
 
     ``model_factory()`` returns ``chat(system, user) -> str``; it is called
-    once per Python worker.  Nulls and failures of the model become ''."""
-    key = cache_key or f"{id(model_factory)}"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", `{out_col}` string, latency_ms int"
-
-    def run(it):
-        chat = _MODELS.get(key)
-        if chat is None:
-            chat = _MODELS[key] = model_factory()
-        for pdf in it:
-            outs, lat = [], []
-            for p in pdf[prompt_col].tolist():
+    once per Python worker.  A null prompt goes in as ''.  A call that fails
+    gives a null output and its message in ``error`` (null otherwise), so a
+    broken model shows and the other rows stay.  The other columns pass
+    through as Arrow arrays, unchanged."""
+    out_cols = [out_col, "error", "latency_ms"]
+    src = df.drop(*out_cols)
+    at = src.columns.index(prompt_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    schema += f", `{out_col}` string, error string, latency_ms int"
+    key = factory_key(model_factory)
+
+    def run(batches):
+        chat = kept(key, model_factory)
+        for batch in batches:
+            outs, errors, took = [], [], []
+            for prompt in batch.column(at).to_pylist():
                 t0 = time.perf_counter()
+                out = error = None
                 try:
-                    o = chat(system_prompt, "" if p is None else p)
-                except Exception:  # a failing call must not break the batch
-                    o = ""
-                outs.append("" if o is None else str(o))
-                lat.append(int((time.perf_counter() - t0) * 1000))
-            pdf = pdf.copy()
-            pdf[out_col] = outs
-            pdf["latency_ms"] = pd.Series(lat, dtype="int32")
-            yield pdf
-
-    out = df.mapInPandas(run, schema)
+                    out = chat(system_prompt, "" if prompt is None else prompt)
+                except Exception as e:  # kept with its row, not hidden
+                    error = f"{type(e).__name__}: {e}"
+                outs.append(None if out is None else str(out))
+                errors.append(error)
+                took.append(int((time.perf_counter() - t0) * 1000))
+            yield pa.RecordBatch.from_arrays(
+                batch.columns + [pa.array(outs, pa.string()), pa.array(errors, pa.string()),
+                                 pa.array(took, pa.int32())], names=batch.schema.names + out_cols)
+
+    out = src.mapInArrow(run, schema)
     if clean:
         out = out.withColumn(out_col, strip_reasoning(out_col))
     return out
 
 
 def citations(hits: DataFrame, question_id: str = "query_id") -> DataFrame:
-    """Per question: ``citations array<struct<rank, chunk_id, section_id,
-    title, text, score>>`` in rank order, and the joined context."""
+    """Per question: ``citations array<struct<rank, passage_id, chunk_id,
+    section_id, title, text, score>>`` in rank order, and the joined context."""
+    chunk = "chunk_id" if "chunk_id" in hits.columns else "hit_id"
     agg = hits.groupBy(F.col(question_id)).agg(F.sort_array(F.collect_list(F.struct(
-        F.col("rank").cast("int").alias("rank"), F.col("hit_id").alias("chunk_id"), "section_id",
-        "title", "text", "score"))).alias("citations"))
+        F.col("rank").cast("int").alias("rank"), F.col("hit_id").cast("string").alias("passage_id"),
+        F.col(chunk).cast("string").alias("chunk_id"), "section_id", "title", "text", "score"))).alias("citations"))
     ctx = F.array_join(F.transform("citations", lambda c: context_block(c["section_id"], c["title"],
                                                                         c["text"])), CONTEXT_SEPARATOR)
     return agg.withColumn("context", ctx)
@@ -79,35 +83,48 @@ def prompts(questions: DataFrame, hits: DataFrame, question_id: str = "query_id"
             .withColumn("prompt", user_prompt(question_text, "context")))
 
 
+# The same type with and without a catalogue, whatever its columns.
+SCHEMES = "array<struct<rank:int,id:string,score:double,fields:map<string,string>>>"
+
+
 def answer(questions: DataFrame, passages: DataFrame,
            model_factory: Callable[[], Callable[[str, str], str]], *,
            catalogue: DataFrame | None = None, catalogue_kw: dict | None = None,
            k: int = TOP_K, min_score: float = MIN_SCORE, question_id: str = "query_id",
-           question_text: str = "question", passage_id: str = "chunk_id",
-           system_prompt: str = "", **search_kw) -> DataFrame:
-    """One record per question: ``question_id, question, answer, citations,
-    schemes, latency_ms`` (schemes empty when no catalogue is given)."""
+           question_text: str = "question", passage_id: str = "passage_id",
+           system_prompt: str = "", encoder_factory=None, **search_kw) -> DataFrame:
+    """One record per question: ``question_id, question, answer, error,
+    citations, schemes, latency_ms`` (schemes empty without a catalogue;
+    ``latency_ms`` is the model call's).  ``encoder_factory`` encodes
+    questions, passages and catalogue."""
     hits = retrieve(questions, passages, k, min_score, question_id=question_id,
-                    question_text=question_text, passage_id=passage_id,
-                    attach=["section_id", "title", "text"], **search_kw)
+                    question_text=question_text, passage_id=passage_id, encoder_factory=encoder_factory,
+                    attach=["chunk_id", "section_id", "title", "text"], **search_kw)
     p = prompts(questions.select(question_id, question_text), hits, question_id, question_text)
     out = generate(p, model_factory, "prompt", system_prompt)
     empty_cites = F.array().cast(out.schema["citations"].dataType)
     out = out.withColumn("citations", F.coalesce("citations", empty_cites))
+    no_schemes = F.array().cast(SCHEMES)
     if catalogue is not None:
         kw = dict(catalogue_kw or {})
         cid = kw.get("catalogue_id", "scheme_id")
         m = match_catalogue(questions, catalogue, kw.pop("k", CATALOGUE_K), kw.pop("min_score", CATALOGUE_MIN),
-                            question_id=question_id, question_text=question_text, **kw)
-        cat_cols = [c for c in catalogue.columns if c != cid]
-        schemes = m.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
-            F.col("rank").cast("int").alias("rank"), F.col("hit_id").alias(cid), *cat_cols, "score")))
-            .alias("schemes")).withColumnRenamed("query_id", question_id)
-        out = out.join(schemes, question_id, "left")
-        out = out.withColumn("schemes", F.coalesce("schemes", F.array().cast(out.schema["schemes"].dataType)))
+                            question_id=question_id, question_text=question_text,
+                            encoder_factory=encoder_factory, **kw)
+        fields = F.create_map(*[x for c in catalogue.columns if c != cid
+                                for x in (F.lit(c), F.col(c).cast("string"))]) \
+            if len(catalogue.columns) > 1 else F.create_map().cast("map<string,string>")
+        # Sorted by rank before the map is put in: maps have no order.
+        rows = m.select("query_id", F.struct(F.col("rank").cast("int").alias("rank"),
+                                             F.col("hit_id").cast("string").alias("id"), "score",
+                                             fields.alias("fields")).alias("s"))
+        schemes = rows.groupBy("query_id").agg(F.array_sort(
+            F.collect_list("s"), lambda a, b: a["rank"] - b["rank"]).cast(SCHEMES).alias("schemes"))
+        out = out.join(schemes.withColumnRenamed("query_id", question_id), question_id, "left")
+        out = out.withColumn("schemes", F.coalesce("schemes", no_schemes))
     else:
-        out = out.withColumn("schemes", F.array().cast("array<struct<rank:int>>"))
-    return out.select(question_id, question_text, "answer", "citations", "schemes", "latency_ms")
+        out = out.withColumn("schemes", no_schemes)
+    return out.select(question_id, question_text, "answer", "error", "citations", "schemes", "latency_ms")
 
 
 def traces(answers: DataFrame, params: dict, question_id: str = "query_id",

@@ -1,14 +1,13 @@
-"""Overlapping chunks of section texts.
+"""Overlapping character chunks of section texts.
 
-``char_chunks`` is fully native: the number of windows is a closed formula,
-``sequence`` + ``explode`` generates them and ``substring`` cuts them, so
-chunking is a narrow transformation with no Python and no shuffle.
-``token_chunks`` windows over BPE ids in an Arrow-batched pandas UDF (the
-tokenizer is built once per Python worker).
+A text is cut once into pieces one step long; each window is a piece and the
+beginning of the next ones, put together by zipping the pieces with
+themselves, shifted.  Every character is touched a constant number of times,
+only the windows are exploded (not the text), and all of it is native: a
+narrow transformation without Python, linear in the length of a text.
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +22,24 @@ def check_window(chunk_tokens: int, overlap: int) -> None:
 
 
 def n_windows(length: Column, width: int, step: int) -> Column:
-    """Windows a loop with stride ``step`` emits before one reaches the end."""
+    """Windows a text of ``length`` characters has: the first one that reaches
+    the end is the last."""
     return F.when(length <= width, F.lit(1)).otherwise(
         F.lit(1) + F.floor((length - width + step - 1) / step).cast("int"))
 
 
+def windows(text: Column, width: int, step: int) -> Column:
+    """``array<string>`` of the windows of ``width`` characters every ``step``."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0)
+    out = pieces
+    for shift in range(1, -(-width // step)):
+        later = F.slice(pieces, shift + 1, F.size(pieces))
+        size = min(step, width - shift * step)
+        out = F.zip_with(out, later, lambda a, b: F.concat(
+            a, F.coalesce(F.substring(b, 1, size), F.lit(""))))
+    return F.slice(out, 1, n_windows(F.length(text), width, step))
+
+
 def chunk_id(section_id, idx) -> Column:
     """``<section>::chunk_0007``; indexes above 9999 keep all their digits."""
     sid = F.col(section_id) if isinstance(section_id, str) else section_id
@@ -45,78 +57,14 @@ def char_chunks(df: DataFrame, chunk_tokens: int = 512, overlap: int = 64,
     step = (chunk_tokens - overlap) * CHARS_PER_TOKEN
     keep = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
     t = F.col(text_col)
-    base = df.filter(F.length(t) > 0)
     return (
-        base.select(*keep, t.alias("_t"),
-                    F.explode(F.sequence(F.lit(0), n_windows(F.length(t), width, step) - 1))
-                    .alias("chunk_index"))
+        df.filter(F.length(t) > 0)
+        .select(*keep, F.posexplode(windows(t, width, step)).alias("chunk_index", "_c"))
         .select(*keep, chunk_id(id_col, "chunk_index").alias("chunk_id"),
-                F.col("chunk_index").cast("int").alias("chunk_index"),
-                F.substring(F.col("_t"), F.col("chunk_index") * step + 1, width).alias(text_col))
+                F.col("chunk_index").cast("int").alias("chunk_index"), F.col("_c").alias(text_col))
     )
 
 
 def chunk_counts(chunks: DataFrame, by: str = "section_id") -> DataFrame:
     """Chunks per section, ordered by id (a text sort)."""
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks")).orderBy(by)
-
-
-# ---------------------------------------------------------------- token windows
-
-_ENCODERS: dict = {}
-
-
-def bpe_encoder(name: str = "byte_bpe_50k"):
-    """A tiktoken encoder over a local public vocabulary, cached per process."""
-    enc = _ENCODERS.get(name)
-    if enc is None:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-        import public_tokenizers as pt
-
-        ranks = load_tiktoken_bpe(pt.path(f"{name}.tiktoken"))
-        enc = tiktoken.Encoding(name=name, pat_str=pt.PATTERN, mergeable_ranks=ranks,
-                                special_tokens={})
-        _ENCODERS[name] = enc
-    return enc
-
-
-def token_windows(text: str, chunk_tokens: int, overlap: int, enc) -> list[str]:
-    """Windows of ``chunk_tokens`` ids with stride ``chunk_tokens-overlap``,
-    each decoded back to text; stops once a window reaches the end."""
-    if not text:
-        return []
-    ids = enc.encode_ordinary(text)
-    if not ids:
-        return []
-    step = chunk_tokens - overlap
-    out = []
-    for start in range(0, len(ids), step):
-        out.append(enc.decode(ids[start:start + chunk_tokens]))
-        if start + chunk_tokens >= len(ids):
-            break
-    return out
-
-
-def token_chunks(df: DataFrame, chunk_tokens: int = 512, overlap: int = 64,
-                 text_col: str = "text", id_col: str = "section_id", keep=None,
-                 vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """Token windows (BPE), same output shape as :func:`char_chunks`."""
-    from pyspark.sql.functions import pandas_udf
-
-    check_window(chunk_tokens, overlap)
-    keep = [c for c in (keep if keep is not None else [id_col]) if c != text_col]
-
-    @pandas_udf("array<string>")
-    def windows(texts: pd.Series) -> pd.Series:
-        enc = bpe_encoder(vocabulary)
-        return texts.map(lambda s: token_windows(s, chunk_tokens, overlap, enc))
-
-    t = F.col(text_col)
-    return (
-        df.filter(F.length(t) > 0)
-        .select(*keep, F.posexplode(windows(t)).alias("chunk_index", "_c"))
-        .select(*keep, chunk_id(id_col, "chunk_index").alias("chunk_id"),
-                F.col("chunk_index").cast("int").alias("chunk_index"),
-                F.col("_c").alias(text_col))
-    )

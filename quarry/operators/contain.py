@@ -1,135 +1,97 @@
 """Which long texts contain which short texts, exactly, without pairing
 every needle with every haystack.
 
-Haystacks are cut into q-grams at every ``s``-th position; each needle
-contributes its q-grams at offsets 0..s-1.  If a needle occurs at offset o,
-the grid position g in [o, o+s-1] makes the haystack gram at g equal the
-needle gram at g-o, so an equi-join on the gram finds every occurrence
-together with its offset o = g - (g-o); a substring comparison at that
-offset then confirms it.  Needles shorter than q+s-1 are handled at a finer
-level (smaller q and s), down to single characters.  Empty needles are
-skipped: they would pair with every haystack.
+A needle is known by its first 8 bytes (all of them if it is shorter).  One
+scan of the haystacks packs the bytes at every position into a 64-bit number,
+finds those that some needle starts with, and compares only there.  Needles
+are taken in blocks of at most ``block_bytes``, measured before they are
+fetched; each block is broadcast and met by one scan, so texts stay in the
+partition that read them and any number of needles has bounded memory.
+UTF-8 bytes are compared, which agrees with comparing characters.
 """
 from __future__ import annotations
 
+import math
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# (q, s) per level, coarse to fine; a needle goes to the first level whose
-# q + s - 1 does not exceed its length.
-LEVELS = ((16, 16), (4, 4), (1, 1))
+from quarry.operators.workers import kept_last
+from quarry.session import materialize
 
+HEAD = 8
 
-def _grams(df: DataFrame, id_col: str, text_col: str, q: int, step: int, count_expr) -> DataFrame:
-    return (df.select(id_col, text_col, F.explode(F.sequence(F.lit(0), count_expr - 1)).alias("_i"))
-            .select(id_col, (F.col("_i") * step).alias("pos"),
-                    F.substring(text_col, F.col("_i") * step + 1, q).alias("gram")))
 
+class Needles:
+    """A block of needles: by length of head, the sorted heads and the
+    needles that start with each."""
 
-_AUTOMATA: dict = {}
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
-
-
-def _automaton(key, texts):
-    a = _AUTOMATA.get(key)
-    if a is None:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        by_size: dict[int, dict[int, list[int]]] = {}
         for i, t in enumerate(texts):
-            a.add_word(t, i)
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return a
+            head = t[:HEAD]
+            by_size.setdefault(len(head), {}).setdefault(int.from_bytes(head, "little"), []).append(i)
+        self.heads = {n: (np.array(sorted(h), np.uint64), [h[k] for k in sorted(h)]) for n, h in by_size.items()}
+
+    def found(self, data: bytes) -> set[int]:
+        out: set[int] = set()
+        raw = np.frombuffer(data, np.uint8)
+        code = np.zeros(len(raw), np.uint64)
+        for n in range(1, min(HEAD, len(raw)) + 1):
+            code = code[:len(raw) - n + 1] | raw[n - 1:].astype(np.uint64) << np.uint64(8 * (n - 1))
+            if n not in self.heads:
+                continue
+            heads, needles = self.heads[n]
+            at = np.minimum(np.searchsorted(heads, code), len(heads) - 1)
+            for p in np.flatnonzero(heads[at] == code).tolist():
+                for i in needles[at[p]]:
+                    if i not in out and (n < HEAD or data.startswith(self.texts[i], p)):
+                        out.add(i)
+        return out
 
 
 def containing(needles: DataFrame, haystacks: DataFrame, needle_id: str = "needle_id",
                needle_text: str = "needle", hay_id: str = "doc_id", hay_text: str = "text",
-               levels=LEVELS, method: str = "auto", max_needles: int = 200_000,
-               max_bytes: int = 64 << 20) -> DataFrame:
-    """Distinct ``needle_id, doc_id`` pairs where the haystack text contains
-    the needle text.  ``auto``: when the needle set is proven small (row and
-    byte caps) it is broadcast as one Aho-Corasick automaton and every task
-    scans its haystacks once (``mapInArrow``; texts stay where they were
-    read); else the gram equi-join below."""
-    if method in ("auto", "automaton"):
-        npdf = (needles.select(F.col(needle_id).alias("_nid"), F.col(needle_text).alias("_nt"))
-                .filter(F.length("_nt") > 0).limit(max_needles + 1).toPandas())
-        size = int(npdf["_nt"].map(lambda t: len(t.encode("utf-8"))).sum()) if len(npdf) else 0
-        if len(npdf) <= max_needles and size <= max_bytes:
-            return _automaton_plan(npdf, haystacks, needle_id, hay_id, hay_text, needles, needle_id)
-        if method == "automaton":
-            raise ValueError("needle set too large to broadcast; use method='grams'")
-    return _gram_plan(needles, haystacks, needle_id, needle_text, hay_id, hay_text, levels)
-
-
-def _automaton_plan(npdf, haystacks, needle_id, hay_id, hay_text, needles, nid_col) -> DataFrame:
+               block_bytes: int = 16 << 20) -> DataFrame:
+    """``needle_id, doc_id`` pairs where the haystack text contains the needle
+    text, one per pair of rows.  Null and empty texts match nothing; ids may
+    have any type."""
     spark = haystacks.sparkSession
-    # Needles with equal text share one automaton entry.
-    groups = npdf.groupby("_nt", sort=True)["_nid"].apply(list)
-    texts, ids = list(groups.index), list(groups.values)
-    bc = spark.sparkContext.broadcast((texts, ids))
-    key = f"ac-{uuid.uuid4().hex}"
-    ntype = needles.schema[nid_col].dataType.simpleString()
-    htype = haystacks.schema[hay_id].dataType.simpleString()
-    ntype_pa, htype_pa = _ARROW[ntype], _ARROW[htype]
+    texts = (needles.select(F.col(needle_text).alias("_nt")).filter(F.length("_nt") > 0)
+             .distinct())
+    weight = texts.agg(F.sum(F.octet_length("_nt") + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(weight / block_bytes))
+    if blocks > 1:
+        texts = materialize(texts)
+    src = haystacks.select(F.col(hay_id).alias("_hid"), F.col(hay_text).alias("_ht")).filter(F.length("_ht") > 0)
+    hid = haystacks.schema[hay_id].dataType.simpleString()
+    hits = None
+    for block in range(blocks):
+        mine = texts.filter(F.pmod(F.xxhash64("_nt"), F.lit(blocks)) == block).toArrow().column(0).to_pylist()
+        data = spark.sparkContext.broadcast([t.encode("utf-8") for t in mine])
+        part = src.mapInArrow(_scan(data), f"_hid {hid}, _nt string")
+        hits = part if hits is None else hits.unionByName(part)
+    named = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_text).alias("_nt"))
+    return hits.join(named, "_nt").select(F.col("_nid").alias(needle_id), F.col("_hid").alias(hay_id))
+
+
+def _scan(data):
+    key = uuid.uuid4().hex
 
     def run(batches):
-        t, i = bc.value
-        auto = _automaton(key, t)
-        for b in batches:
-            hids = b.column(0).to_pylist()
-            out_n, out_h = [], []
-            for hid, txt in zip(hids, b.column(1).to_pylist()):
-                if not txt:
-                    continue
-                seen = {v for _end, v in auto.iter(txt)}
-                for v in seen:
-                    for nid in i[v]:
-                        out_n.append(nid)
-                        out_h.append(hid)
-            yield pa.RecordBatch.from_arrays([pa.array(out_n, type=ntype_pa), pa.array(out_h, type=htype_pa)],
-                                             names=[needle_id, hay_id])
-
-    src = haystacks.select(hay_id, hay_text).filter(F.col(hay_text).isNotNull())
-    return src.mapInArrow(run, f"`{needle_id}` {ntype}, `{hay_id}` {htype}")
-
-
-def _gram_plan(needles, haystacks, needle_id, needle_text, hay_id, hay_text, levels) -> DataFrame:
-    n = needles.select(F.col(needle_id).alias("_nid"), F.col(needle_text).alias("_nt")).filter(
-        F.col("_nt").isNotNull())
-    h = haystacks.select(F.col(hay_id).alias("_hid"), F.col(hay_text).alias("_ht")).filter(
-        F.col("_ht").isNotNull())
-    # Only the levels some needle needs (one small aggregate over needles).
-    shortest = n.filter(F.length("_nt") > 0).agg(F.min(F.length("_nt"))).first()[0]
-    out = []
-    lo = 10 ** 9
-    for q, s in levels:
-        need = q + s - 1
-        if shortest is None or shortest >= lo:
-            break
-        sel = (F.length("_nt") >= need) & (F.length("_nt") < lo)
-        lo = need
-        lvl = n.filter(sel)
-        ng = _grams(lvl, "_nid", "_nt", q, 1, F.lit(s))
-        hg = _grams(h.filter(F.length("_ht") >= q), "_hid", "_ht", q, s,
-                    F.floor((F.length("_ht") - q) / s).cast("int") + 1)
-        cand = (ng.withColumnRenamed("pos", "npos")
-                .join(hg.withColumnRenamed("pos", "hpos"), "gram")
-                .select("_nid", "_hid", (F.col("hpos") - F.col("npos")).alias("off"))
-                .filter(F.col("off") >= 0).distinct())
-        hit = (cand.join(lvl, "_nid").join(h, "_hid")
-               .filter(F.substring("_ht", F.col("off") + 1, F.length("_nt")) == F.col("_nt"))
-               .select("_nid", "_hid"))
-        out.append(hit)
-    if not out:
-        return n.select(F.col("_nid").alias(needle_id), F.lit(None).cast(
-            haystacks.schema[hay_id].dataType).alias(hay_id)).limit(0)
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res.distinct().select(F.col("_nid").alias(needle_id), F.col("_hid").alias(hay_id))
+        block = kept_last("needles", key, lambda: Needles(data.value))
+        for batch in batches:
+            rows, texts = [], []
+            for i, text in enumerate(batch.column(1)):
+                for n in block.found(text.as_buffer().to_pybytes()):
+                    rows.append(i)
+                    texts.append(block.texts[n].decode("utf-8"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())],
+                names=["_hid", "_nt"])
+
+    return run

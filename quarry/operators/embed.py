@@ -2,9 +2,8 @@
 
 The default encoder (hashed term frequencies, L2-normalised) runs on whole
 Arrow batches: Arrow kernels lower-case and split, numpy counts.  A model
-encoder plugs in through ``mapInPandas``: the
-model is loaded once per Python worker and fed Arrow batches; its output is
-L2-normalised in the same pass.
+encoder plugs in through ``mapInArrow``: it is built once per Python worker
+and fed Arrow batches; its output is L2-normalised natively.
 """
 from __future__ import annotations
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import DEFAULT_BUCKETS, l2_normalise
+from quarry.operators.workers import factory_key, kept
 
 
 def bucket_of(token: str, buckets: int) -> int:
@@ -109,44 +109,34 @@ def sparse_long(vectors: DataFrame, keys) -> DataFrame:
                                                        F.col("weights").alias("weight"))))
 
 
-def normalise(df: DataFrame, vec_col: str = "embedding", out_col: str | None = None) -> DataFrame:
-    """L2-normalise a dense vector column (doubles); zero vectors stay zero."""
-    return df.withColumn(out_col or vec_col, l2_normalise(vec_col))
-
-
-_MODELS: dict = {}
-
-
 def embed(df: DataFrame, encoder_factory: Callable[[], Callable[[list], np.ndarray]],
-          text_col: str = "text", keep=None, batch_size: int = 32,
-          cache_key: str = "default") -> DataFrame:
-    """Dense unit vectors from a model: ``encoder_factory()`` returns a
-    callable mapping a list of texts to an (n x dim) array.  The model is
-    built once per Python worker and called on slices of ``batch_size``."""
-    keep = [c for c in (keep if keep is not None else df.columns)]
-    fields = [f for f in df.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", embedding array<float>"
-
-    def run(it):
-        enc = _MODELS.get(cache_key)
-        if enc is None:
-            enc = _MODELS[cache_key] = encoder_factory()
-        for pdf in it:
-            texts = pdf[text_col].fillna("").tolist()
-            parts = [np.asarray(enc(texts[i:i + batch_size]), dtype=np.float32)
+          text_col: str = "text", keep=None, batch_size: int = 32) -> DataFrame:
+    """Dense unit vectors ``embedding array<float>`` from a model:
+    ``encoder_factory()`` returns a callable mapping a list of texts to an
+    (n x dim) array; nulls go in as ''.  Only ``keep`` and the text travel to
+    Python, in Arrow batches; the model is built once per worker."""
+    keep = [c for c in (keep if keep is not None else df.columns) if c not in ("embedding", "_text")]
+    src = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "_text"]
+    key = factory_key(encoder_factory)
+
+    def run(batches):
+        encode = kept(key, encoder_factory)
+        for b in batches:
+            texts = b.column(len(keep)).to_pylist()
+            parts = [np.asarray(encode(texts[i:i + batch_size]), dtype=np.float64)
                      for i in range(0, len(texts), batch_size)]
-            arr = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
-            norms = np.linalg.norm(arr, axis=1, keepdims=True)
-            norms[norms == 0] = 1.0
-            arr = arr / norms
-            out = pdf[keep].copy()
-            out["embedding"] = list(arr)
-            yield out
+            rows = np.concatenate(parts) if parts else np.zeros((0, 1))
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * rows.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(i) for i in range(len(keep))]
+                + [pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], names=keep + ["_raw"])
 
-    return df.mapInPandas(run, schema)
+    raw = src.mapInArrow(run, ", ".join(fields + ["_raw array<double>"]))
+    return raw.select(*keep, l2_normalise("_raw").cast("array<float>").alias("embedding"))
 
 
-def build_vector_set(passages: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
+def build_vector_set(passages: DataFrame, id_col: str = "passage_id", text_col: str = "text",
                      encoder_factory=None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Vectors of a passage table (default encoder: hashed terms; else a
     model through :func:`embed`).  An empty passage table cannot be indexed."""

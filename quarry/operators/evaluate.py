@@ -11,35 +11,45 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import judge_prompt, parse_verdict
-from quarry.operators.answers import generate
+from quarry.operators.answers import answer, generate
+from quarry.session import materialize
 
 
 def hit_flags(items: DataFrame, hits: DataFrame, item_id: str = "query_id",
               expected: str = "expected_section", hit_section: str = "section_id",
               k: int = 5) -> DataFrame:
     """Items with ``retrieved array<string>`` (ids in rank order, not made
-    distinct), ``in_top_k`` and ``in_top_1``."""
+    distinct), ``in_top_k`` and ``in_top_1``.  ``expected`` holds one id or an
+    array of ids that all count as right."""
     per = hits.groupBy(F.col("query_id").alias(item_id)).agg(
         F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"),
                                              F.col(hit_section).cast("string").alias("s")))).alias("_h"))
     per = per.select(item_id, F.transform("_h", lambda x: x["s"]).alias("retrieved"))
     out = items.join(per, item_id, "left").withColumn(
         "retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
-    exp = F.col(expected).cast("string")
-    return (out.withColumn(f"in_top_{k}", F.coalesce(F.array_contains(F.slice("retrieved", 1, k), exp),
+    exp = F.col(expected)
+    if isinstance(items.schema[expected].dataType, T.ArrayType):
+        exp = exp.cast("array<string>")
+    else:
+        exp = F.array(exp.cast("string"))
+    return (out.withColumn(f"in_top_{k}", F.coalesce(F.arrays_overlap(F.slice("retrieved", 1, k), exp),
                                                      F.lit(False)))
-            .withColumn("in_top_1", F.coalesce(F.get("retrieved", 0) == exp, F.lit(False))))
+            .withColumn("in_top_1", F.coalesce(F.array_contains(exp, F.get("retrieved", 0)), F.lit(False))))
 
 
 def judge(rows: DataFrame, model_factory: Callable[[], Callable[[str, str], str]],
           question: str = "question", expected: str = "expected_section", answer: str = "answer",
           system_prompt: str = "") -> DataFrame:
-    """Add ``judge struct<correctness int, citation int, reason string>``."""
+    """Add ``judge struct<correctness int, citation int, reason string>`` and
+    ``judge_error`` (null unless the judge's call failed)."""
     p = rows.withColumn("_judge_prompt", judge_prompt(question, F.col(expected).cast("string"), answer))
-    g = generate(p, model_factory, "_judge_prompt", system_prompt, out_col="_verdict",
-                 cache_key="judge").drop("latency_ms")
+    kept = {c: f"_{c}_kept" for c in ("error", "latency_ms") if c in rows.columns}
+    g = generate(p.withColumnsRenamed(kept), model_factory, "_judge_prompt", system_prompt,
+                 out_col="_verdict").withColumnRenamed("error", "judge_error").drop("latency_ms")
+    g = g.withColumnsRenamed({v: k for k, v in kept.items()})
     return g.withColumn("judge", parse_verdict("_verdict")).drop("_judge_prompt", "_verdict")
 
 
@@ -62,3 +72,28 @@ def write_results(rows: DataFrame, metrics: DataFrame, path: str) -> None:
     """Per-item results and the totals as JSON folders."""
     rows.write.mode("overwrite").json(f"{path.rstrip('/')}/results")
     metrics.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/metrics")
+
+
+def evaluate(items: DataFrame, passages: DataFrame, model_factory, judge_factory, path: str | None = None, *,
+             k: int = 5, question_id: str = "query_id", question_text: str = "question",
+             expected: str = "expected_section", system_prompt: str = "", judge_system: str = "",
+             **answer_kw) -> tuple[DataFrame, DataFrame]:
+    """A question set end to end: answers (without a catalogue), hit flags
+    against the cited sections, verdicts and totals.  With ``path`` both
+    tables are written there as JSON.  Returns ``(rows, totals)``."""
+    a = answer(items, passages, model_factory, k=k, question_id=question_id, question_text=question_text,
+               system_prompt=system_prompt, **answer_kw)
+    a = materialize(items.join(a.drop(question_text), question_id))  # the model runs once
+    hits = a.select(F.col(question_id).alias("query_id"), F.inline("citations")).select("query_id", "rank", "section_id")
+    rows = hit_flags(a.drop("citations", "schemes"), hits, question_id, expected, "section_id", k)
+    shown = rows
+    if isinstance(items.schema[expected].dataType, T.ArrayType):
+        shown = rows.withColumn("_shown", F.array_join(F.col(expected).cast("array<string>"), " or "))
+        rows = judge(shown, judge_factory, question_text, "_shown", "answer", judge_system).drop("_shown")
+    else:
+        rows = judge(rows, judge_factory, question_text, expected, "answer", judge_system)
+    rows = materialize(rows)
+    metrics = totals(rows, k)
+    if path is not None:
+        write_results(rows, metrics, path)
+    return rows, metrics

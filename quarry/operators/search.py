@@ -2,22 +2,17 @@
 
 Scores are inner products (cosine on unit vectors), rounded to 6 digits and
 ranked by (score desc, corpus id asc), so ties are broken the same way
-everywhere.  No pair of (question, passage) ever becomes a row:
-
-* ``broadcast``: the question side is fetched only after its size is checked
-  (``max_questions`` rows and ``max_bytes`` of matrix); it is broadcast once
-  and every task scores its Arrow batches of the corpus with one matrix
-  product per slice, keeps an exact running top-k per question, and emits at
-  most ``k`` rows per question per task.  The corpus is read once, never
-  shuffled.
-* ``blocked``: for question sets too large to broadcast, questions are cut
-  into blocks by a hash of their id and the corpus into blocks by a hash of
-  its id; each (corpus block, question block) group is scored by the same
-  kernel in ``cogroup().applyInPandas``.  Every group is bounded by the block
-  sizes, whatever the skew of other columns (ids are unique keys).
-
-Either way the candidates (k per question per task or group) are ranked
-globally with ``row_number`` over the question id; Catalyst puts a partial
+everywhere.  No pair of (question, passage) ever becomes a row.
+
+There is one plan for any number of questions.  Their bytes are summed first;
+they are cut by a hash of their id into blocks of about ``block_bytes``; each
+block is fetched, broadcast and met by one scan of the corpus, whose tasks
+score Arrow batches with one matrix product per slice, keep an exact running
+top-k per question and emit at most ``k`` rows per question.  The corpus is
+neither copied nor shuffled; memory is bounded by the block.
+
+The candidates (k per question per task) are ranked globally with
+``row_number`` over the question id; Catalyst puts a partial
 ``WindowGroupLimit`` below the shuffle, so only k rows per question per
 partition cross it.
 
@@ -34,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 # Work per scoring step: about this many (passage x question) scores at once.
 _STEP_CELLS = 2_000_000
-# Up to this many distinct question buckets the sparse product runs as dense
-# BLAS slices; beyond it as gathered sparse products.
-_DENSE_BUCKETS = 16_384
+BLOCK_BYTES = 32 << 20
 
 
 # ------------------------------------------------------------------ kernels
@@ -78,32 +73,15 @@ def score_block(prep, n_c: int, dense=None, lengths=None, buckets=None, weights=
     row, pos, w = row[hit], pos[hit], np.asarray(weights, dtype=np.float64)[hit]
     if len(row) == 0:
         return s
-    if len(used) <= _DENSE_BUCKETS:
-        # Dense slices over the buckets the questions use: a BLAS product
-        # beats gathering question rows per entry by a wide margin here.
-        step = max(1, _STEP_CELLS // len(used))
-        bounds = np.searchsorted(row, np.arange(0, n_c + step, step))
-        for k0, r0 in enumerate(range(0, n_c, step)):
-            r1 = min(n_c, r0 + step)
-            e0, e1 = bounds[k0], bounds[k0 + 1]
-            m = np.zeros((r1 - r0, len(used)), dtype=np.float64)
-            m[row[e0:e1] - r0, pos[e0:e1]] = w[e0:e1]
-            s[r0:r1] = m @ qmat
-        return s
-    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    urow = row[starts]
-    # Wide bucket sets: slices of whole rows with about _STEP_CELLS products
-    # each; gather full question rows (contiguous), multiply, reduceat.
-    per_step = max(1, _STEP_CELLS // max(1, n_q))
-    bounds = np.r_[starts, len(row)]
-    i, n_rows = 0, len(starts)
-    while i < n_rows:
-        j = int(np.searchsorted(bounds, bounds[i] + per_step, side="right")) - 1
-        j = min(max(j, i + 1), n_rows)
-        e0, e1 = bounds[i], bounds[j]
-        prod = w[e0:e1, None] * qmat[pos[e0:e1]]
-        s[urow[i:j]] = np.add.reduceat(prod, starts[i:j] - e0, axis=0)
-        i = j
+    # Dense slices over the buckets the questions use: one BLAS product each.
+    step = max(1, _STEP_CELLS // len(used))
+    bounds = np.searchsorted(row, np.arange(0, n_c + step, step))
+    for k0, r0 in enumerate(range(0, n_c, step)):
+        r1 = min(n_c, r0 + step)
+        e0, e1 = bounds[k0], bounds[k0 + 1]
+        m = np.zeros((r1 - r0, len(used)), dtype=np.float64)
+        m[row[e0:e1] - r0, pos[e0:e1]] = w[e0:e1]
+        s[r0:r1] = m @ qmat
     return s
 
 
@@ -166,10 +144,8 @@ def _block_from_arrow(batch: pa.RecordBatch, kind: str, text_buckets: int | None
     return {"lengths": lb, "buckets": fb, "weights": fw}
 
 
-def _block_from_pandas(pdf: pd.DataFrame, kind: str, offset: int = 1, text_buckets: int | None = None):
+def _block_from_pandas(pdf: pd.DataFrame, kind: str, offset: int = 1):
     cols = list(pdf.columns)
-    if text_buckets:
-        return _encode_text(pa.array(pdf[cols[offset]].tolist(), pa.string()), text_buckets)
     if kind == "dense":
         vals = pdf[cols[offset]].values
         flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
@@ -228,8 +204,9 @@ def _rank(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _broadcast_plan(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k: int,
-                    exclude_self: bool, schema: str, text_buckets: int | None = None) -> DataFrame:
+def _scoring(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k: int,
+             exclude_self: bool, schema: str, text_buckets: int | None = None) -> DataFrame:
+    """Candidates of one block of questions: one scan of the corpus."""
     if kind == "dense":
         vals = qpdf.iloc[:, 1].values
         dense = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
@@ -261,72 +238,26 @@ def _broadcast_plan(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k:
     return corpus.mapInArrow(run, out_schema)
 
 
-def _blocked_plan(questions: DataFrame, corpus: DataFrame, kind: str, k: int, exclude_self: bool,
-                  schema: str, n_questions: int, n_corpus: int, max_questions: int,
-                  corpus_block_rows: int, text_buckets: int | None = None) -> DataFrame:
-    nqb = max(1, math.ceil(n_questions / max_questions))
-    ncb = max(1, math.ceil(n_corpus / corpus_block_rows))
-    qcols = questions.columns
-    ccols = corpus.columns
-    qs = (questions.withColumn("_qb", F.pmod(F.xxhash64(qcols[0]), F.lit(nqb)))
-          .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)).cast("array<long>"))))
-    cs = (corpus.withColumn("_cb", F.pmod(F.xxhash64(ccols[0]), F.lit(ncb)))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)).cast("array<long>"))))
-
-    def run(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": qpdf.iloc[:0, 0], "hit_id": cpdf.iloc[:0, 0],
-                              "score": np.zeros(0)})
-        if len(cpdf) == 0 or len(qpdf) == 0:
-            return empty
-        qb = _block_from_pandas(qpdf, kind)
-        if kind == "dense":
-            prep = prepare_questions(qpdf.iloc[:, 0].values, kind, dense=qb["dense"])
-        else:
-            prep = prepare_questions(qpdf.iloc[:, 0].values, kind, lengths=qb["lengths"],
-                                     buckets=qb["buckets"], weights=qb["weights"])
-        cb = _block_from_pandas(cpdf, kind, text_buckets=text_buckets)
-        r = score_and_select(prep, np.asarray(cpdf.iloc[:, 0].values), cb, kind, k, exclude_self)
-        return empty if r is None else r
-
-    return (cs.groupBy("_cb", "_qb").cogroup(qs.groupBy("_cb", "_qb"))
-            .applyInPandas(run, schema))
-
-
-def _matrix_bytes(qpdf: pd.DataFrame, kind: str) -> int:
-    """Bytes of the question matrix the broadcast path would ship."""
-    if len(qpdf) == 0:
-        return 0
-    if kind == "dense":
-        return 8 * int(qpdf.iloc[:, 1].map(len).sum())
-    used = np.unique(np.concatenate([np.asarray(v, dtype=np.int64) for v in qpdf.iloc[:, 1].values]))
-    return 8 * len(used) * len(qpdf)
-
-
-def _id_bytes(qpdf: pd.DataFrame) -> int:
-    """Bytes of all result rows for one hit per question: the question id
-    (its UTF-8 length for strings), plus 8-byte hit id, score and rank, plus
-    a 64-byte allowance for a string hit id and row overhead."""
-    ids = qpdf.iloc[:, 0]
-    if ids.dtype == object:
-        key = int(ids.map(lambda v: len(str(v).encode("utf-8"))).sum())
-    else:
-        key = 8 * len(ids)
-    return key + (8 * 3 + 64) * len(ids)
+def _question_bytes(q: DataFrame, kind: str):
+    """Bytes that a question takes in a block: its id, and its vector (sparse:
+    a matrix row over the buckets that the block may use)."""
+    key = F.octet_length(F.col(q.columns[0]).cast("string")) + 16
+    return key + (F.size(q.columns[1]) * 16 if kind == "dense" else F.size(q.columns[1]) * 32 + 256)
 
 
-def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
-                   question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
-                   method: str = "auto", max_questions: int = 8192, max_bytes: int = 64 << 20,
-                   corpus_block_rows: int | None = None, corpus_text: str | None = None,
-                   buckets: int | None = None):
-    """:func:`search`, also returning proven upper bounds on the result:
-    ``{"rows": k x questions, "bytes": ...}`` (ids, score and rank of every
-    row, measured on the collected question block), or None when the
-    question block was not collected (blocked plan).
+def search(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
+           question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
+           block_bytes: int = BLOCK_BYTES, corpus_text: str | None = None,
+           buckets: int | None = None) -> DataFrame:
+    """Exact top-k: ``query_id, hit_id, score double (6 digits), rank int``.
 
+    ``questions`` and ``corpus`` carry an id column and the vector columns of
+    ``kind`` (``dense``: ``embedding``; ``sparse``: ``buckets, weights``).
     With ``corpus_text`` the corpus carries raw text instead of vectors; it
     is encoded (default encoder, ``buckets``) inside the scoring task, so
-    the vectors never travel between the JVM and Python."""
+    the vectors never travel between the JVM and Python.  Only the question
+    side runs while the plan is built: its bytes are summed, then each block
+    is fetched."""
     if k < 1:
         raise ValueError("k must be at least 1")
     vcols = _vector_cols(kind)
@@ -344,49 +275,13 @@ def search_bounded(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind:
         c = corpus.select(corpus_id, *vcols).filter(
             F.col(corpus_id).isNotNull() & F.col(vcols[0]).isNotNull())
     schema = _out_schema(q, c, question_id, corpus_id)
-    spark = questions.sparkSession
-
-    if method in ("auto", "broadcast"):
-        qpdf = q.limit(max_questions + 1).toPandas()
-        if len(qpdf) == 0:
-            return _rank(spark.createDataFrame([], schema), k), {"rows": 0, "bytes": 0}
-        fits = len(qpdf) <= max_questions and _matrix_bytes(qpdf, kind) <= max_bytes
-        if fits:
-            cands = _broadcast_plan(spark, qpdf, c, kind, k, exclude_self, schema, text_buckets)
-            return _rank(cands, k), {"rows": k * len(qpdf), "bytes": k * _id_bytes(qpdf)}
-        if method == "broadcast":
-            raise ValueError("question block too large to broadcast; use method='blocked'")
-    # The question side is read twice below (count, then blocks): cut it
-    # with a reliable checkpoint so its vectors are computed once.
-    from quarry.session import materialize
-
-    if text_buckets:
-        # Passages are replicated once per question block here: encode them
-        # once, before the replication, instead of inside every group.
-        from quarry.operators.embed import hashed_vectors
-
-        c = hashed_vectors(c, c.columns[1], keep=[corpus_id], buckets=text_buckets)
-        text_buckets = None
-
     q = materialize(q)
-    n_q = q.count()
-    if corpus_block_rows is None:
-        # One corpus block per input split: bounded by the split size, and
-        # known from the plan without running the corpus pipeline.
-        n_c, corpus_block_rows = max(1, c.rdd.getNumPartitions()), 1
-    else:
-        n_c = c.count()
-    cands = _blocked_plan(q, c, kind, k, exclude_self, schema, n_q, n_c, max_questions,
-                          corpus_block_rows, text_buckets)
-    return _rank(cands, k), None
-
-
-def search(questions: DataFrame, corpus: DataFrame, k: int = 5, **kw) -> DataFrame:
-    """Exact top-k: ``query_id, hit_id, score double (6 digits), rank int``.
-
-    ``questions`` and ``corpus`` carry an id column and the vector columns of
-    ``kind`` (``dense``: ``embedding``; ``sparse``: ``buckets, weights``).
-    ``method``: ``auto`` (broadcast when the checked question block fits,
-    else blocked), ``broadcast`` or ``blocked``.  Keywords as for
-    :func:`search_bounded`."""
-    return search_bounded(questions, corpus, k, **kw)[0]
+    weight = q.agg(F.sum(_question_bytes(q, kind))).first()[0] or 0
+    blocks = max(1, math.ceil(weight / block_bytes))
+    cands = None
+    for block in range(blocks):
+        mine = q.filter(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == block).toPandas()
+        if len(mine):
+            part = _scoring(questions.sparkSession, mine, c, kind, k, exclude_self, schema, text_buckets)
+            cands = part if cands is None else cands.unionByName(part)
+    return _rank(questions.sparkSession.createDataFrame([], schema) if cands is None else cands, k)

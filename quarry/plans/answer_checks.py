@@ -4,18 +4,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (CONTEXT_SEPARATOR, NO_CONTEXT_TEMPLATE, PROMPT_HEAD, PROMPT_QUESTION,
-                                   PROMPT_TAIL, judge_prompt, parse_verdict, strip_reasoning)
+from quarry.functions.text import (ANSWER_BOUNDARY, CONTEXT_SEPARATOR, NO_CONTEXT_TEMPLATE, PROMPT_HEAD,
+                                   PROMPT_QUESTION, PROMPT_TAIL, REASONING_STARTERS, judge_prompt, parse_verdict,
+                                   strip_reasoning)
 from quarry.operators.answers import answer, generate, prompts
 from quarry.operators.contain import containing
-from quarry.operators.evaluate import hit_flags, judge, totals
+from quarry.operators.evaluate import evaluate, hit_flags, totals, write_results
 from quarry.operators.retrieve import keep_min_score
 from quarry.plans import callables
 from quarry.plans import sql as S
 from quarry.plans.corpus_checks import DOC_CHUNKS_SQL
 from quarry.plans.registry import register, table
-from quarry.session import materialize
 from quarry.plans.search_checks import KNN_K, TEXT_HITS_SQL, dense_knn, passages, text_hits
+from quarry.session import materialize, scratch_path
+from quarry.sources.tables import read_question_set
 
 L = S.sql_str
 
@@ -64,14 +66,10 @@ def wrapped_turns(spark, sf) -> DataFrame:
     return c.select("conv_id", "turn", raw.alias("raw"))
 
 
-_BOUNDARY_SQL = L(r"\n\s*\n\s*(?:\[BNS|[ऀ-ॿ]|(?:Answer|Response|उत्तर|जवाब):|According to|Under (?:Section|BNS))")
-_STARTERS = ["okay,", "okay ", "let me", "i need to", "first,", "first ", "looking at", "the user",
-             "i should", "i'll", "i will", "to answer", "based on the context", "checking the"]
-
-
+_BOUNDARY_SQL = L(ANSWER_BOUNDARY)
 def _strip_reasoning_sql(t: str) -> str:
     head = f"lower(substring({t}, 1, 200))"
-    starter = " OR ".join(f"contains({head}, {L(s)})" for s in _STARTERS)
+    starter = " OR ".join(f"contains({head}, {L(s)})" for s in REASONING_STARTERS)
     before = f"regexp_extract({t}, '(?is)^(.*?)' || {_BOUNDARY_SQL}, 1)"
     return f"""CASE
       WHEN contains(lower({t}), '</think>') THEN {S.strip(f"regexp_replace({t}, '(?is)^.*</think>', '')")}
@@ -188,13 +186,14 @@ def eval_metrics(spark, sf):
 
 
 @register("passage_eval", f"""
-WITH exp AS (SELECT b.item_id, CAST(min(d.doc_id) AS VARCHAR) AS expected
+WITH exp AS (SELECT b.item_id, list(DISTINCT CAST(d.doc_id AS VARCHAR)) AS expected
              FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)
              GROUP BY b.item_id),
 h AS (SELECT query_id, rank, section_id FROM {HITS_META_SQL}),
-f AS (SELECT e.item_id, coalesce(bool_or(h.section_id = e.expected), false) AS in5,
-             coalesce(bool_or(h.rank = 1 AND h.section_id = e.expected), false) AS in1
-      FROM exp e LEFT JOIN h ON h.query_id = e.item_id GROUP BY e.item_id)
+f AS (SELECT b.item_id, coalesce(bool_or(list_contains(e.expected, h.section_id)), false) AS in5,
+             coalesce(bool_or(h.rank = 1 AND list_contains(e.expected, h.section_id)), false) AS in1
+      FROM benchmark b LEFT JOIN exp e ON e.item_id = b.item_id LEFT JOIN h ON h.query_id = b.item_id
+      GROUP BY b.item_id)
 SELECT avg(CAST(in5 AS INTEGER)) AS hit_at_5, avg(CAST(in1 AS INTEGER)) AS hit_at_1,
        sum(CASE WHEN in1 THEN 5 ELSE 1 END) / (5.0 * count(*)) AS judge_correctness_avg,
        sum(CASE WHEN in1 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS judge_citation_avg,
@@ -202,17 +201,39 @@ SELECT avg(CAST(in5 AS INTEGER)) AS hit_at_5, avg(CAST(in1 AS INTEGER)) AS hit_a
 FROM f
 """)
 def passage_eval(spark, sf):
+    """Every document that holds a question's text counts as right; a
+    question that no document holds counts as a miss."""
     q = benchmark_questions(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     exp = (containing(q, docs, "item_id", "question", "doc_id", "text")
-           .groupBy("item_id").agg(F.min("doc_id").cast("string").alias("expected_section")))
-    hits = materialize(text_hits(spark, sf, attach=["section_id", "title", "text"]))
-    p = prompts(q.join(exp, "item_id"), hits, "item_id", "question")
-    ans = generate(p, callables.cite_first_block, "prompt", cache_key="cite_first_block")
-    rows = hit_flags(ans.select("item_id", "question", "expected_section", "answer"),
-                     hits, "item_id", "expected_section", "section_id", 5)
-    rows = judge(rows, callables.rule_judge, "question", "expected_section", "answer")
-    return totals(rows, 5)
+           .groupBy("item_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected_section")))
+    items = q.join(exp, "item_id", "left").withColumn(
+        "expected_section", F.coalesce("expected_section", F.array().cast("array<string>")))
+    base = scratch_path(spark, "evaluation")
+    evaluate(materialize(items), passages(spark, sf), callables.cite_first_block, callables.rule_judge_any, base,
+             question_id="item_id", passage_id="chunk_id")
+    m = spark.read.json(f"{base}/metrics")
+    return m.select("hit_at_5", "hit_at_1", "judge_correctness_avg", "judge_citation_avg", "n_examples")
+
+
+@register("question_set", f"""
+SELECT CAST(item_id AS BIGINT) AS item_id, text AS question, item_id % 2 = 0 AS in_top_1
+FROM benchmark
+""")
+def question_set(spark, sf):
+    """A nested JSON question set written, read, flagged, and its result
+    rows written and read back."""
+    base = scratch_path(spark, "questions")
+    b = table(spark, sf, "benchmark")
+    items = F.sort_array(F.collect_list(F.struct("item_id", F.col("text").alias("question"),
+                                                 F.lit("A").alias("expected_section"))))
+    b.agg(items.alias("items")).select(F.lit("1.0").alias("version"), "items").coalesce(1).write.json(f"{base}/set")
+    read = read_question_set(spark, f"{base}/set")
+    hits = read.select(F.col("item_id").alias("query_id"), F.lit(1).alias("rank"),
+                       F.when(F.col("item_id") % 2 == 0, "A").otherwise("B").alias("section_id"))
+    rows = hit_flags(read, hits, "item_id")
+    write_results(rows, totals(rows), f"{base}/out")
+    return spark.read.json(f"{base}/out/results").select("item_id", "question", "in_top_1")
 
 
 @register("generate", f"""
@@ -221,8 +242,7 @@ FROM benchmark
 """)
 def generate_check(spark, sf):
     q = benchmark_questions(spark, sf)
-    g = generate(q, callables.think_then_echo, "question", system_prompt="You answer from the context.",
-                 cache_key="think_then_echo")
+    g = generate(q, callables.think_then_echo, "question", system_prompt="You answer from the context.")
     return g.select("item_id", "answer", F.length("answer").cast("long").alias("answer_chars"))
 
 
@@ -248,8 +268,8 @@ def answer_bundle(spark, sf):
     a = answer(q, passages(spark, sf), callables.cite_first_block, catalogue=part,
                catalogue_kw=dict(catalogue_id="p_partkey", name="p_name", description="p_type",
                                  eligibility="p_brand"),
-               question_id="item_id", question_text="question")
+               question_id="item_id", question_text="question", passage_id="chunk_id")
     return a.select(
         "item_id", "answer", F.size("citations").alias("n_citations"), F.size("schemes").alias("n_schemes"),
         F.array_join(F.transform("citations", lambda c: c["chunk_id"]), ",").alias("citation_ids"),
-        F.array_join(F.transform("schemes", lambda s: s["p_partkey"].cast("string")), ",").alias("scheme_ids"))
+        F.array_join(F.transform("schemes", lambda s: s["id"]), ",").alias("scheme_ids"))

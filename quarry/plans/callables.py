@@ -19,6 +19,23 @@ def cite_first_block():
     return chat
 
 
+def rule_judge_any():
+    """Judge: full marks when the answer cites one of the expected sections,
+    which the prompt joins by `` or ``."""
+    one = rule_judge()
+
+    def chat(system, user):
+        head = "Expected BNS section: "
+        line = next((x for x in user.split("\n") if x.startswith(head)), head)
+        verdict = ""
+        for section in line[len(head):].split(" or "):
+            verdict = one(system, user.replace(line, head + section, 1))
+            if '"citation": 1' in verdict:
+                break
+        return verdict
+    return chat
+
+
 def rule_judge():
     """Judge: full marks when the answer cites the expected section."""
     def chat(system, user):
@@ -34,3 +51,11 @@ def rule_judge():
             return '```json\n{"correctness": 5, "citation": 1, "reason": "cites the expected section"}\n```'
         return '{"correctness": 1, "citation": 0, "reason": "other section"}'
     return chat
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_encoder():
+    """Encoder: how often each of a-z occurs in a text."""
+    return lambda texts: [[float(t.count(c)) for c in LETTERS] for t in texts]

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.chunks import char_chunks, chunk_counts, token_chunks
+from quarry.operators.chunks import char_chunks, chunk_counts
 from quarry.operators.sections import split_sections
 from quarry.plans import sql as S
 from quarry.plans.registry import register, table
@@ -101,11 +101,3 @@ def section_chunks(spark, sf):
                         keep=["doc_id", "section_ord", "title", "section_id"])
             .withColumn("section_ord", F.col("section_ord").cast("long"))
             .withColumn("chunk_index", F.col("chunk_index").cast("long")))
-
-
-@register("token_chunks")
-def token_chunks_check(spark, sf):
-    d = table(spark, sf, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("section_id"), "text")
-    return (token_chunks(d, DOC_TOKENS, DOC_OVERLAP, keep=["doc_id", "section_id"])
-            .withColumn("chunk_index", F.col("chunk_index").cast("long")))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.chunks import char_chunks, chunk_counts, token_chunks
+from quarry.operators.chunks import char_chunks, chunk_counts
 from quarry.functions.vectors import DEFAULT_BUCKETS
 from quarry.operators.embed import build_vector_set
 from quarry.operators.sections import split_sections
@@ -19,13 +19,20 @@ CHUNK_OVERLAP = 64
 
 
 def corpus_chunks(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP,
-                  key: str = "doc_id", tokens: bool = False) -> DataFrame:
+                  key: str = "doc_id") -> DataFrame:
     """Texts (``key, text``) -> sections -> chunks with the section title
     carried along: ``key, section_ord, section_id, title, chunk_id,
-    chunk_index, text``."""
+    chunk_index, text, passage_id``.  Section ids repeat across documents and
+    inside one; ``passage_id`` (document, place of the section, chunk) is the
+    key of a chunk."""
     sections = split_sections(texts, "text", keys=(key,))
-    chunker = token_chunks if tokens else char_chunks
-    return chunker(sections, chunk_tokens, overlap, keep=[key, "section_ord", "title", "section_id"])
+    chunks = char_chunks(sections, chunk_tokens, overlap, keep=[key, "section_ord", "title", "section_id"])
+    return chunks.withColumn("passage_id", passage_id(key, "section_ord", "chunk_index"))
+
+
+def passage_id(key: str, section_ord: str, chunk_index: str):
+    """``<document>#<section>.<chunk>``, a unique key if documents are."""
+    return F.format_string("%s#%d.%d", F.col(key).cast("string"), F.col(section_ord), F.col(chunk_index))
 
 
 def ingest(spark: SparkSession, text_path: str, out_path: str, *, database: str | None = None,
@@ -55,7 +62,7 @@ def ingest(spark: SparkSession, text_path: str, out_path: str, *, database: str
     return out
 
 
-def build_vectors(chunks: DataFrame, out_path: str, id_col: str = "chunk_id", text_col: str = "text",
+def build_vectors(chunks: DataFrame, out_path: str, id_col: str = "passage_id", text_col: str = "text",
                   encoder_factory=None, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Encode every chunk, write the vector table and its manifest; returns
     the manifest row.  An empty chunk table raises."""

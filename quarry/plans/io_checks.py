@@ -16,7 +16,7 @@ from quarry.plans.search_checks import TEXT_HITS_SQL, TEXT_K, TEXT_MIN, passages
 from quarry.session import scratch_path
 from quarry.sources import tables as TB
 from quarry.sources.documents import read_text_files
-from quarry.streaming.streams import answer_stream, chunk_stream, file_stream
+from quarry.streaming.streams import answer_stream, answers_with_traces, chunk_stream, file_stream
 
 SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
 
@@ -57,7 +57,7 @@ SELECT doc_id, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS
 def text_scan(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     base = scratch_path(spark, "texts")
-    docs.write.mode("overwrite").partitionBy("doc_id").text(base)
+    docs.write.mode("overwrite").partitionBy("doc_id").text(base)  # one file per document is the input's form
     back = read_text_files(spark, base)
     # The text writer ends each record with one \n: drop exactly that one.
     return back.select(F.col("doc_id").cast("long").alias("doc_id"),
@@ -83,7 +83,7 @@ def stream_answers(spark, sf):
     base = scratch_path(spark, "stream-answers")
     pas = passages(spark, sf)
     # The passage vectors are built once (a stored table), not per batch.
-    build_vectors(pas, f"{base}/index")
+    build_vectors(pas, f"{base}/index", id_col="chunk_id")
     vecs = spark.read.parquet(f"{base}/index/vectors")
 
     def rank(batch):
@@ -118,20 +118,67 @@ def ingest_corpus(spark, sf):
                          "chunk_id", F.col("chunk_index").cast("long"), "text")
 
 
-@register("trace_log", f"""
-WITH c AS (SELECT query_id, count(*) AS n FROM {TEXT_HITS_SQL} GROUP BY query_id)
-SELECT b.item_id, CAST(coalesce(c.n, 0) AS DOUBLE) AS n_citations, CAST(0 AS DOUBLE) AS n_schemes
+# Questions of the trace query: their answers cite the first passage.
+_TRACE_SQL = f"""
+WITH m AS (SELECT h.query_id, h.rank, h.hit_id, c.section_id, coalesce(d.source, '') AS title
+           FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
+           JOIN documents d ON d.doc_id = c.doc_id),
+c AS (SELECT query_id, count(*) AS n, string_agg(hit_id, ',' ORDER BY rank) AS ids,
+             arg_min('According to [' || section_id || ' | ' || title || ']', rank) AS answer
+      FROM m GROUP BY query_id)
+SELECT b.item_id, CAST(coalesce(c.n, 0) AS DOUBLE) AS n_citations, CAST(0 AS DOUBLE) AS n_schemes,
+       'min_score=0.55,top_k=5' AS params, b.text AS question, coalesce(c.answer, 'No context.') AS answer,
+       coalesce(c.ids, '') AS citation_ids
 FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id
-""")
+"""
+
+
+def _trace_rows(t):
+    trace = F.from_json("trace", "question string, answer string, citations array<struct<chunk_id:string>>")
+    params = F.array_join(F.transform(F.array_sort(F.map_entries("params")),
+                                      lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return t.withColumn("t", trace).select(
+        F.substring_index("run_id", "-", -1).cast("long").alias("item_id"),
+        F.col("metrics")["n_citations"].alias("n_citations"), F.col("metrics")["n_schemes"].alias("n_schemes"),
+        params.alias("params"), F.col("t.question").alias("question"), F.col("t.answer").alias("answer"),
+        F.array_join("t.citations.chunk_id", ",").alias("citation_ids"))
+
+
+@register("trace_log", _TRACE_SQL)
 def trace_log(spark, sf):
     """Answer records appended as trace rows (params, metrics, nested JSON
     trace) to a table folder, read back."""
     q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
     a = answer(q, passages(spark, sf), callables.cite_first_block, question_id="item_id",
-               question_text="question")
+               question_text="question", passage_id="chunk_id")
     path = scratch_path(spark, "traces")
     append_traces(a, path, {"top_k": TEXT_K, "min_score": TEXT_MIN}, question_id="item_id")
-    t = spark.read.parquet(path)
-    return t.select(F.substring_index("run_id", "-", -1).cast("long").alias("item_id"),
-                    F.col("metrics")["n_citations"].alias("n_citations"),
-                    F.col("metrics")["n_schemes"].alias("n_schemes"))
+    return _trace_rows(spark.read.parquet(path))
+
+
+@register("stream_traces", _TRACE_SQL)
+def stream_traces(spark, sf):
+    """The same from a stream: each micro-batch is answered and traced."""
+    schema = table(spark, sf, "benchmark").schema
+    base = scratch_path(spark, "stream-traces")
+    qs = file_stream(spark, sf, schema, glob="benchmark.parquet").withColumnRenamed("text", "question")
+    answers_with_traces(qs, passages(spark, sf), callables.cite_first_block, f"{base}/sink", f"{base}/checkpoint",
+                        {"top_k": TEXT_K, "min_score": TEXT_MIN}, question_id="item_id",
+                        passage_id="chunk_id").awaitTermination()
+    return _trace_rows(spark.read.parquet(f"{base}/sink"))
+
+
+@register("stream_sections", f"""
+SELECT doc_id, section_ord, title, section_id, chunk_id, chunk_index, text
+FROM {S.char_chunks(S.section_rows(), "section_id", "text", SECTION_TOKENS, SECTION_OVERLAP,
+                    extra="doc_id, section_ord, title")}
+""")
+def stream_sections(spark, sf):
+    """Statute texts arriving as files, sectioned and chunked by the stream."""
+    base = scratch_path(spark, "stream-sections")
+    texts = conversation_statutes(spark, sf)
+    texts.write.parquet(f"{base}/in")
+    chunk_stream(file_stream(spark, f"{base}/in", texts.schema), f"{base}/sink", f"{base}/checkpoint",
+                 SECTION_TOKENS, SECTION_OVERLAP, sections=True).awaitTermination()
+    return (spark.read.parquet(f"{base}/sink").withColumn("section_ord", F.col("section_ord").cast("long"))
+            .withColumn("chunk_index", F.col("chunk_index").cast("long")))

@@ -8,13 +8,17 @@ from quarry.functions.text import snippet
 from quarry.functions.vectors import l2_normalise
 from quarry.operators.embed import hashed_vectors, sparse_long
 from quarry.operators.lookup import first_per_key, list_all, lookup, unmatched
-from quarry.operators.retrieve import keep_min_score, match_catalogue, retrieve
+from quarry.operators.chunks import char_chunks
+from quarry.operators.retrieve import catalogue_vectors, keep_min_score, match_catalogue, retrieve
 from quarry.operators.search import search
+from quarry.plans import callables
 from quarry.plans import sql as S
-from quarry.operators.chunks import char_chunks
-from quarry.plans.corpus_checks import DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS
+from quarry.plans.corpus_checks import (DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS, SECTION_OVERLAP, SECTION_TOKENS,
+                                        conversation_statutes)
+from quarry.plans.ingest import build_vectors, corpus_chunks, load_vectors
 from quarry.plans.registry import register, table
-from quarry.sources.tables import manifest
+from quarry.session import materialize, scratch_path
+from quarry.sources.tables import manifest, read_csv_strings, write_csv
 
 KNN_K = 5
 KNN_MIN = 0.40
@@ -85,10 +89,8 @@ def knn_dense(spark, sf):
 
 @register("knn_dense_blocked", _KNN_SQL)
 def knn_dense_blocked(spark, sf):
-    """The same search through the plan used for question sets too large to
-    broadcast: hash blocks of 128 questions x blocks of 100 vectors."""
-    return dense_knn(spark, sf, method="blocked", max_questions=128,
-                     corpus_block_rows=100).withColumn("rank", F.col("rank").cast("long"))
+    """The same search with small question blocks, each met by one scan."""
+    return dense_knn(spark, sf, block_bytes=1 << 19).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("retrieve_min_score", f"""
@@ -143,14 +145,98 @@ SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score
 FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
 """)
 def retrieve_text_blocked(spark, sf):
-    """Text retrieval through the blocked plan (question blocks of 8, passage
-    blocks of 1,000 raw chunks encoded inside each group)."""
-    hits = text_hits(spark, sf, attach=["doc_id"], method="blocked", max_questions=8,
-                     corpus_block_rows=1000)
+    """Text retrieval with small question blocks, each met by one scan."""
+    hits = text_hits(spark, sf, attach=["doc_id"], block_bytes=1 << 16)
     return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
                        F.col("hit_id").alias("chunk_id"), "doc_id", "score")
 
 
+# Sections of many documents: section and chunk ids repeat, passage ids do not.
+SECTION_K, SECTION_MIN = 5, 0.4
+SECTION_PASSAGES_SQL = f"""(
+  SELECT *, CAST(doc_id AS VARCHAR) || '#' || CAST(section_ord AS VARCHAR) || '.' || CAST(chunk_index AS VARCHAR)
+            AS passage_id
+  FROM {S.char_chunks(S.section_rows(), "section_id", "text", SECTION_TOKENS, SECTION_OVERLAP,
+                      extra="doc_id, section_ord, title")}
+)"""
+
+
+@register("retrieve_sections", f"""
+WITH p AS {SECTION_PASSAGES_SQL},
+q AS (SELECT item_id, text FROM benchmark WHERE {S.strip("coalesce(text, '')")} <> ''),
+m AS (SELECT item_id, passage_id, score, rk
+      FROM {S.sparse_top_k(S.hashed_long('q', 'item_id', 'text'), S.hashed_long('p', 'passage_id', 'text'),
+                           'item_id', 'passage_id', SECTION_K)}),
+h AS (SELECT * FROM m WHERE score >= {SECTION_MIN} OR rk = 1
+      UNION ALL  -- a question that shares no term keeps the smallest passage, with score 0
+      SELECT item_id, (SELECT min(passage_id) FROM p), 0.0, 1 FROM q WHERE item_id NOT IN (SELECT item_id FROM m))
+SELECT h.item_id, CAST(h.rk AS BIGINT) AS rank, h.passage_id, h.score, p.doc_id, p.section_id, p.title, p.chunk_id
+FROM h JOIN p ON p.passage_id = h.passage_id
+""")
+def retrieve_sections(spark, sf):
+    chunks = corpus_chunks(conversation_statutes(spark, sf), SECTION_TOKENS, SECTION_OVERLAP)
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    hits = retrieve(q, chunks, SECTION_K, SECTION_MIN, question_id="item_id",
+                    attach=["doc_id", "section_id", "title", "chunk_id"])
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+                       F.col("hit_id").alias("passage_id"), "score", "doc_id", "section_id", "title", "chunk_id")
+
+
+# Dense retrieval: a stand-in model (letter counts) that SQL can restate.
+def letters_sql(src: str, id_col: str, text_col: str) -> str:
+    counts = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in callables.LETTERS)
+    return f"""(
+      SELECT {id_col}, list_transform(v, lambda x: CAST(CAST(
+               x / CASE WHEN n = 0 THEN 1 ELSE n END AS FLOAT) AS DOUBLE)) AS vec
+      FROM (SELECT {id_col}, v, sqrt(list_sum(list_transform(v, lambda x: CAST(x * x AS DOUBLE)))) AS n
+            FROM (SELECT {id_col}, [{counts}] AS v FROM (SELECT {id_col}, {text_col} AS t FROM {src}))))"""
+
+
+def dense_top_k_sql(q: str, c: str, qid: str, cid: str, k: int) -> str:
+    return f"""(SELECT q.{qid}, c.{cid}, round(list_inner_product(q.vec, c.vec), 6) AS score,
+                       row_number() OVER (PARTITION BY q.{qid} ORDER BY score DESC, c.{cid}) AS rk
+                FROM {q} q CROSS JOIN {c} c QUALIFY rk <= {k})"""
+
+
+@register("retrieve_dense_text", f"""
+WITH q AS (SELECT item_id, text FROM benchmark WHERE {S.strip("coalesce(text, '')")} <> ''),
+d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT * FROM {dense_top_k_sql(letters_sql('q', 'item_id', 'text'), letters_sql('d', 'doc_id', 't'),
+                                     'item_id', 'doc_id', 5)} WHERE score >= 0.99 OR rk = 1)
+SELECT h.item_id, CAST(h.rk AS BIGINT) AS rank, h.doc_id, h.score, documents.source
+FROM h JOIN documents ON documents.doc_id = h.doc_id
+""")
+def retrieve_dense_text(spark, sf):
+    """A model's vectors of whole documents, stored once, and its search."""
+    docs = table(spark, sf, "documents")
+    base = scratch_path(spark, "dense")
+    build_vectors(docs, base, id_col="doc_id", encoder_factory=callables.letter_encoder)
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    hits = retrieve(q, docs, 5, 0.99, question_id="item_id", passage_id="doc_id", attach=["source"],
+                    vectors=load_vectors(spark, base)[0], encoder_factory=callables.letter_encoder)
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+                       F.col("hit_id").alias("doc_id"), "score", "source")
+
+
+@register("catalogue_dense", f"""
+WITH cat AS (SELECT p_partkey, coalesce(p_name, '') || '. ' || coalesce(p_type, '') || '. Eligibility: '
+                    || coalesce(p_brand, '') AS t FROM part),
+q AS (SELECT item_id, text FROM benchmark WHERE {S.strip("coalesce(text, '')")} <> ''),
+h AS (SELECT * FROM {dense_top_k_sql(letters_sql('q', 'item_id', 'text'), letters_sql('cat', 'p_partkey', 't'),
+                                     'item_id', 'p_partkey', 3)} WHERE score >= 0.5)
+SELECT h.item_id AS query_id, CAST(h.rk AS BIGINT) AS rank, h.p_partkey AS hit_id, h.score, part.p_name
+FROM h JOIN part ON part.p_partkey = h.p_partkey
+""")
+def catalogue_dense(spark, sf):
+    """A catalogue encoded once, its vectors stored and passed to the match."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    names = dict(catalogue_id="p_partkey", name="p_name", description="p_type", eligibility="p_brand")
+    stored = materialize(catalogue_vectors(part, encoder_factory=callables.letter_encoder, **names))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    m = match_catalogue(q, part, 3, 0.5, vectors=stored, encoder_factory=callables.letter_encoder, **names)
+    return m.select("query_id", F.col("rank").cast("long").alias("rank"), "hit_id", "score", "p_name")
+
+
 # Catalogue: parts as catalogue rows, every part's name as a question.
 @register("catalogue_match", f"""
 WITH cat AS (SELECT p_partkey, coalesce(p_name, '') || '. ' || coalesce(p_type, '') || '. Eligibility: '
@@ -194,6 +280,31 @@ def key_lookup(spark, sf):
         "query_id", "lookup_key", "c_custkey", "c_name", "c_nationkey")
 
 
+@register("clause_lookup_csv", """
+WITH m AS (SELECT * FROM (
+  SELECT substr(o_orderdate_key, 1, 6) AS k, o_orderkey, row_number() OVER (
+           PARTITION BY substr(o_orderdate_key, 1, 6) ORDER BY part, o_orderkey) AS rn
+  FROM (SELECT o_orderkey, CAST(o_custkey % 500 AS VARCHAR) AS o_orderdate_key, o_orderkey % 3 AS part FROM orders))
+  WHERE rn = 1)
+SELECT c.c_custkey AS query_id, CAST(m.o_orderkey AS BIGINT) AS o_orderkey
+FROM customer c JOIN m ON m.k = CAST(c.c_custkey AS VARCHAR)
+""")
+def clause_lookup_csv(spark, sf):
+    """First row in file order wins: CSV parts in three folders, rows of a
+    part in key order, looked up by key."""
+    o = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") % 3).alias("part"), "o_orderkey", (F.col("o_custkey") % 500).cast("string").alias("key"))
+    base = scratch_path(spark, "clauses")
+    for part in range(3):
+        write_csv(o.filter(F.col("part") == part).select("key", "o_orderkey").repartitionByRange(4, "o_orderkey")
+                  .sortWithinPartitions("o_orderkey"), f"{base}/{part}")
+    rows = read_csv_strings(spark, f"{base}/*", ["key", "o_orderkey"], ordinal="ord")
+    mapping = first_per_key(rows, F.col("key"), "ord")
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"),
+                                               F.col("c_custkey").cast("string").alias("lookup_key"))
+    return lookup(keys, "lookup_key", mapping).select("query_id", F.col("o_orderkey").cast("long").alias("o_orderkey"))
+
+
 @register("key_unmatched", """
 SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)

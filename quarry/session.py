@@ -3,6 +3,7 @@ scratch location taken from ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.  A cluster names it in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) a folder of
-    our own is made and registered."""
+    ``spark.checkpoint.dir``; when it is unset, a local session gets a folder
+    of its own, and any other raises, as executors would not share it."""
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if not spark.sparkContext.getCheckpointDir():

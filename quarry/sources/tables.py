@@ -9,7 +9,6 @@ scan.  Sinks overwrite; the format of managed tables is a parameter
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ def string_schema(columns) -> T.StructType:
 def read_csv_strings(spark: SparkSession, path: str, columns=None,
                      ordinal: str | None = None) -> DataFrame:
     """CSV with a header, every column a string.  With ``columns`` the schema
-    is explicit; ``ordinal`` adds the row's position in file order (file path,
-    then offset), which a DataFrame otherwise does not keep."""
+    is explicit; ``ordinal`` adds a sortable position in file order, which a
+    DataFrame otherwise does not keep: file path, start of the block in the
+    file, and a number that rises inside a block (one task reads it)."""
     reader = spark.read.option("header", True).option("multiLine", False)
     if columns is not None:
         reader = reader.schema(string_schema(columns))
@@ -36,9 +36,9 @@ def read_csv_strings(spark: SparkSession, path: str, columns=None,
         reader = reader.option("inferSchema", False)
     df = reader.csv(path)
     if ordinal:
-        # monotonically_increasing_id follows (partition, position): with one
-        # file per partition range this is file order, and it needs no shuffle.
-        df = df.withColumn(ordinal, F.monotonically_increasing_id())
+        df = df.withColumn(ordinal, F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row")))
     return df
 
 
@@ -49,41 +49,14 @@ def read_question_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("items").alias("item_ord", "item")).select("item_ord", "item.*")
 
 
-def read_parquet(spark: SparkSession, path: str, spread_bytes: int | None = 1 << 20) -> DataFrame:
-    df = spark.read.parquet(path)
-    return spread(df, spread_bytes) if spread_bytes else df
-
-
-def spread(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
-    """Spread a scan over all cores when its input has fewer splits than
-    cores although it is large (e.g. one big parquet row group, which one
-    task must read alone).  Inputs that already split into enough tasks, as
-    any large data set does, are returned unchanged: no shuffle is added."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    size = 0
-    for f in df.inputFiles():
-        local = f[len("file:"):] if f.startswith("file:") else (f if f.startswith("/") else None)
-        if local is None:
-            return df
-        try:
-            size += os.path.getsize(local)
-        except OSError:
-            return df
-    return df.repartition(cores) if size >= min_bytes else df
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def records_to_frame(spark: SparkSession, records, schema) -> DataFrame:
-    """Small in-memory records (tests, a handful of questions)."""
-    return spark.createDataFrame(records, schema)
-
-
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     loc = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{loc}")
@@ -112,10 +85,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 def manifest(vectors: DataFrame, vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """Vector-set manifest as one row: ``dim, min_dim, ntotal, metadata_columns``
     (a JSON array of the other column names).  One aggregate pass.  Sparse
-    sets (``buckets``/``weights``) pass their bucket count as ``dim``."""
+    sets (``buckets``/``weights``) pass their bucket count as ``dim``; a set
+    that does not fit it (a bucket outside, unequal lists) has ``min_dim`` -1."""
     meta = [c for c in vectors.columns if c not in (vector_col, "weights")]
     if dim is not None:
-        aggs = [F.lit(dim).cast("long").alias("dim"), F.lit(dim).cast("long").alias("min_dim")]
+        fits = (F.coalesce(F.array_max(vector_col) < dim, F.lit(True))
+                & F.coalesce(F.array_min(vector_col) >= 0, F.lit(True))
+                & (F.size(vector_col) == F.size("weights")))
+        aggs = [F.lit(dim).cast("long").alias("dim"),
+                F.when(F.coalesce(F.every(fits), F.lit(True)), F.lit(dim)).otherwise(F.lit(-1))
+                .cast("long").alias("min_dim")]
     else:
         aggs = [F.max(F.size(vector_col)).cast("long").alias("dim"),
                 F.min(F.size(vector_col)).cast("long").alias("min_dim")]

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.answers import answer, traces
 from quarry.operators.chunks import char_chunks
 from quarry.operators.sections import split_sections
 
@@ -63,3 +64,19 @@ def answer_stream(questions: DataFrame, rank_batch: Callable[[DataFrame], DataFr
     w = questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+def answer_and_trace(batch: DataFrame, passages: DataFrame, model_factory, params: dict, *,
+                     question_id: str = "query_id", question_text: str = "question", **answer_kw) -> DataFrame:
+    """Trace rows of a micro-batch of questions: retrieval, generation and
+    catalogue matches, with parameters and metrics."""
+    a = answer(batch, passages, model_factory, question_id=question_id, question_text=question_text, **answer_kw)
+    return traces(a, params, question_id=question_id, question_text=question_text)
+
+
+def answers_with_traces(questions: DataFrame, passages: DataFrame, model_factory, sink: str, checkpoint: str,
+                        params: dict | None = None, available_now: bool = True, **answer_kw):
+    """Answer every question of a stream and append its trace row to
+    ``sink`` (one folder per micro-batch, replaced if the batch is replayed)."""
+    return answer_stream(questions, lambda batch: answer_and_trace(
+        batch, passages, model_factory, params or {}, **answer_kw), sink, checkpoint, available_now)

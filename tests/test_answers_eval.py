@@ -9,16 +9,42 @@ from quarry.plans import callables
 from quarry.sources.tables import read_question_set
 
 
-def test_generate_cleans_and_survives_failures(spark):
+def test_generate_cleans_and_shows_failures(spark):
     def factory():
         def chat(system, user):
             if user == "boom":
                 raise RuntimeError("model failed")
             return "<think>x</think>  " + user.upper()
         return chat
-    df = spark.createDataFrame([(1, "abc"), (2, "boom"), (3, None)], "id long, prompt string")
-    got = {r.id: r.answer for r in generate(df, factory).collect()}
-    assert got == {1: "ABC", 2: "", 3: ""}
+    df = spark.createDataFrame([(9007199254740993, "abc"), (2, "boom"), (None, None)], "id long, prompt string")
+    got = {r.id: (r.answer, r.error) for r in generate(df, factory).collect()}
+    assert got == {9007199254740993: ("ABC", None), 2: (None, "RuntimeError: model failed"), None: ("", None)}
+
+
+def test_models_are_built_once_per_worker_and_not_mixed_up(spark, tmp_path):
+    import os
+
+    from quarry.operators.embed import embed
+
+    def make(name):
+        def factory():
+            with open(f"{tmp_path}/{name}-{os.getpid()}", "a") as f:
+                f.write("x")
+            return lambda system, user: name
+        return factory
+
+    def encoder():
+        with open(f"{tmp_path}/encoder-{os.getpid()}", "a") as f:
+            f.write("x")
+        return lambda texts: [[1.0] for _ in texts]
+
+    df = spark.range(64).selectExpr("id", "'p' as prompt").repartition(16)
+    for _ in range(2):
+        first = generate(df, make("one")).withColumnsRenamed({"answer": "a1", "error": "e1", "latency_ms": "l1"})
+        assert {(r.a1, r.answer) for r in generate(first, make("two")).collect()} == {("one", "two")}
+        assert embed(df, encoder, "prompt", keep=["id"]).count() == 64
+    builds = [(tmp_path / f).read_text() for f in os.listdir(tmp_path)]
+    assert builds and set(builds) == {"x"}
 
 
 def test_answer_bundle_and_trace(spark):
@@ -30,10 +56,13 @@ def test_answer_bundle_and_trace(spark):
                                 "scheme_id string, name string, description string, eligibility string")
     qs = spark.createDataFrame([(1, "punishment for theft"), (2, "  ")], "query_id long, question string")
     a = answer(qs, passages, callables.cite_first_block, catalogue=cat, min_score=0.0,
-               catalogue_kw=dict(min_score=0.0))
+               catalogue_kw=dict(min_score=0.0), passage_id="chunk_id")
+    without = answer(qs, passages, callables.cite_first_block, min_score=0.0, passage_id="chunk_id")
+    assert a.schema["schemes"].dataType == without.schema["schemes"].dataType
     rows = {r.query_id: r for r in a.collect()}
     assert rows[1].answer == "According to [BNS_303 | Theft]"
     assert [c.section_id for c in rows[1].citations][0] == "BNS_303"
+    assert rows[1].schemes[0].id == "S1" and rows[1].schemes[0].fields["name"] == "Legal aid"
     assert len(rows[1].schemes) == 1 and rows[2].citations == [] and rows[2].answer == "No context."
     t = traces(a, {"top_k": 5}).collect()
     assert len(t) == 2 and json.loads(t[0].trace)["answer"] and t[0].params["top_k"] == "5"
@@ -92,3 +121,31 @@ def test_write_results(spark, tmp_path):
     rows = spark.createDataFrame([(1, True)], "query_id long, in_top_1 boolean")
     write_results(rows, rows.groupBy().count(), str(tmp_path / "eval"))
     assert spark.read.json(str(tmp_path / "eval/results")).count() == 1
+
+
+def test_evaluate_end_to_end(spark, tmp_path):
+    from quarry.operators.evaluate import evaluate
+
+    passages = spark.createDataFrame(
+        [("p1", "BNS_303", "Theft", "Whoever commits theft shall be punished."),
+         ("p2", "BNS_103", "Murder", "Whoever commits murder shall be punished with death.")],
+        "passage_id string, section_id string, title string, text string")
+    items = spark.createDataFrame([(1, "punishment for theft", "BNS_303"), (2, "murder death", "BNS_999")],
+                                  "query_id long, question string, expected_section string")
+    rows, metrics = evaluate(items, passages, callables.cite_first_block, callables.rule_judge,
+                             str(tmp_path / "e"), min_score=0.0)
+    got = {r.query_id: (r.in_top_1, r.judge.citation, r.error, r.judge_error) for r in rows.collect()}
+    assert got == {1: (True, 1, None, None), 2: (False, 0, None, None)}
+    assert spark.read.json(str(tmp_path / "e/metrics")).first().n_examples == 2
+
+
+def test_manifest_checks_sparse_sets(spark, tmp_path):
+    import pytest
+
+    from quarry.sources.tables import write_manifest
+
+    good = spark.createDataFrame([(1, [0, 63], [0.6, 0.8]), (2, [], [])], "id long, buckets array<int>, weights array<double>")
+    assert write_manifest(good, str(tmp_path / "a"), "buckets", dim=64).first().dim == 64
+    for bad in ([(1, [64], [1.0])], [(1, [3], [0.5, 0.5])]):
+        with pytest.raises(ValueError):
+            write_manifest(spark.createDataFrame(bad, good.schema), str(tmp_path / "b"), "buckets", dim=64)

@@ -1,18 +1,11 @@
-"""Character and token windows (GEN-3..6)."""
+"""Character windows (GEN-3, 5, 6)."""
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from quarry.operators.chunks import bpe_encoder, char_chunks, check_window, token_chunks, token_windows
-
-
-def loop_windows(text, tokens, overlap):
-    w, s = tokens * 4, (tokens - overlap) * 4
-    out = []
-    for start in range(0, len(text), s):
-        out.append(text[start:start + w])
-        if start + w >= len(text):
-            break
-    return out
+from quarry.operators.chunks import char_chunks, check_window
 
 
 def chunks_of(spark, texts, tokens, overlap):
@@ -26,15 +19,20 @@ def chunks_of(spark, texts, tokens, overlap):
 
 def test_window_edges(spark):
     # width 8, step 4 at tokens=2, overlap=1
-    texts = ["", "abc", "a" * 8, "b" * 12, "c" * 13, "été" * 5]
-    got = chunks_of(spark, texts, 2, 1)
+    got = chunks_of(spark, ["", "abc", "a" * 8, "abcdefghijkl", "abcdefghijklm", "été" * 5], 2, 1)
     assert 0 not in got
-    assert [len(got[i]) for i in range(1, 6)] == [1, 1, 2, 3, len(loop_windows(texts[5], 2, 1))]
-    for i in range(1, 6):
-        assert [r.text for r in got[i]] == loop_windows(texts[i], 2, 1)
+    assert {i: [r.text for r in rows] for i, rows in got.items()} == {
+        1: ["abc"], 2: ["a" * 8], 3: ["abcdefgh", "efghijkl"], 4: ["abcdefgh", "efghijkl", "ijklm"],
+        5: ["étéétéét", "téétéété", "éétéété"]}
     assert got[4][0].chunk_id == "4::chunk_0000"
 
 
+def test_wide_overlap(spark):
+    # width 16, step 4: a window spans four steps
+    got = chunks_of(spark, ["abcdefghijklmnopqrstuvw"], 4, 3)
+    assert [r.text for r in got[0]] == ["abcdefghijklmnop", "efghijklmnopqrst", "ijklmnopqrstuvw"]
+
+
 def test_overlap_zero_and_guard(spark):
     got = chunks_of(spark, ["abcdefghij" * 3], 2, 0)
     assert "".join(r.text for r in got[0]) == "abcdefghij" * 3
@@ -51,39 +49,32 @@ def test_index_above_9999(spark):
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.text(min_size=1, max_size=300), st.integers(1, 6), st.integers(0, 5))
-def test_matches_loop(spark, text, tokens, overlap):
+@given(st.text(st.characters(codec="utf-8"), min_size=1, max_size=300), st.integers(1, 6), st.integers(0, 5))
+def test_windows_cover_the_text(spark, text, tokens, overlap):
     if overlap >= tokens:
         return
-    got = chunks_of(spark, [text], tokens, overlap)
-    assert [r.text for r in got[0]] == loop_windows(text, tokens, overlap)
-
-
-def test_token_windows_reassemble(spark):
-    enc = bpe_encoder()
-    text = "Whoever commits theft shall be punished with imprisonment. " * 40
-    ws = token_windows(text, 16, 4, enc)
-    ids = enc.encode_ordinary(text)
-    # dropping each window's overlap gives back the ids, hence the text
-    back = []
-    for i, w in enumerate(ws):
-        wid = enc.encode_ordinary(w)
-        back.extend(wid if i == 0 else wid[4:])
-    assert enc.decode(back) == text and len(back) == len(ids)
-    assert token_windows("", 16, 4, enc) == []
-    df = spark.createDataFrame([("s", text), ("e", "")], "section_id string, text string")
-    rows = token_chunks(df, 16, 4).orderBy("chunk_index").collect()
-    assert [r.text for r in rows] == ws
-    assert rows[0].chunk_id == "s::chunk_0000"
-
-
-def test_token_budget_like_reference(spark):
-    df = spark.createDataFrame([("BNS_1", "A" * 10000)], "section_id string, text string")
-    rows = token_chunks(df, 128, 16).collect()
-    assert len(rows) > 1 and all(r.text for r in rows)
+    width, step = tokens * 4, (tokens - overlap) * 4
+    got = [r.text for r in chunks_of(spark, [text], tokens, overlap)[0]]
+    assert got[0] + "".join(t[width - step:] for t in got[1:]) == text
+    assert all(len(t) == width for t in got[:-1]) and 0 < len(got[-1]) <= width
+    assert len(got) == 1 or len(got[-1]) > width - step  # no window repeats what the one before it ends with
 
 
 def test_combining_marks_count_as_characters(spark):
-    text = "cafe\u0301 " * 7  # combining acute accent: its own code point, as in Python
-    got = chunks_of(spark, [text], 2, 1)
-    assert [r.text for r in got[0]] == loop_windows(text, 2, 1)
+    # e and a combining acute accent are two characters
+    got = chunks_of(spark, ["cafe\u0301 bar"], 1, 0)
+    assert [r.text for r in got[0]] == ["cafe", "\u0301 ba", "r"]
+
+
+def test_time_grows_with_the_length(spark):
+    """One long text: twice the characters take about twice the time."""
+    def seconds(n):
+        df = spark.range(1).select(F.lit("s").alias("section_id"),
+                                   F.expr(f"repeat('abcdefgh', {n // 8})").alias("text"))
+        t0 = time.time()
+        char_chunks(df, 512, 64).write.format("noop").mode("overwrite").save()
+        return time.time() - t0
+
+    seconds(1_000_000)
+    four = min(seconds(4_000_000) for _ in range(2))
+    assert min(seconds(8_000_000) for _ in range(2)) < 3 * four + 0.5

@@ -23,10 +23,10 @@ def test_lookup_first_row_wins_and_unmatched(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.integers(0, 10_000), st.sampled_from(["grams", "automaton"]))
-def test_containing_matches_brute_force(spark, seed, method):
+@given(st.integers(0, 10_000), st.sampled_from([1 << 20, 300]))
+def test_containing_matches_brute_force(spark, seed, block_bytes):
     rnd = random.Random(seed)
-    alpha = "ab c"
+    alpha = "ab cé"
     hay = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 120))) for _ in range(12)]
     needles = []
     for i in range(10):
@@ -38,6 +38,18 @@ def test_containing_matches_brute_force(spark, seed, method):
             needles.append("".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 35))))
     n = spark.createDataFrame(list(enumerate(needles)), "needle_id long, needle string")
     h = spark.createDataFrame(list(enumerate(hay)), "doc_id long, text string")
-    got = {(r.needle_id, r.doc_id) for r in containing(n, h, method=method).collect()}
+    got = {(r.needle_id, r.doc_id) for r in containing(n, h, block_bytes=block_bytes).collect()}
     want = {(i, j) for i, nd in enumerate(needles) for j, t in enumerate(hay) if nd and nd in t}
     assert got == want
+
+
+def test_containing_with_any_ids_and_edges(spark):
+    from decimal import Decimal
+
+    n = spark.createDataFrame([(Decimal("1.5"), "theft of"), (Decimal("2"), ""), (Decimal("3"), None), (Decimal("4"), "x"),
+                               (Decimal("5"), "theft of"), (None, "x")], "needle_id decimal(5,1), needle string")
+    h = spark.createDataFrame([("a", "the theft of goods"), ("b", None), ("c", ""), (None, "x"), ("d", "y" * 300_000 + "x")],
+                              "doc_id string, text string")
+    got = {(None if r[0] is None else float(r[0]), r[1]) for r in containing(n, h).collect()}
+    assert got == {(1.5, "a"), (5.0, "a"), (4.0, None), (4.0, "d"), (None, None), (None, "d")}
+    assert containing(n.limit(0), h).count() == 0 and containing(n, h.limit(0)).count() == 0

@@ -12,7 +12,13 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import oracle_check  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
+from quarry.plans.registry import QUERIES, load_all  # noqa: E402
 
+load_all()
+
+
+# The queries of optional parts have their own tests.
+CORE = sorted(QUERIES)
 
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
              "boolean": "BOOLEAN"}
@@ -32,7 +38,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", CORE)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -51,7 +57,7 @@ def test_query_matches_oracle(spark, con, name):
     assert oracle_check.digest(df.columns, rows) == oracle_check.digest(ocols, orows)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", CORE)
 def test_no_pairwise_operators(spark, name):
     """No registered plan pairs rows without a key: no Cartesian product and
     no nested-loop join (scoring happens inside tasks, joins are equi-joins)."""
@@ -59,6 +65,30 @@ def test_no_pairwise_operators(spark, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
+# Queries whose plan must show the scoring of passages and the rank.
+SCORED = ["retrieve_text", "retrieve_text_blocked", "retrieve_sections", "retrieve_dense_text", "catalogue_match",
+          "catalogue_dense", "prompt_context", "knn_dense", "knn_dense_blocked", "retrieve_min_score"]
+
+
+@pytest.mark.parametrize("name", SCORED)
+def test_search_stays_in_the_plan_and_does_not_copy_the_corpus(spark, name):
+    """The scan, the scoring and the rank are in the returned plan, and no
+    exchange or explode lies between the passages and their scoring."""
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "WindowGroupLimit" in plan
+    lines = plan.split("== Initial Plan ==")[0].split("\n")
+    for i, line in enumerate(lines):
+        if "MapInArrow run(" in line and "score" in line:
+            depth = line.index("MapInArrow")
+            below = []
+            for x in lines[i + 1:]:
+                at = len(x) - len(x.lstrip(" :+-*(0123456789)"))
+                if at <= depth:
+                    break
+                below.append(x)
+            assert not any("Exchange" in x or "sequence(" in x for x in below), (name, below)
+
+
 def test_scans_read_only_needed_columns(spark):
     """Column pruning reaches the parquet scans."""
     cases = {"char_chunks": ("n_chars", "lang", "source"), "key_lookup": ("c_acctbal", "c_mktsegment"),

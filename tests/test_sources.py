@@ -30,3 +30,29 @@ def test_text_files_whole_and_newlines(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("Section 1. A\r\nbody\rmore\n".encode())
     rows = read_text_files(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0].text == "Section 1. A\nbody\nmore\n"
+
+
+def test_csv_ordinal_follows_the_files(spark, tmp_path):
+    """The larger second file is read first; its rows still come last."""
+    cols = ["ipc", "title"]
+    (tmp_path / "a.csv").write_text("ipc,title\n1,first\n2,second\n")
+    (tmp_path / "b.csv").write_text("ipc,title\n1,other\n" + "".join(f"{i},row {i}\n" for i in range(3, 3000)))
+    rows = read_csv_strings(spark, str(tmp_path), cols, ordinal="ord").repartition(5)
+    assert [r.title for r in rows.orderBy("ord").limit(4).collect()] == ["first", "second", "other", "row 3"]
+
+
+def test_a_shared_folder_is_asked_for_off_local(spark, monkeypatch):
+    import pytest
+
+    from quarry.session import ensure_checkpoint_dir
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Cluster)

@@ -1,7 +1,6 @@
-"""Streams (batch = stream, idempotent replay) and property tests of the
-text expressions against their plain-Python statements."""
+"""Streams (batch = stream, idempotent replay) and properties of the text
+expressions on texts whose result is known from their parts."""
 import json
-import math
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from quarry.functions.text import parse_verdict, strip_reasoning
 from quarry.operators.chunks import char_chunks
 from quarry.session import scratch_path
 from quarry.streaming.streams import chunk_stream, file_stream, write_batch
-from tests.test_text import clean_oracle
 
 
 def test_chunk_stream_equals_batch(spark):
@@ -33,49 +31,30 @@ def test_replayed_batch_replaces(spark):
     assert spark.read.parquet(f"{base}/sink").count() == 3
 
 
-_piece = st.sampled_from(["<think>", "</think>", "</THINK>", "Okay, ", "let me ", "The user ", "\n\n", "\n",
-                          "Answer: ", "[BNS 303]", "According to ", "Under Section 5", "चोरी", "उत्तर:",
-                          "x" * 30, "plain words ", "  ", "First, "])
+_word = st.text("abcdef ", max_size=20).map(str.strip)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(_piece, max_size=12))
-def test_strip_reasoning_property(spark, pieces):
-    text = "".join(pieces)
-    got = spark.createDataFrame([(text,)], "t string").select(strip_reasoning("t").alias("c")).first().c
-    assert got == clean_oracle(text)
+@settings(max_examples=30, deadline=None)
+@given(_word, _word, st.sampled_from(["</think>", "</THINK>", "</Think>"]))
+def test_text_after_closed_reasoning_stays(spark, thought, reply, close):
+    text = f"<think>{thought}{close}\n {reply} "
+    assert spark.createDataFrame([(text,)], "t string").select(strip_reasoning("t").alias("c")).first().c == reply
 
 
-def verdict_oracle(raw):
-    raw = raw.strip().removeprefix("```json").removesuffix("```").strip()
-    try:
-        v = json.loads(raw)
-    except ValueError:
-        return (0, 0, "judge parse failure")
-    if not isinstance(v, dict):
-        return (0, 0, None)
+@settings(max_examples=30, deadline=None)
+@given(_word)
+def test_text_without_reasoning_is_only_stripped(spark, reply):
+    assert spark.createDataFrame([(f" \n{reply}\t",)], "t string").select(strip_reasoning("t").alias("c")).first().c == reply
 
-    def num(x):
-        if isinstance(x, bool) or x is None:
-            return 0
-        try:
-            f = float(x)
-        except (TypeError, ValueError):
-            return 0
-        return int(f) if math.isfinite(f) and abs(f) < 2 ** 31 else 0
-    reason = v.get("reason")
-    return (num(v.get("correctness", 0)), num(v.get("citation", 0)), reason if isinstance(reason, str) else None)
 
+_score = st.integers(-9, 9)
 
-_num = st.one_of(st.integers(-9, 9), st.floats(-9, 9, allow_nan=False).map(lambda f: round(f, 2)))
 
-
-@settings(max_examples=40, deadline=None)
-@given(st.fixed_dictionaries({}, optional={"correctness": _num, "citation": _num,
-                                           "reason": st.text("ab ", max_size=5)}),
-       st.sampled_from(["plain", "fenced", "broken"]))
-def test_parse_verdict_property(spark, d, shape):
-    raw = json.dumps(d)
-    raw = {"plain": raw, "fenced": "```json\n" + raw + "\n```", "broken": raw[:-1]}[shape]
+@settings(max_examples=30, deadline=None)
+@given(_score, _score, st.text("ab ", max_size=5), st.sampled_from(["%s", " %s\n", "```json\n%s\n```", "```json%s```\n"]))
+def test_verdicts_come_back_through_fences(spark, correctness, citation, reason, shape):
+    raw = shape % json.dumps({"correctness": correctness, "citation": citation, "reason": reason})
     j = spark.createDataFrame([(raw,)], "v string").select(parse_verdict("v").alias("j")).first().j
-    assert (j.correctness, j.citation, j.reason) == verdict_oracle(raw)
+    assert (j.correctness, j.citation, j.reason) == (correctness, citation, reason)
+    broken = spark.createDataFrame([(raw.replace("}", ""),)], "v string").select(parse_verdict("v").alias("j")).first().j
+    assert (broken.correctness, broken.citation, broken.reason) == (0, 0, "judge parse failure")
