@@ -183,7 +183,7 @@ class Scorer:
 def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], classes: int,
           order: int = ORDER, lower: bool = False, floors: tuple[float, ...] = (0.0,),
           max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """``keep..., total0, total1, ... double, bytes long``: the sum of the
+    """``keep..., __total0, __total1, ... double, __bytes long``: the sum of the
     model's values over all bytes of each text, one sum for each of
     ``floors``, which leaves out values nearer to 0 than it.  With a model of one part this is one narrow
     pass; with more, each part is a pass and the sums are added by row."""
@@ -194,8 +194,8 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
     pair = F.lit(0xFFFF)
     parts = (model.withColumn("as_gram", _owner(F.shiftright("code", 8).bitwiseAND(pair), passes))
              .withColumn("as_context", _owner(F.col("code").bitwiseAND(pair), passes)))
-    totals = [f"total{i}" for i in range(len(floors))]
-    fields = [StructField(t, DoubleType()) for t in totals] + [StructField("bytes", LongType())]
+    totals = [f"__total{i}" for i in range(len(floors))]
+    fields = [StructField(t, DoubleType()) for t in totals] + [StructField("__bytes", LongType())]
     made = []
     for p in range(passes):
         mine = parts.filter((k < 3) | (F.col("as_gram") == p) | (F.col("as_context") == p))
@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
     rows = made[0]
     for more in made[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy(*keep).agg(*[F.sum(t).alias(t) for t in totals], F.max("bytes").alias("bytes"))
+    return rows.groupBy(*keep).agg(*[F.sum(t).alias(t) for t in totals], F.max("__bytes").alias("__bytes"))
 
 
 _SCORERS: dict[str, Scorer] = {}

@@ -53,12 +53,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return named.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"),
                             F.lit(None).cast("double").alias("limit"), F.lit(True).alias("keep"))
     seen = materialize(score(rows.filter("__fold = 0"), grams, "__text", ["__lang"], 1))
-    sums = seen.agg(F.sum("total0").alias("t"), F.sum("bytes").alias("b")).first()
+    sums = seen.agg(F.sum("__total0").alias("t"), F.sum("__bytes").alias("b")).first()
     average = sums["t"] / sums["b"] if sums["b"] else 0.0
 
     def perplexity(frame: DataFrame) -> DataFrame:
         return frame.withColumn("perplexity", F.exp(
-            -(F.col("total0") + F.lit(DAMP * average)) / (F.col("bytes") + F.lit(DAMP))))
+            -(F.col("__total0") + F.lit(DAMP * average)) / (F.col("__bytes") + F.lit(DAMP))))
 
     held = perplexity(seen)
     limits = held.groupBy("__lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("limit"))

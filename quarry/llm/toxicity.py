@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     windows = count_windows(rows.filter("__fold > 1"), "__text", "__class", 2, lower=True)
     grams = estimate(windows, 2, shared=SHARED)
     check = score(rows.filter("__fold = 1"), grams, "__text", ["__class"], 2, lower=True, floors=FLOORS)
-    pairs = check.select("__class", *[evidence(F.col(f"total{i}"), F.col("bytes")).alias(f"x{i}")
+    pairs = check.select("__class", *[evidence(F.col(f"__total{i}"), F.col("__bytes")).alias(f"x{i}")
                                       for i in range(len(FLOORS))]).toArrow()
     y = pairs.column(0).to_numpy().astype(float)
     prior = n[1] / (n[0] + n[1])
@@ -116,8 +116,8 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     if model.grams is None:
         return docs.select(*[f"`{c}`" for c in keep], F.lit(0.0).alias("__score"))
     made = score(docs, model.grams, text_col, keep, 2, lower=True, floors=(model.floor,))
-    x = evidence(F.col("total0"), F.col("bytes"))
+    x = evidence(F.col("__total0"), F.col("__bytes"))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(model.slope) * x + F.lit(model.offset))))
     prior = min(model.prior, math.nextafter(0.5, 0))
     return made.select(*[f"`{c}`" for c in keep],
-                       F.when(F.col("bytes") > 0, p).otherwise(F.lit(prior)).alias("__score"))
+                       F.when(F.col("__bytes") > 0, p).otherwise(F.lit(prior)).alias("__score"))

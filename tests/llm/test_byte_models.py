@@ -52,7 +52,7 @@ def rows(spark):
 def test_one_class_matches_dictionaries(spark, rows):
     model = estimate(count_windows(rows.filter("class = 0"), "text", "class", 1), 1)
     p = plain_model([t for _, c, t in TEXTS if c == 0], ORDER)
-    got = {r.id: (r.total0, r.bytes) for r in score(rows, model, "text", ["id"], 1).collect()}
+    got = {r.id: (r['__total0'], r['__bytes']) for r in score(rows, model, "text", ["id"], 1).collect()}
     for i, _, t in TEXTS:
         b = b"\0" * (ORDER - 1) + (t or "").encode()
         want = sum(math.log(p(b[j:j + ORDER])) for j in range(len(b) - ORDER + 1))
@@ -63,20 +63,20 @@ def test_two_classes_and_parts(spark, rows):
     model = estimate(count_windows(rows, "text", "class", 2), 2)
     p = [plain_model([t or "" for _, c, t in TEXTS if c == k], ORDER) for k in (0, 1)]
     probe = spark.createDataFrame([(9, "the zebra sat"), (8, None), (7, "é")], "id long, text string")
-    got = {r.id: r.total0 for r in score(probe, model, "text", ["id"], 2).collect()}
+    got = {r.id: r['__total0'] for r in score(probe, model, "text", ["id"], 2).collect()}
     b = b"\0" * (ORDER - 1) + b"the zebra sat"
     want = sum(math.log(p[1](b[j:j + ORDER])) - math.log(p[0](b[j:j + ORDER])) for j in range(len(b) - ORDER + 1))
     assert abs(got[9] - want) < 1e-3 and got[8] == 0
-    parts = {r.id: r.total0 for r in score(probe, model, "text", ["id"], 2, max_entries=60).collect()}
+    parts = {r.id: r['__total0'] for r in score(probe, model, "text", ["id"], 2, max_entries=60).collect()}
     assert parts.keys() == got.keys() and all(abs(parts[i] - got[i]) < 1e-6 for i in got)
     floors = score(probe, model, "text", ["id"], 2, floors=(0.0, 1e9)).filter("id = 9").first()
-    assert abs(floors.total0 - want) < 1e-3 and floors.total1 == 0
+    assert abs(floors['__total0'] - want) < 1e-3 and floors['__total1'] == 0
 
 
 def test_empty(spark, rows):
     model = estimate(count_windows(rows.limit(0), "text", "class", 1), 1)
     assert model.count() == 0
     got = score(rows.filter("id = 0"), model, "text", ["id"], 1).first()
-    assert abs(got.total0 + got.bytes * np.log(256)) < 1e-6
+    assert abs(got['__total0'] + got['__bytes'] * np.log(256)) < 1e-6
     assert score(rows.limit(0), model, "text", ["id"], 1).count() == 0
     assert count_windows(rows.filter("id = 6"), "text", "class", 1).agg(F.sum("n0")).first()[0] == 19

@@ -107,5 +107,7 @@ def test_threshold_arithmetic():
                 assert not t.close(x, y)
             else:
                 assert t.close(x, y) and t.overlap(x, y) == least and least in t.needed(x) and least in t.needed(y)
-                assert x - least < t.prefix(x) and y - least < t.prefix(y)
+                meet = min(jaccard.TOGETHER, least)
+                assert t.together(x, y) == meet
+                assert x - least + meet <= t.prefix(x) <= x and y - least + meet <= t.prefix(y) <= y
     assert boundary(t, 1.0) < boundary(t, 1e6) <= jaccard.LIGHT_LIMIT
