@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import leaks
+from quarry.llm.ids import without_ids
 from quarry.llm.jaccard import jaccard_components
 from quarry.llm.mixing import mix
 from quarry.llm.queries import table
@@ -37,14 +38,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     similarity of 0.75 or more over five-word shingles.  Of rows that share
     that id all are kept."""
     groups = jaccard_components(docs)
-    gone = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct())
+    return without_ids(docs, gone, "doc_id")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, exact or edited."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return without_ids(docs, found, "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
 
 from quarry.llm.batches import per_text, slices, text_buffer
 from quarry.llm.components import components
+from quarry.llm.ids import id_filter, passes, spot
 from quarry.llm.words import Lookup, mix, text_shingles
 from quarry.session import materialize
 
@@ -55,7 +56,6 @@ FREQUENT = 1 << 17  # most frequent shingles that go last in every prefix
 FREQUENT_FROM = 8  # texts that must share a shingle for that
 LIGHT_LIMIT = 16  # sizes that are ever enumerated
 GROUP_POSTINGS = 500_000  # postings that a group of lists should have
-FILTER_BITS = 1 << 26  # bits of the largest Bloom filter (8 MB)
 TOKEN_BYTES = 5  # bytes of a shingle's hash kept for verification
 TOGETHER = 5  # lists that linked sets share at least
 HUBS = 3  # members of a list's largest component that the others meet first
@@ -400,20 +400,6 @@ def across(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
     return mixed.mapInArrow(pairs, PAIR)
 
 
-def id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A Bloom filter (two bits an id) of at most ``FILTER_BITS`` bits as
-    64-bit words; more ids only make it pass more."""
-    n = ids.count()
-    bits = min(FILTER_BITS, 1 << max(10, math.ceil(math.log2(max(1, n) * 16))))
-    spots = ids.select(F.explode(F.array(*[
-        F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in (0, 1)])).alias("b"))
-    words = (spots.groupBy(F.shiftright("b", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow())
-    table = np.zeros(bits // 64, np.int64)
-    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return table, bits
-
-
 def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_col: str,
            text_col: str) -> DataFrame:
     """Of the pairs ``a, x, b, y`` (id of a text and key of its set, twice)
@@ -427,16 +413,12 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_c
     table, bits = id_filter(ids, "id")
     data = docs.sparkSession.sparkContext.broadcast(table)
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
-                        *[F.pmod(F.xxhash64(F.lit(i), F.col(f"`{id_col}`")), F.lit(bits)).alias(f"b{i}")
-                          for i in (0, 1)]))
+                        *[spot(F.col(f"`{id_col}`"), i, bits).alias(f"b{i}") for i in (0, 1)]))
 
     def make(batches):
         bloom = data.value
         for batch in batches:
-            hit = np.ones(len(batch), bool)
-            for c in ("b0", "b1"):
-                at = batch.column(c).to_numpy()
-                hit &= (bloom[at >> 6] >> (at & 63)) & 1 == 1
+            hit = passes(bloom, batch.column("b0").to_numpy(), batch.column("b1").to_numpy())
             batch = batch.filter(pa.array(hit))
             buf, off = text_buffer(batch.column("text"))
             for a, b in slices(off):
