@@ -1,11 +1,17 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round moves edges towards the smallest id around: neighbours above a node
-are tied to the smallest neighbour, then neighbours below it.  The edge table
-ends as one star per component.  Rounds grow with the logarithm of the
-component's diameter; nothing is collected but a count and a checksum."""
+The distinct edges are dealt to tasks of a bounded number of edges, and each
+task replaces its edges by the stars of its own forest.  Then rounds move
+edges towards the smallest id around: neighbours above a node are tied to the
+smallest neighbour, then neighbours below it, until the edge table is one star
+per component.  Rounds grow with the logarithm of the component's diameter;
+nothing is collected but counts and a checksum.  Edges that fit one task need
+no rounds."""
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +28,38 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def forest(edges: DataFrame) -> DataFrame:
+    """``u, v`` of each task's edges as stars: every node with the smallest
+    node of its tree."""
+    types = edges.schema
+
+    def run(batches):
+        up: dict = {}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        names, kind = None, None
+        for batch in batches:
+            names, kind = batch.schema.names, batch.schema.types
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                up.setdefault(x, x)
+                up.setdefault(y, y)
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if up:
+            rows = [(x, find(x)) for x in up]
+            rows = [r for r in rows if r[0] != r[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind[i]) for i in (0, 1)], names=names)
+
+    return edges.mapInArrow(run, types)
+
+
+def components(edges: DataFrame, a: str, b: str, task_edges: int = 250_000) -> DataFrame:
     """``id, component`` for every id that an edge joins to a smaller one:
     ``component`` is the smallest id reachable.  Other ids are their own
     component and not listed.  Null ends are skipped."""
@@ -30,6 +67,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
          .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
          .select("u", "v").distinct())
     e = materialize(e)
+    tasks = max(1, math.ceil(e.count() / task_edges))
+    e = materialize(forest(e.coalesce(tasks)))
+    if tasks == 1:  # one bounded task held every edge: its stars are the components
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -26,5 +26,6 @@ def test_components(spark):
     edges = path + star + loose + [(7, 7), (None, 3), (3, None), (1, 0), (0, 1)]
     rng.shuffle(edges)
     df = spark.createDataFrame(edges, "p long, q long")
-    assert {tuple(r) for r in components(df, "p", "q").collect()} == plain(edges)
+    for task_edges in (250_000, 100, 7):
+        assert {tuple(r) for r in components(df, "p", "q", task_edges).collect()} == plain(edges)
     assert components(df.limit(0), "p", "q").count() == 0
