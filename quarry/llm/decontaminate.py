@@ -34,7 +34,7 @@ from quarry.llm.batches import slices, text_buffer
 from quarry.llm.words import Lookup, shingle_hashes, word_hashes, word_spans
 from quarry.session import materialize
 
-SEED_WORDS = 4
+SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
