@@ -210,8 +210,8 @@ def _subset_postings(tokens: np.ndarray, limit: Threshold):
 
 def postings(docs: DataFrame, words: int, limit: Threshold, light: int, often: np.ndarray, parts: int,
              text_col: str) -> DataFrame:
-    """Packed postings by list group: hash, set key, set size, and the
-    position in the prefix, or less than 0 for a subset's size."""
+    """Packed postings by list group: hash, set key, set size, and 0, or less
+    than 0 for a subset's size."""
     data = docs.sparkSession.sparkContext.broadcast(often)
     names = ["tokens", "keys", "sizes", "places"]
 
@@ -245,7 +245,7 @@ def postings(docs: DataFrame, words: int, limit: Threshold, light: int, often: n
                         order = np.argsort(r, kind="stable") if (r >= 0).any() else slice(None)
                         head = t[order][:limit.prefix(n)]
                         out.append(head)
-                        place.append(np.arange(len(head)))
+                        place.append(np.zeros(len(head), np.int32))
                     out_, place_ = np.concatenate(out), np.concatenate(place)
                     columns[0].append(out_)
                     columns[1].append(np.full(len(out_), key))
@@ -363,16 +363,17 @@ def _members(batch):
         yield k[order], s[order], d[order], g[order], times
 
 
-def to_hubs(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
+def to_hubs(mixed: DataFrame, limit: Threshold, light: int, turn: int) -> DataFrame:
     """Members outside a list's largest component with its members of the
-    highest degree and with their own neighbour in size."""
+    highest degree (the next ones every ``turn``) and with their own
+    neighbour in size."""
     def pairs(batches):
         for batch in batches:
             for k, s, d, g, times in _members(batch):
                 parts, back, n = np.unique(g, return_inverse=True, return_counts=True)
                 large = np.flatnonzero(back == np.argmax(n))
                 stray = np.flatnonzero(back != np.argmax(n))
-                hubs = large[np.lexsort((k[large], -d[large]))][:HUBS]
+                hubs = large[np.lexsort((k[large], -d[large]))][turn * HUBS:(turn + 1) * HUBS]
                 a, b = np.repeat(stray, len(hubs)), np.tile(hubs, len(stray))
                 apart = g[stray[1:]] != g[stray[:-1]]
                 a, b = np.append(a, stray[:-1][apart]), np.append(b, stray[1:][apart])
@@ -384,9 +385,22 @@ def to_hubs(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
     return mixed.mapInArrow(pairs, PAIR).drop("times").distinct()
 
 
-def across(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
-    """All pairs of list members in different components."""
+def _summed(rows: list) -> list:
+    """Pair columns with equal pairs added up."""
+    x, nx, y, ny, times = (np.concatenate(c) for c in zip(*rows))
+    order = np.lexsort((y, x))
+    x, nx, y, ny, times = (c[order] for c in (x, nx, y, ny, times))
+    start = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (nx[1:] != nx[:-1])
+                                     | (ny[1:] != ny[:-1])))
+    return [(x[start], nx[start], y[start], ny[start], np.add.reduceat(times, start))]
+
+
+def across(mixed: DataFrame, limit: Threshold, light: int, hold: int = 1_000_000) -> DataFrame:
+    """All pairs of list members in different components, equal pairs added up
+    inside a task, which holds about ``hold`` of them at a time."""
     def pairs(batches):
+        rows: list = []
+        held = 0
         for batch in batches:
             for k, s, _, g, times in _members(batch):
                 for i in range(len(k) - 1):
@@ -394,8 +408,17 @@ def across(mixed: DataFrame, limit: Threshold, light: int) -> DataFrame:
                     j = np.arange(i + 1, stop)
                     j = j[(g[j] != g[i]) & (s[j] > light)]
                     if len(j):
-                        yield _pair_batch(np.full(len(j), k[i]), np.full(len(j), s[i]), k[j], s[j],
-                                          np.full(len(j), times))
+                        rows.append((np.full(len(j), k[i]), np.full(len(j), s[i]), k[j], s[j],
+                                     np.full(len(j), times)))
+                        held += len(j)
+                if held > hold:
+                    rows = _summed(rows)
+                    held = len(rows[0][0])
+                    if held > hold // 2:
+                        yield _pair_batch(*rows[0])
+                        rows, held = [], 0
+        if rows:
+            yield _pair_batch(*_summed(rows)[0])
 
     return mixed.mapInArrow(pairs, PAIR)
 
@@ -501,16 +524,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = materialize(named(often_enough(neighbours(table, limit).unionByName(twos), limit)))
     links = materialize(links.unionByName(verify(docs, met, words, limit, "doc_id", "text")))
     groups = grouped(links)
-    apart = None
-    while True:  # while a round leaves at most half of the sets that were apart
+    apart, turn = None, 0
+    while True:  # while a round joins at least one in 500 of the components that were apart
         mixed = materialize(mixed_lists(table, groups))
-        before, apart = apart, mixed.agg(F.sum(F.size("members"))).first()[0] or 0
-        if apart == 0 or (before is not None and apart > before / 2):
+        before = apart
+        apart = mixed.select(F.explode("members.component").alias("c")).distinct().count()
+        if apart == 0 or (before is not None and apart > before * 0.998):
             break
-        fresh = materialize(named(to_hubs(mixed, limit, light)).join(met, ["a", "b", "x", "y"], "left_anti"))
+        fresh = materialize(named(to_hubs(mixed, limit, light, turn)).join(met, ["a", "b", "x", "y"], "left_anti"))
         links = materialize(links.unionByName(verify(docs, fresh, words, limit, "doc_id", "text")))
         met = materialize(met.unionByName(fresh))
         groups = grouped(links)
+        turn += 1
     last = often_enough(across(mixed, limit, light).unionByName(twos), limit)
     last = materialize(named(last).join(met, ["a", "b", "x", "y"], "left_anti"))
     if not last.isEmpty():
