@@ -73,7 +73,8 @@ SCORED = ["retrieve_text", "retrieve_text_blocked", "retrieve_sections", "retrie
 @pytest.mark.parametrize("name", SCORED)
 def test_search_stays_in_the_plan_and_does_not_copy_the_corpus(spark, name):
     """The scan, the scoring and the rank are in the returned plan, and no
-    exchange or explode lies between the passages and their scoring."""
+    exchange by a key and no replication lies between the passages and their
+    scoring (the checks deal a one-row-group file to all cores)."""
     plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "WindowGroupLimit" in plan
     lines = plan.split("== Initial Plan ==")[0].split("\n")
@@ -86,7 +87,8 @@ def test_search_stays_in_the_plan_and_does_not_copy_the_corpus(spark, name):
                 if at <= depth:
                     break
                 below.append(x)
-            assert not any("Exchange" in x or "sequence(" in x for x in below), (name, below)
+            moved = [x for x in below if "Exchange" in x and "RoundRobin" not in x or "sequence(" in x]
+            assert not moved, (name, moved)
 
 
 def test_scans_read_only_needed_columns(spark):
