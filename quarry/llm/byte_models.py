@@ -185,8 +185,10 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
           max_entries: int = MAX_ENTRIES) -> DataFrame:
     """``keep..., __total0, __total1, ... double, __bytes long``: the sum of the
     model's values over all bytes of each text, one sum for each of
-    ``floors``, which leaves out values nearer to 0 than it.  With a model of one part this is one narrow
-    pass; with more, each part is a pass and the sums are added by row."""
+    ``floors``, which leaves out values nearer to 0 than it.  One row for each
+    row of ``docs``, whatever ``keep`` holds.  With a model of one part this
+    is one narrow pass; with more, the rows are written once with a key of
+    their own, each part is a pass over them, and the sums are added by key."""
     spark = docs.sparkSession
     unseen = math.log(1.0 / 256) if classes == 1 else 0.0
     passes = max(1, math.ceil(model.count() / max_entries))
@@ -196,6 +198,11 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
              .withColumn("as_context", _owner(F.col("code").bitwiseAND(pair), passes)))
     totals = [f"__total{i}" for i in range(len(floors))]
     fields = [StructField(t, DoubleType()) for t in totals] + [StructField("__bytes", LongType())]
+    keyed, own = docs, keep
+    if passes > 1:
+        keyed = materialize(docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text_col])],
+                                        F.monotonically_increasing_id().alias("__row")))
+        own = ["__row"]
     made = []
     for p in range(passes):
         mine = parts.filter((k < 3) | (F.col("as_gram") == p) | (F.col("as_context") == p))
@@ -203,13 +210,15 @@ def score(docs: DataFrame, model: DataFrame, text_col: str, keep: list[str], cla
         data = spark.sparkContext.broadcast(tuple(
             rows.column(i).to_numpy(zero_copy_only=False).astype(t)
             for i, t in enumerate((np.uint64, np.float32, np.float32))))
-        made.append(per_text(docs, text_col, keep, fields, _summing(data, order, unseen, lower, floors, p, passes)))
+        made.append(per_text(keyed, text_col, own, fields, _summing(data, order, unseen, lower, floors, p, passes)))
     if passes == 1:
         return made[0]
     rows = made[0]
     for more in made[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy(*keep).agg(*[F.sum(t).alias(t) for t in totals], F.max("__bytes").alias("__bytes"))
+    sums = rows.groupBy("__row").agg(*[F.sum(t).alias(t) for t in totals], F.max("__bytes").alias("__bytes"))
+    return (keyed.select(*[f"`{c}`" for c in keep], "__row").join(sums, "__row")
+            .select(*[f"`{c}`" for c in keep], *totals, "__bytes"))
 
 
 _SCORERS: dict[str, Scorer] = {}

@@ -80,3 +80,14 @@ def test_empty(spark, rows):
     assert abs(got['__total0'] + got['__bytes'] * np.log(256)) < 1e-6
     assert score(rows.limit(0), model, "text", ["id"], 1).count() == 0
     assert count_windows(rows.filter("id = 6"), "text", "class", 1).agg(F.sum("n0")).first()[0] == 19
+
+
+def test_parts_keep_rows_that_repeat_the_kept_columns(spark, rows):
+    model = estimate(count_windows(rows, "text", "class", 2), 2)
+    same = rows.unionByName(rows.filter("id in (0, 5)")).withColumn("id", F.when(F.col("id") > 1, F.col("id")))
+    for keep in (["class"], ["id"], ["id", "class", "text"]):
+        whole = score(same, model, "text", keep, 2, floors=(0.0, 1.0)).collect()
+        parts = score(same, model, "text", keep, 2, floors=(0.0, 1.0), max_entries=60).collect()
+        assert len(parts) == len(whole) == 9
+        key = lambda r: (*map(str, r[:len(keep)]), r["__bytes"], round(r["__total0"], 6), round(r["__total1"], 6))
+        assert sorted(map(key, parts)) == sorted(map(key, whole))

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm.byte_models import score
 from quarry.llm.quality import quality
 from quarry.llm.toxicity import fold, toxicity, train
 
@@ -72,3 +73,20 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(out[r[0]].keep for r in edge)
     assert quality(docs, labels.limit(0)).filter("not keep").count() == 0
     assert quality(docs.limit(0), labels).count() == 0
+
+
+def test_models_of_several_parts_keep_repeated_rows(spark, tables, monkeypatch):
+    docs, labels = tables
+    docs = docs.unionByName(docs.filter("doc_id in (12, 15) or doc_id is null")).drop("bytes")
+    monkeypatch.setattr(score, "__defaults__", (*score.__defaults__[:-1], 4000))
+    model = train(docs, labels)
+    assert model.grams.count() > 4000
+    out = toxicity(docs, model, ["doc_id"]).collect()
+    assert len(out) == 408
+    held = [r for r in out if r.doc_id is not None and r.doc_id < 400
+            and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum((r["__score"] >= 0.5) == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.95
+    kept = quality(docs, labels).collect()
+    assert len(kept) == 408
+    limit = {r.limit for r in kept}
+    assert len(limit) == 1 and sum(r.keep for r in kept) > 0.9 * len(kept)
