@@ -8,8 +8,7 @@ did not train the model, so that share of trusted-like texts is kept; texts
 above the limit are rejected.
 
 Rows with ``crc32(doc_id) % 5 = 0`` set the limits, the other trusted rows
-train; at most about ``max_trusted`` trusted rows are used, chosen by a hash
-of the id.  Null and empty texts have average perplexity and are kept.  A null
+train, all of them.  Null and empty texts have average perplexity and are kept.  A null
 language is a language of its own; one without trusted texts takes the limit
 of all trusted texts.  Without trusted rows everything is kept.  Null labels
 are skipped; an id with several labels is trusted if all are good.  An empty
@@ -27,24 +26,22 @@ from quarry.session import materialize
 DAMP = 100.0
 
 
-def trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str,
-            max_trusted: int) -> DataFrame:
-    """``__text, __lang, __fold`` of the trusted texts; their ids are broadcast
-    and bounded by ``max_trusted``."""
+def trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``__text, __lang, __fold`` of all trusted texts.  Their ids are written
+    first, so that Spark knows their size when it plans the join."""
     good = (labels.filter("quality is not null and doc_id is not null").groupBy("doc_id")
             .agg(F.min("quality").alias("q")).filter("q = 1"))
-    share = min(1.0, max_trusted / max(1, good.count()))
-    good = good.filter(F.pmod(F.xxhash64(F.lit("trusted"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    good = materialize(good.select(F.col("doc_id").alias("__id")))
     return (docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
                         F.col(f"`{lang_col}`").alias("__lang"))
-            .join(F.broadcast(good.select(F.col("doc_id").alias("__id"))), "__id")
+            .join(good, "__id")
             .select("__text", "__lang", fold("__id").alias("__fold"), F.lit(0).alias("__class")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            lang_col: str = "lang", quantile: float = 0.99, max_trusted: int = 200_000) -> DataFrame:
+            lang_col: str = "lang", quantile: float = 0.99) -> DataFrame:
     """``doc_id, lang, perplexity, limit, keep`` for every document."""
-    rows = trusted(docs, labels, id_col, text_col, lang_col, max_trusted)
+    rows = trusted(docs, labels, id_col, text_col, lang_col)
     named = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{lang_col}`").alias("lang"),
                         F.col(f"`{text_col}`").alias("__text"))
     windows = count_windows(rows.filter("__fold > 0"), "__text", "__class", 1)

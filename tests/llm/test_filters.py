@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm.byte_models import score
-from quarry.llm.quality import quality
+from quarry.llm.quality import quality, trusted
 from quarry.llm.toxicity import fold, toxicity, train
 
 
@@ -90,3 +90,12 @@ def test_models_of_several_parts_keep_repeated_rows(spark, tables, monkeypatch):
     assert len(kept) == 408
     limit = {r.limit for r in kept}
     assert len(limit) == 1 and sum(r.keep for r in kept) > 0.9 * len(kept)
+
+
+def test_all_trusted_rows_count(spark):
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"),
+                                       F.when(F.col("id") < 300, "xx").otherwise("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    n = {r["__lang"]: r["count"] for r in
+         trusted(docs, labels, "doc_id", "text", "lang").groupBy("__lang").count().collect()}
+    assert n == {"xx": 300, "en": 299_700}
