@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
 Every run of ``seed_words`` words of a test item is a seed.  One scan of the
 documents finds the seeds in them and gathers hits of one item that lie close
-together into a passage, with a margin of the item's length around it.  The
-passages found give each seed's document frequency over all documents; a
-passage goes on to alignment if it holds a rare seed or several distinct
-ones, so frequent phrases alone cost nothing while a test item copied into a
-third of all documents is still found.  Smith-Waterman over words then
-scores how much of the item the passage holds, with mismatches and gaps, and
-passages above ``min_score`` are leaks.  Equal passages are aligned once.
+together into a passage, with a margin of the item's length around it.  A passage
+goes on if it holds enough of the item's words, in any order, to reach
+``min_score``: an alignment matches no more words than both have in common,
+so nothing that could score is left out, however often it or its seeds
+occur, and frequent phrases alone leave no rows.  Smith-Waterman over words
+then scores how much of the item the passage holds, with mismatches and gaps,
+and passages of ``min_score`` or more are leaks.  Equal passages are aligned
+once.  A copy that keeps no run of ``seed_words`` words of its item is not
+found.
 
 The items are taken in blocks of at most ``block_bytes`` of seeds, each
 block broadcast and met by one scan, so any number of items has bounded
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import slices, text_buffer
-from quarry.llm.words import Lookup, shingle_hashes, word_hashes, word_spans
+from quarry.llm.words import Lookup, mix, shingle_hashes, word_hashes, word_spans
 from quarry.session import materialize
 
 SEED_WORDS = 3
+CHUNK_WORDS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -57,8 +60,28 @@ class Items:
         self.seeds, self.first = seeds, np.append(first, len(order))
         self.find = Lookup(seeds)
         self.size = np.diff(woff)
+        own = np.repeat(np.arange(len(ids)), self.size)
+        pairs, self.times = np.unique(_pair(own, self.words), return_counts=True)
+        self.find_word = Lookup(pairs)
         self.short = np.unique(self.size[(self.size > 0) & (self.size < seed_words)])
 
+    def shared(self, words: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many words each passage ``words[lo:hi]`` has in common with its
+        item, a repeated word as often as both hold it."""
+        out = np.zeros(len(item), np.int64)
+        ends = np.cumsum(hi - lo)
+        a = 0
+        while a < len(item):  # so many passages at once that their words stay about a chunk
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK_WORDS, "right")))
+            row, at = _ranges(lo[a:b], hi[a:b])
+            word = self.find_word.find(_pair(item[a:b][row], words[at]))
+            known = word >= 0
+            key, n = np.unique(row[known] * len(self.times) + word[known], return_counts=True)
+            out[a:b] = np.bincount(key // max(1, len(self.times)), np.minimum(
+                n, self.times[key % max(1, len(self.times))]), b - a)
+            a = b
+        return out
+
     def hits(self, words: np.ndarray, woff: np.ndarray, seed_words: int):
         """Word position, seed and length of every seed in the rows' words."""
         out = []
@@ -79,6 +102,11 @@ class Items:
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def _pair(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A key of an item and a word."""
+    return mix(words + mix(item.astype(np.uint64) + np.uint64(1)))
+
+
 _ITEMS: dict[str, Items] = {}
 
 
@@ -96,12 +124,13 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(len(row)) - (np.cumsum(n) - n)[row] + first[row]
 
 
-PASSAGE = "item int, seeds array<long>, words binary, start int, stop int"
+PASSAGE = "item int, words binary, start int, stop int"
 
 
-def passages(docs: DataFrame, data, seed_words: int, text_col: str, id_col: str) -> DataFrame:
-    """``doc, item, seeds, words, start, stop``: one row for each stretch of a
-    document that holds seeds of an item; ``words`` are hashes with a margin."""
+def passages(docs: DataFrame, data, seed_words: int, text_col: str, id_col: str, min_score: float) -> DataFrame:
+    """``doc, item, words, start, stop``: one row for each stretch of a
+    document that holds seeds of an item and enough of its words to reach
+    ``min_score``; ``words`` are hashes with a margin."""
     key = uuid.uuid4().hex
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -118,7 +147,7 @@ def passages(docs: DataFrame, data, seed_words: int, text_col: str, id_col: str)
                 item = items.item[entry]
                 row = np.searchsorted(woff, at, "right") - 1
                 order = np.lexsort((at, item, row))
-                at, seed, item, row = at[order], seed[order], item[order], row[order]
+                at, item, row = at[order], item[order], row[order]
                 if len(at) == 0:
                     continue
                 size = items.size[item]
@@ -128,14 +157,14 @@ def passages(docs: DataFrame, data, seed_words: int, text_col: str, id_col: str)
                 ends = np.append(cuts[1:], len(at))
                 lo = np.maximum(woff[row[cuts]], at[cuts] - size[cuts])
                 hi = np.minimum(woff[row[cuts] + 1], at[ends - 1] + size[cuts] + seed_words)
+                able = items.shared(words, item[cuts], lo, hi) >= min_score * size[cuts] - 1e-9
+                cuts, lo, hi = cuts[able], lo[able], hi[able]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(row[cuts] + a)), pa.array(item[cuts].astype(np.int32)),
-                    pa.array([np.unique(seed[x:y]).astype(np.int64) for x, y in zip(cuts, ends)],
-                             pa.list_(pa.int64())),
                     pa.array([words[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()),
                     pa.array((lo - woff[row[cuts]]).astype(np.int32)),
                     pa.array((hi - woff[row[cuts]]).astype(np.int32))],
-                    names=["doc", "item", "seeds", "words", "start", "stop"])
+                    names=["doc", "item", "words", "start", "stop"])
 
     return (docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
             .mapInArrow(run, f"doc {id_type}, {PASSAGE}"))
@@ -199,8 +228,7 @@ def scored(rows: DataFrame, data, seed_words: int) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS,
-          min_score: float = 0.5, rare: float = 1e-4, rare_floor: int = 20, several: int = 3,
-          block_bytes: int = 32 << 20) -> DataFrame:
+          min_score: float = 0.5, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per contaminated document and test item: ``doc_id, item_id,
     score, start, stop`` (word positions of the best passage with its margin)."""
     spark = docs.sparkSession
@@ -210,21 +238,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     blocks = max(1, math.ceil(weight * 16 / block_bytes))  # a seed takes about 16 times its share of text
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    n_docs = docs.count()
     made = []
     for block in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).toArrow()
         ids, texts = mine.column(0).to_pylist(), mine.column(1).to_pylist()
         data = spark.sparkContext.broadcast((ids, texts))
-        found = materialize(passages(docs, data, seed_words, text_col, id_col))
-        spread = (found.select("doc", F.explode("seeds").alias("seed")).groupBy("seed")
-                  .agg(F.count(F.lit(1)).alias("df")))
-        limit = max(rare_floor, rare * n_docs)
+        found = materialize(passages(docs, data, seed_words, text_col, id_col, min_score))
         keyed = found.withColumn("h", F.xxhash64("item", "words"))
-        # Passages of several seeds go on at once; the others need a rare one.
-        few = (keyed.filter(F.size("seeds") < several).select("item", "words", F.explode("seeds").alias("seed"))
-               .distinct().join(spread.filter(F.col("df") <= limit), "seed").select("item", "words"))
-        wanted = keyed.filter(F.size("seeds") >= several).select("item", "words").unionByName(few).distinct()
+        wanted = keyed.select("item", "words").distinct()
         tasks = max(2 * spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions")))
         good = materialize(scored(wanted.repartition(tasks), data, seed_words)

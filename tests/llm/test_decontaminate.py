@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import align, leaks
+from quarry.llm.decontaminate import Items, align, leaks
 
 
 def smith_waterman(a, b):
@@ -58,3 +59,31 @@ def test_empty_tables(spark):
     docs, bench, _ = tables(spark)
     assert leaks(docs.limit(0), bench).count() == 0
     assert leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_copies_of_few_seeds_are_found_however_frequent(spark):
+    long = [f"w{i}" for i in range(16)]
+    edited = [f"x{i}" if i in (2, 5, 8, 12, 15) else w for i, w in enumerate(long)]
+    items = [(0, " ".join(long)), (1, "one two three four"), (2, "tiny pair"), (3, "the same common phrase of many documents ends here")]
+    texts = [" ".join(edited), "says one two three four here", "a tiny pair", "said the same common phrase again"]
+    rows = [(100 * k + d, f"before{d} {t} after{d}") for k, t in enumerate(texts) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    edited_score = smith_waterman([int(w[1:]) for w in long], [int(w[1:]) + 100 * (w[0] == "x") for w in edited]) / 32
+    want = {(100 * k + d, k): (edited_score, 1, 1)[k] for k in range(3) for d in range(60)}
+    assert edited_score >= 0.5 and got == want | {k: v for k, v in got.items() if k[1] == 3 and v >= 0.5}
+    words = [i[1].split() for i in items]
+    score = smith_waterman([hash(w) for w in words[3]], [hash(w) for w in texts[3].split()]) / (2 * len(words[3]))
+    assert ((300, 3) in got) == (score >= 0.5)
+
+
+def test_common_words_bound_every_alignment():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, rng.integers(1, 15))) for _ in range(40)]
+    items = Items(list(range(40)), texts, 3)
+    for lo, hi in ((0, len(items.words)), (7, 9), (5, 30)):
+        words = items.words[lo:hi]
+        n = items.shared(items.words, np.arange(40), np.full(40, lo), np.full(40, hi))
+        own = [items.words[items.woff[i]:items.woff[i + 1]] for i in range(40)]
+        assert n.tolist() == [(Counter(o.tolist()) & Counter(words.tolist())).total() for o in own]
+        assert all(align(own, [words] * 40) <= 2 * n)
