@@ -120,3 +120,40 @@ def op1_decontaminate(spark, sf_dir):
     from quarry.llm.decontaminate import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PHRASES_SQL = r"""
+    WITH pieces AS (
+        SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+    words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    runs AS (
+        SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+              FROM words, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k)),
+    f AS (SELECT lang, k, phrase, count(*) AS c FROM runs GROUP BY ALL),
+    total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+    cuts AS (
+        SELECT x.lang, x.k, x.phrase, x.a, x.cut, p.c AS l, q.c AS r,
+               (1000000::HUGEINT * x.a * x.a // (p.c::HUGEINT * q.c))::BIGINT AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) x
+        JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(x.w[1:x.cut], ' ')
+        JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')),
+    best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    inner_ AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
+        FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE k = 3) GROUP BY ALL),
+    kept AS (
+        SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, phrase)
+        WHERE b.k = 3 OR longer IS NULL OR 100 * longer < 50 * b.a),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@register("op12_phrases", PHRASES_SQL)
+def op12_phrases(spark, sf_dir):
+    from quarry.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))

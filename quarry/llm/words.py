@@ -42,12 +42,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the n + 1 word offsets of the rows."""
+def word_spans(buf: np.ndarray, off: np.ndarray,
+               space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the n + 1 word offsets of the
+    rows; ``space`` tells the bytes that part words."""
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~SPACE[buf]
+    word = ~space[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     starts = word.copy()
