@@ -183,3 +183,29 @@ def op11_hard_negatives(spark, sf_dir):
     from quarry.llm.negatives import hard_negatives
 
     return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_substrings", r"""
+    WITH docs AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+    again AS (
+        SELECT doc_id, i FROM windows
+        QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS gone
+             FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM again) GROUP BY doc_id),
+    words AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM docs),
+    left_ AS (
+        SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS kept, count(*) AS n
+        FROM words x WHERE NOT EXISTS (
+            SELECT 1 FROM (SELECT doc_id, unnest(gone) AS p FROM gone) g WHERE g.doc_id = x.doc_id AND g.p = x.p)
+        GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM docs LEFT JOIN left_ USING (doc_id)""")
+def op13_substrings(spark, sf_dir):
+    from quarry.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
