@@ -134,13 +134,14 @@ PHRASES_SQL = r"""
               FROM words, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k)),
     f AS (SELECT lang, k, phrase, count(*) AS c FROM runs GROUP BY ALL),
     total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-    candidates AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND c >= 10),
+    known AS MATERIALIZED (SELECT lang, k, phrase, c FROM f WHERE c >= 10),
+    candidates AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM known WHERE k > 1),
     cuts AS (
         SELECT x.lang, x.k, x.phrase, x.a, x.cut, p.c AS l, q.c AS r,
                (1000000::HUGEINT * x.a * x.a // (p.c::HUGEINT * q.c))::BIGINT AS score
         FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) x
-        JOIN f p ON p.lang = x.lang AND p.phrase = array_to_string(x.w[1:x.cut], ' ')
-        JOIN f q ON q.lang = x.lang AND q.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')),
+        JOIN known p ON p.lang = x.lang AND p.phrase = array_to_string(x.w[1:x.cut], ' ')
+        JOIN known q ON q.lang = x.lang AND q.phrase = array_to_string(x.w[x.cut + 1:x.k], ' ')),
     best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
     inner_ AS (
         SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer
