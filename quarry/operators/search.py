@@ -4,17 +4,20 @@ Scores are inner products (cosine on unit vectors), rounded to 6 digits and
 ranked by (score desc, corpus id asc), so ties are broken the same way
 everywhere.  No pair of (question, passage) ever becomes a row.
 
-There is one plan for any number of questions.  Their bytes are summed first;
-they are cut by a hash of their id into blocks of about ``block_bytes``; each
-block is fetched, broadcast and met by one scan of the corpus, whose tasks
-score Arrow batches with one matrix product per slice, keep an exact running
-top-k per question and emit at most ``k`` rows per question.  The corpus is
-neither copied nor shuffled; memory is bounded by the block.
-
-The candidates (k per question per task) are ranked globally with
-``row_number`` over the question id; Catalyst puts a partial
-``WindowGroupLimit`` below the shuffle, so only k rows per question per
-partition cross it.
+The bytes of all questions are summed first.  If they fit one block of
+``block_bytes``, the block is broadcast and met by one scan of the corpus,
+which is neither copied nor shuffled.  Any larger number of questions meets
+the corpus in a grid of tasks (:mod:`quarry.operators.grid`): questions are cut
+into groups of a block each, the corpus into columns; it is read and encoded
+once and copied once per group of questions, and no question passes the
+driver.  Both ways run the same kernel and give the same rows.
+
+A task scores Arrow batches with matrix products over bounded sub-blocks of
+its questions (sparse questions are held as lists and become a matrix of at
+most ``_MATRIX_CELLS`` values at a time), keeps an exact running top-k per
+question and emits at most ``k`` rows per question.  The corpus is read by at
+most ``scan_tasks`` tasks, so the candidates that are shuffled for the rank
+grow with the cluster and not with the corpus.
 
 Vectors are either ``dense`` (``embedding array<float|double>``) or
 ``sparse`` (``buckets array<int>, weights array<double>``, sorted buckets).
@@ -29,29 +32,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.grid import cells, grid, shape
 from quarry.session import materialize
 
 # Work per scoring step: about this many (passage x question) scores at once.
 _STEP_CELLS = 2_000_000
+_MATRIX_CELLS = 2_000_000  # values of a question matrix (16 MB)
 BLOCK_BYTES = 32 << 20
 
 
 # ------------------------------------------------------------------ kernels
 
 def prepare_questions(ids, kind: str, dense=None, lengths=None, buckets=None, weights=None):
-    """Question block as numpy: ids plus a dense matrix (dense) or a matrix
-    over the buckets the questions use (sparse)."""
+    """Question block as numpy: ids plus a dense matrix (dense) or the lists
+    of buckets and weights (sparse)."""
     ids = np.asarray(ids)
-    n_q = len(ids)
     if kind == "dense":
-        return {"kind": kind, "ids": ids, "q": np.asarray(dense, dtype=np.float64).reshape(n_q, -1)}
-    lengths = np.asarray(lengths, dtype=np.int64)
-    buckets = np.asarray(buckets, dtype=np.int64)
-    used = np.unique(buckets)
-    qmat = np.zeros((len(used), n_q), dtype=np.float64)
-    if len(buckets):
-        qmat[np.searchsorted(used, buckets), np.repeat(np.arange(n_q), lengths)] = weights
-    return {"kind": kind, "ids": ids, "used": used, "q": qmat}
+        return {"kind": kind, "ids": ids, "q": np.asarray(dense, dtype=np.float64).reshape(len(ids), -1)}
+    off = np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))])
+    return {"kind": kind, "ids": ids, "off": off, "buckets": np.asarray(buckets, dtype=np.int64),
+            "weights": np.asarray(weights, dtype=np.float64)}
+
+
+def built_bytes(prep) -> int:
+    """Bytes of a prepared block."""
+    return sum(v.nbytes for v in prep.values() if isinstance(v, np.ndarray))
+
+
+def sub_blocks(prep):
+    """Prepared blocks whose matrix has at most ``_MATRIX_CELLS`` values (one
+    question at least); a block that is one by itself keeps its matrix."""
+    if prep["kind"] == "dense" or "q" in prep:
+        yield prep
+        return
+    off, n = prep["off"], len(prep["ids"])
+    lo = 0
+    while lo < n:
+        hi, step = lo + 1, n - lo
+        while step:  # the longest run of questions whose matrix is small enough
+            if hi + step <= n and len(np.unique(prep["buckets"][off[lo]:off[hi + step]])) * (hi + step - lo) <= _MATRIX_CELLS:
+                hi += step
+            else:
+                step //= 2
+        mine, w = prep["buckets"][off[lo]:off[hi]], prep["weights"][off[lo]:off[hi]]
+        used = np.unique(mine)
+        q = np.zeros((len(used), hi - lo), dtype=np.float64)
+        if len(mine):
+            q[np.searchsorted(used, mine), np.repeat(np.arange(hi - lo), np.diff(off[lo:hi + 1]))] = w
+        part = {"kind": "sparse", "ids": prep["ids"][lo:hi], "used": used, "q": q}
+        if hi - lo == n:
+            prep.update(used=used, q=q)
+        yield part
+        lo = hi
 
 
 def score_block(prep, n_c: int, dense=None, lengths=None, buckets=None, weights=None) -> np.ndarray:
@@ -144,19 +176,6 @@ def _block_from_arrow(batch: pa.RecordBatch, kind: str, text_buckets: int | None
     return {"lengths": lb, "buckets": fb, "weights": fw}
 
 
-def _block_from_pandas(pdf: pd.DataFrame, kind: str, offset: int = 1):
-    cols = list(pdf.columns)
-    if kind == "dense":
-        vals = pdf[cols[offset]].values
-        flat = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
-        return {"dense": flat}
-    bs, ws = pdf[cols[offset]].values, pdf[cols[offset + 1]].values
-    lengths = np.array([len(v) for v in bs], dtype=np.int64)
-    fb = np.concatenate([np.asarray(v, dtype=np.int64) for v in bs]) if len(bs) else np.zeros(0, np.int64)
-    fw = np.concatenate([np.asarray(v, dtype=np.float64) for v in ws]) if len(ws) else np.zeros(0)
-    return {"lengths": lengths, "buckets": fb, "weights": fw}
-
-
 def _slice_block(block, kind, lo, hi, row_offsets=None):
     if kind == "dense":
         d = block["dense"]
@@ -171,19 +190,17 @@ def score_and_select(prep, cids: np.ndarray, block, kind: str, k: int, exclude_s
     """Run the kernel over a passage block in slices; return exact top-k rows."""
     n_c = len(cids)
     block = dict(block, n=n_c)
-    n_q = max(1, len(prep["ids"]))
-    step = max(64, _STEP_CELLS // n_q)
-    offs = None
-    if kind == "sparse":
-        offs = np.r_[0, np.cumsum(block["lengths"])]
+    offs = np.r_[0, np.cumsum(block["lengths"])] if kind == "sparse" else None
     out = []
-    for lo in range(0, n_c, step):
-        hi = min(n_c, lo + step)
-        part = _slice_block(block, kind, lo, hi, offs)
-        s = score_block(prep, hi - lo, **part)
-        out.append(local_top_k(prep, cids[lo:hi], s, k, exclude_self))
-        if len(out) > 8:
-            out = [merge_top_k(out, k)]
+    for sub in sub_blocks(prep):
+        step = max(64, _STEP_CELLS // max(1, len(sub["ids"])))
+        for lo in range(0, n_c, step):
+            hi = min(n_c, lo + step)
+            part = _slice_block(block, kind, lo, hi, offs)
+            s = score_block(sub, hi - lo, **part)
+            out.append(local_top_k(sub, cids[lo:hi], s, k, exclude_self))
+            if len(out) > 8:
+                out = [merge_top_k(out, k)]
     return merge_top_k(out, k) if out else None
 
 
@@ -204,84 +221,107 @@ def _rank(cands: DataFrame, k: int) -> DataFrame:
     return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _scoring(spark, qpdf: pd.DataFrame, corpus: DataFrame, kind: str, k: int,
-             exclude_self: bool, schema: str, text_buckets: int | None = None) -> DataFrame:
-    """Candidates of one block of questions: one scan of the corpus."""
+def _prepared(table: pa.Table, kind: str):
+    """A prepared block of the rows (id, vector columns) of an Arrow table."""
+    table = table.combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+    ids = np.asarray(columns[0].to_numpy(zero_copy_only=False))
+    lengths, flat = _arrow_list(columns[1])
     if kind == "dense":
-        vals = qpdf.iloc[:, 1].values
-        dense = np.concatenate([np.asarray(v, dtype=np.float64) for v in vals]) if len(vals) else np.zeros(0)
-        prep = prepare_questions(qpdf.iloc[:, 0].values, kind, dense=dense)
-    else:
-        blk = _block_from_pandas(qpdf, kind)
-        prep = prepare_questions(qpdf.iloc[:, 0].values, kind, lengths=blk["lengths"],
-                                 buckets=blk["buckets"], weights=blk["weights"])
-    bc = spark.sparkContext.broadcast(prep)
-    out_schema = schema
-
-    def run(batches):
-        p = bc.value
-        frames = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            cids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
-            blk = _block_from_arrow(batch, kind, text_buckets)
-            r = score_and_select(p, cids, blk, kind, k, exclude_self)
-            if r is not None and len(r):
-                frames.append(r)
-            if len(frames) > 8:
-                frames = [merge_top_k(frames, k)]
-        if frames:
-            res = merge_top_k(frames, k)
-            yield pa.RecordBatch.from_pandas(res, preserve_index=False)
-
-    return corpus.mapInArrow(run, out_schema)
+        if len(lengths) and lengths.min() != lengths.max():
+            raise ValueError("vectors of different dimensions in one set")
+        return prepare_questions(ids, kind, dense=flat)
+    return prepare_questions(ids, kind, lengths=lengths, buckets=flat, weights=_arrow_list(columns[2])[1])
+
+
+def best_of(prep, batches, kind: str, k: int, exclude_self: bool, text_buckets: int | None = None):
+    """Exact top-k rows of a question block over Arrow batches of passages
+    (id, then vector columns or text)."""
+    frames = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        cids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+        r = score_and_select(prep, cids, _block_from_arrow(batch, kind, text_buckets), kind, k, exclude_self)
+        if r is not None and len(r):
+            frames.append(r)
+        if len(frames) > 8:
+            frames = [merge_top_k(frames, k)]
+    if frames:
+        yield pa.RecordBatch.from_pandas(merge_top_k(frames, k), preserve_index=False)
 
 
 def _question_bytes(q: DataFrame, kind: str):
-    """Bytes that a question takes in a block: its id, and its vector (sparse:
-    a matrix row over the buckets that the block may use)."""
-    key = F.octet_length(F.col(q.columns[0]).cast("string")) + 16
-    return key + (F.size(q.columns[1]) * 16 if kind == "dense" else F.size(q.columns[1]) * 32 + 256)
+    """Bytes that a question takes in a block: its id and its vector."""
+    key = F.octet_length(F.col(q.columns[0]).cast("string")) + 24
+    return key + F.size(q.columns[1]) * (8 if kind == "dense" else 16)
+
+
+def _one_block(q: DataFrame, corpus: DataFrame, kind: str, k: int, exclude_self: bool, schema: str,
+               text_buckets: int | None) -> DataFrame:
+    """Candidates of questions that fit one block: a broadcast, one scan."""
+    data = q.sparkSession.sparkContext.broadcast(_prepared(q.toArrow(), kind))
+    return corpus.mapInArrow(lambda batches: best_of(data.value, batches, kind, k, exclude_self, text_buckets), schema)
+
+
+def _grid(q: DataFrame, corpus: DataFrame, kind: str, k: int, exclude_self: bool, schema: str, groups: int) -> DataFrame:
+    """Candidates of any number of questions: question groups by corpus
+    columns, a task each."""
+    vectors = _vector_cols(kind)
+    left = q.select(*[F.col(c).alias(f"q{i}") for i, c in enumerate(q.columns)])
+    right = corpus.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(corpus.columns)])
+
+    def work(table, rights):
+        prep = _prepared(table.select([f"q{i}" for i in range(1 + len(vectors))]), kind)
+        names = [f"c{i}" for i in range(1 + len(vectors))]
+        yield from best_of(prep, (r.select(names) for r in rights), kind, k, exclude_self)
+
+    rows, columns = shape(q.sparkSession, groups, 1 << 30)
+    met = grid(left, right, F.col("q0"), F.col("c0"), rows, columns)
+    return met.mapInArrow(lambda batches: cells(batches, work), schema)
 
 
 def search(questions: DataFrame, corpus: DataFrame, k: int = 5, *, kind: str = "dense",
            question_id: str = "query_id", corpus_id: str = "doc_id", exclude_self: bool = False,
            block_bytes: int = BLOCK_BYTES, corpus_text: str | None = None,
-           buckets: int | None = None) -> DataFrame:
+           buckets: int | None = None, scan_tasks: int | None = None) -> DataFrame:
     """Exact top-k: ``query_id, hit_id, score double (6 digits), rank int``.
 
     ``questions`` and ``corpus`` carry an id column and the vector columns of
     ``kind`` (``dense``: ``embedding``; ``sparse``: ``buckets, weights``).
     With ``corpus_text`` the corpus carries raw text instead of vectors; it
-    is encoded (default encoder, ``buckets``) inside the scoring task, so
-    the vectors never travel between the JVM and Python.  Only the question
-    side runs while the plan is built: its bytes are summed, then each block
-    is fetched."""
+    is encoded by the default encoder (``buckets``): for one block of
+    questions inside the scoring task, else once, before the grid.  Only the
+    question side runs while the plan is built.  The corpus is scored by at
+    most ``scan_tasks`` tasks (default: four for each core of the cluster)."""
     if k < 1:
         raise ValueError("k must be at least 1")
     vcols = _vector_cols(kind)
     q = questions.select(question_id, *vcols).filter(
         F.col(question_id).isNotNull() & F.col(vcols[0]).isNotNull())
+    if corpus_text is not None and kind != "sparse":
+        raise ValueError("raw-text corpora are encoded into sparse vectors")
     text_buckets = None
     if corpus_text is not None:
-        if kind != "sparse":
-            raise ValueError("raw-text corpora are encoded into sparse vectors")
         from quarry.functions.vectors import DEFAULT_BUCKETS
 
         text_buckets = buckets or DEFAULT_BUCKETS
-        c = corpus.select(corpus_id, F.col(corpus_text).cast("string")).filter(F.col(corpus_id).isNotNull())
+        c = corpus.select(corpus_id, F.col(corpus_text).cast("string").alias("text")).filter(F.col(corpus_id).isNotNull())
     else:
         c = corpus.select(corpus_id, *vcols).filter(
             F.col(corpus_id).isNotNull() & F.col(vcols[0]).isNotNull())
+    spark = questions.sparkSession
     schema = _out_schema(q, c, question_id, corpus_id)
     q = materialize(q)
-    weight = q.agg(F.sum(_question_bytes(q, kind))).first()[0] or 0
-    blocks = max(1, math.ceil(weight / block_bytes))
-    cands = None
-    for block in range(blocks):
-        mine = q.filter(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == block).toPandas()
-        if len(mine):
-            part = _scoring(questions.sparkSession, mine, c, kind, k, exclude_self, schema, text_buckets)
-            cands = part if cands is None else cands.unionByName(part)
-    return _rank(questions.sparkSession.createDataFrame([], schema) if cands is None else cands, k)
+    weight = q.agg(F.sum(_question_bytes(q, kind))).first()[0]
+    if not weight:
+        return _rank(spark.createDataFrame([], schema), k)
+    groups = math.ceil(weight / block_bytes)
+    if groups == 1:
+        c = c.coalesce(scan_tasks or 4 * spark.sparkContext.defaultParallelism)
+        return _rank(_one_block(q, c, kind, k, exclude_self, schema, text_buckets), k)
+    if text_buckets:
+        from quarry.operators.embed import hashed_vectors
+
+        c = hashed_vectors(c, "text", keep=[corpus_id], buckets=text_buckets)
+    return _rank(_grid(q, c, kind, k, exclude_self, schema, groups), k)

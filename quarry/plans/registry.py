@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     df = read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-    # The check tables are files of one row group, which one task must read:
-    # the two that much work follows on are dealt to all cores, here only.
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in DEALT else df
+    # A check table may be one row group, which one task must read: where a
+    # scan has fewer splits than the cluster cores, its rows are dealt to all.
+    # Larger tables, and the library itself, are never shuffled for that.
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in DEALT and df.rdd.getNumPartitions() < cores else df
 
 
 def load_all() -> None:

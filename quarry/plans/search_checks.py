@@ -9,7 +9,8 @@ from quarry.functions.vectors import l2_normalise
 from quarry.operators.embed import hashed_vectors, sparse_long
 from quarry.operators.lookup import first_per_key, list_all, lookup, unmatched
 from quarry.operators.chunks import char_chunks
-from quarry.operators.retrieve import catalogue_vectors, keep_min_score, match_catalogue, retrieve
+from quarry.operators.index import build_index, index_search
+from quarry.operators.retrieve import catalogue_vectors, keep_min_score, match_catalogue, non_blank, retrieve
 from quarry.operators.search import search
 from quarry.plans import callables
 from quarry.plans import sql as S
@@ -151,6 +152,43 @@ def retrieve_text_blocked(spark, sf):
                        F.col("hit_id").alias("chunk_id"), "doc_id", "score")
 
 
+@register("retrieve_text_index", f"""
+SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, h.score FROM {TEXT_HITS_SQL} h
+""")
+def retrieve_text_index(spark, sf):
+    """Text retrieval through a stored index that skips passages out of reach."""
+    index = materialize(build_index(hashed_vectors(passages(spark, sf), "text", keep=["chunk_id"]), "chunk_id"))
+    q = non_blank(table(spark, sf, "benchmark").select("item_id", "text"), "text")
+    hits = index_search(hashed_vectors(q, "text", keep=["item_id"]), index, TEXT_K, question_id="item_id")
+    return keep_min_score(hits, TEXT_K, TEXT_MIN).select(
+        F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+        F.col("hit_id").alias("chunk_id"), "score")
+
+
+@register("knn_sparse_all", f"""
+WITH p AS {DOC_CHUNKS_SQL}, v AS {S.hashed_long('p', 'chunk_id', 'text')}
+SELECT query_id, hit_id, score, CAST(rk AS BIGINT) AS rank
+FROM (SELECT q.chunk_id AS query_id, m.hit_id, m.score, m.rk
+      FROM (SELECT DISTINCT chunk_id FROM p WHERE chunk_index = 0) q
+      JOIN (SELECT a.chunk_id AS query_id, b.chunk_id AS hit_id, round(sum(a.weight * b.weight), 6) AS score,
+                   row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(sum(a.weight * b.weight), 6) DESC,
+                                      b.chunk_id) AS rk
+            FROM v a JOIN v b ON a.bucket = b.bucket
+            WHERE a.chunk_id IN (SELECT chunk_id FROM p WHERE chunk_index = 0)
+            GROUP BY a.chunk_id, b.chunk_id) m ON m.query_id = q.chunk_id)
+WHERE rk <= 3
+""")
+def knn_sparse_all(spark, sf):
+    """Every document's first chunk as a question against all chunks, in a
+    grid of question groups and index segments."""
+    vectors = materialize(hashed_vectors(passages(spark, sf).select("chunk_id", "chunk_index", "text"), "text",
+                                         keep=["chunk_id", "chunk_index"]))
+    q = vectors.filter((F.col("chunk_index") == 0) & (F.size("buckets") > 0))
+    hits = index_search(q, materialize(build_index(vectors, "chunk_id", 2048)), 3, question_id="chunk_id",
+                        block_bytes=1 << 18)
+    return hits.select("query_id", "hit_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 # Sections of many documents: section and chunk ids repeat, passage ids do not.
 SECTION_K, SECTION_MIN = 5, 0.4
 SECTION_PASSAGES_SQL = f"""(

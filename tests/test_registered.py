@@ -66,8 +66,8 @@ def test_no_pairwise_operators(spark, name):
 
 
 # Queries whose plan must show the scoring of passages and the rank.
-SCORED = ["retrieve_text", "retrieve_text_blocked", "retrieve_sections", "retrieve_dense_text", "catalogue_match",
-          "catalogue_dense", "prompt_context", "knn_dense", "knn_dense_blocked", "retrieve_min_score"]
+SCORED = ["retrieve_text", "retrieve_sections", "retrieve_dense_text", "catalogue_match", "catalogue_dense",
+          "prompt_context", "knn_dense", "retrieve_min_score", "retrieve_text_index"]
 
 
 @pytest.mark.parametrize("name", SCORED)
@@ -91,6 +91,12 @@ def test_search_stays_in_the_plan_and_does_not_copy_the_corpus(spark, name):
             assert not moved, (name, moved)
 
 
+@pytest.mark.parametrize("name", ["knn_dense_blocked", "retrieve_text_blocked", "knn_sparse_all"])
+def test_many_questions_meet_the_corpus_in_a_grid(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "__cell" in plan and "WindowGroupLimit" in plan
+
+
 def test_scans_read_only_needed_columns(spark):
     """Column pruning reaches the parquet scans."""
     cases = {"char_chunks": ("n_chars", "lang", "source"), "key_lookup": ("c_acctbal", "c_mktsegment"),

@@ -176,3 +176,39 @@ def test_dense_retrieval_with_stored_and_fresh_vectors(spark, tmp_path):
     kept = catalogue_vectors(cat, encoder_factory=letters)
     rows = match_catalogue(q.filter("query_id = 1"), cat, 3, 0.4, vectors=kept, encoder_factory=letters).collect()
     assert [r.hit_id for r in rows] == ["S1"]
+
+
+def test_counted_bytes_bound_what_is_built(spark):
+    """The bytes that questions are counted with bound the block built from
+    them, and no question matrix exceeds its limit."""
+    from pyspark.sql import functions as F
+    from quarry.operators import search as module
+
+    texts = [(i, " ".join(f"t{(i * 31 + j * 7) % 5000}" for j in range(12))) for i in range(3000)]
+    q = hashed_vectors(spark.createDataFrame(texts, "query_id long, text string"), "text", keep=["query_id"])
+    counted = q.agg(F.sum(module._question_bytes(q, "sparse"))).first()[0]
+    prep = module._prepared(q.toArrow(), "sparse")
+    assert module.built_bytes(prep) <= counted
+    parts = list(module.sub_blocks(prep))
+    assert len(parts) > 1 and sum(len(p["ids"]) for p in parts) == len(texts)
+    assert all(p["q"].size <= module._MATRIX_CELLS for p in parts)
+    dense = spark.createDataFrame([(i, [0.5] * 64) for i in range(50)], "query_id long, embedding array<double>")
+    counted = dense.agg(F.sum(module._question_bytes(dense, "dense"))).first()[0]
+    assert module.built_bytes(module._prepared(dense.toArrow(), "dense")) <= counted
+
+
+def test_grid_reads_the_corpus_once_and_collects_no_question(spark, monkeypatch):
+    """Beyond one block nothing is broadcast or fetched by the driver, and the
+    plan has one scan of the corpus."""
+    def refuse(self, *a):
+        raise AssertionError("questions were fetched")
+
+    q, c, qdf, cdf = dense_frames(spark, 40, 90)
+    monkeypatch.setattr(type(qdf), "toPandas", refuse)
+    monkeypatch.setattr(type(qdf), "toArrow", refuse)
+    hits = search(qdf, cdf, 3, kind="dense", block_bytes=500)
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "__cell" in plan and "BroadcastExchange" not in plan
+    monkeypatch.undo()
+    assert as_dict(hits.collect()) == {k: [(i, pytest.approx(s, abs=1e-6)) for i, s in v]
+                                       for k, v in brute(q, c, 3).items()}
