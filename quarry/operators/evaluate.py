@@ -19,11 +19,16 @@ from quarry.session import materialize
 
 
 def hit_flags(items: DataFrame, hits: DataFrame, item_id: str = "query_id",
-              expected: str = "expected_section", hit_section: str = "section_id",
+              expected: str | DataFrame = "expected_section", hit_section: str = "section_id",
               k: int = 5) -> DataFrame:
     """Items with ``retrieved array<string>`` (ids in rank order, not made
-    distinct), ``in_top_k`` and ``in_top_1``.  ``expected`` holds one id or an
-    array of ids that all count as right."""
+    distinct), ``in_top_k`` and ``in_top_1``.  ``expected`` names the column
+    that holds the one right id, or an array of ids that all count as right;
+    any number of right ids may also come as a table of rows ``(item_id,
+    expected_id)``, of which only those that are among an item's hits are
+    gathered: as ``expected_found`` (sorted), or else its smallest right id."""
+    if isinstance(expected, DataFrame):
+        return _flags_from_rows(items, hits, item_id, expected, hit_section, k)
     per = hits.groupBy(F.col("query_id").alias(item_id)).agg(
         F.sort_array(F.collect_list(F.struct(F.col("rank").cast("int").alias("r"),
                                              F.col(hit_section).cast("string").alias("s")))).alias("_h"))
@@ -40,6 +45,31 @@ def hit_flags(items: DataFrame, hits: DataFrame, item_id: str = "query_id",
             .withColumn("in_top_1", F.coalesce(F.array_contains(exp, F.get("retrieved", 0)), F.lit(False))))
 
 
+def _flags_from_rows(items: DataFrame, hits: DataFrame, item_id: str, expected: DataFrame, hit_section: str,
+                     k: int) -> DataFrame:
+    """Hits meet the rows of right ids by a join, so that an item with very
+    many right ids never becomes one row."""
+    right = expected.select(F.col(item_id).alias("_i"), F.col("expected_id").cast("string").alias("_e")).distinct()
+    rows = hits.select(F.col("query_id").alias("_i"), F.col("rank").cast("int").alias("r"),
+                       F.col(hit_section).cast("string").alias("_e"))
+    marked = rows.join(right.withColumn("_ok", F.lit(True)), ["_i", "_e"], "left")
+    per = marked.groupBy("_i").agg(
+        F.sort_array(F.collect_list(F.struct("r", F.col("_e").alias("s")))).alias("_h"),
+        F.array_sort(F.collect_set(F.when(F.col("_ok") & (F.col("r") <= k), F.col("_e")))).alias("_found"),
+        F.max(F.coalesce(F.col("_ok"), F.lit(False)) & (F.col("r") <= k)).alias("_any"),
+        F.max(F.coalesce(F.col("_ok"), F.lit(False)) & (F.col("r") == 1)).alias("_one"))
+    least = right.groupBy("_i").agg(F.min("_e").alias("_least"))
+    out = items.join(per.withColumnRenamed("_i", item_id), item_id, "left").join(
+        least.withColumnRenamed("_i", item_id), item_id, "left")
+    found = F.coalesce("_found", F.array().cast("array<string>"))
+    return (out.withColumn("retrieved", F.coalesce(F.transform("_h", lambda x: x["s"]), F.array().cast("array<string>")))
+            .withColumn("expected_found", F.when((F.size(found) == 0) & F.col("_least").isNotNull(), F.array("_least"))
+                        .otherwise(found))
+            .withColumn(f"in_top_{k}", F.coalesce("_any", F.lit(False)))
+            .withColumn("in_top_1", F.coalesce("_one", F.lit(False)))
+            .drop("_h", "_found", "_any", "_one", "_least"))
+
+
 def judge(rows: DataFrame, model_factory: Callable[[], Callable[[str, str], str]],
           question: str = "question", expected: str = "expected_section", answer: str = "answer",
           system_prompt: str = "") -> DataFrame:
@@ -76,19 +106,20 @@ def write_results(rows: DataFrame, metrics: DataFrame, path: str) -> None:
 
 def evaluate(items: DataFrame, passages: DataFrame, model_factory, judge_factory, path: str | None = None, *,
              k: int = 5, question_id: str = "query_id", question_text: str = "question",
-             expected: str = "expected_section", system_prompt: str = "", judge_system: str = "",
+             expected: str | DataFrame = "expected_section", system_prompt: str = "", judge_system: str = "",
              **answer_kw) -> tuple[DataFrame, DataFrame]:
     """A question set end to end: answers (without a catalogue), hit flags
-    against the cited sections, verdicts and totals.  With ``path`` both
-    tables are written there as JSON.  Returns ``(rows, totals)``."""
+    against the cited sections, verdicts and totals.  ``expected`` is as in
+    :func:`hit_flags`.  With ``path`` both tables are written there as JSON.
+    Returns ``(rows, totals)``."""
     a = answer(items, passages, model_factory, k=k, question_id=question_id, question_text=question_text,
                system_prompt=system_prompt, **answer_kw)
     a = materialize(items.join(a.drop(question_text), question_id))  # the model runs once
     hits = a.select(F.col(question_id).alias("query_id"), F.inline("citations")).select("query_id", "rank", "section_id")
     rows = hit_flags(a.drop("citations", "schemes"), hits, question_id, expected, "section_id", k)
-    shown = rows
-    if isinstance(items.schema[expected].dataType, T.ArrayType):
-        shown = rows.withColumn("_shown", F.array_join(F.col(expected).cast("array<string>"), " or "))
+    several = "expected_found" if isinstance(expected, DataFrame) else expected
+    if isinstance(rows.schema[several].dataType, T.ArrayType):
+        shown = rows.withColumn("_shown", F.array_join(F.col(several).cast("array<string>"), " or "))
         rows = judge(shown, judge_factory, question_text, "_shown", "answer", judge_system).drop("_shown")
     else:
         rows = judge(rows, judge_factory, question_text, expected, "answer", judge_system)

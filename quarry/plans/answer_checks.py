@@ -205,29 +205,32 @@ def passage_eval(spark, sf):
     question that no document holds counts as a miss."""
     q = benchmark_questions(spark, sf)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    exp = (containing(q, docs, "item_id", "question", "doc_id", "text")
-           .groupBy("item_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected_section")))
-    items = q.join(exp, "item_id", "left").withColumn(
-        "expected_section", F.coalesce("expected_section", F.array().cast("array<string>")))
+    right = materialize(containing(q, docs, "item_id", "question", "doc_id", "text")
+                        .select("item_id", F.col("doc_id").alias("expected_id")))
     base = scratch_path(spark, "evaluation")
-    evaluate(materialize(items), passages(spark, sf), callables.cite_first_block, callables.rule_judge_any, base,
-             question_id="item_id", passage_id="chunk_id")
+    evaluate(q, passages(spark, sf), callables.cite_first_block, callables.rule_judge_any, base,
+             question_id="item_id", passage_id="chunk_id", expected=right)
     m = spark.read.json(f"{base}/metrics")
     return m.select("hit_at_5", "hit_at_1", "judge_correctness_avg", "judge_citation_avg", "n_examples")
 
 
+QUESTIONS_A_FILE = 50  # items of one nested question-set document
+
+
 @register("question_set", f"""
 SELECT CAST(item_id AS BIGINT) AS item_id, text AS question, item_id % 2 = 0 AS in_top_1
 FROM benchmark
 """)
 def question_set(spark, sf):
-    """A nested JSON question set written, read, flagged, and its result
-    rows written and read back."""
+    """A nested JSON question set, in documents of a bounded number of items,
+    written, read, flagged, and its result rows written and read back."""
     base = scratch_path(spark, "questions")
     b = table(spark, sf, "benchmark")
     items = F.sort_array(F.collect_list(F.struct("item_id", F.col("text").alias("question"),
                                                  F.lit("A").alias("expected_section"))))
-    b.agg(items.alias("items")).select(F.lit("1.0").alias("version"), "items").coalesce(1).write.json(f"{base}/set")
+    parts = max(1, -(-b.count() // QUESTIONS_A_FILE))
+    (b.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).agg(items.alias("items"))
+     .select(F.lit("1.0").alias("version"), "items").write.option("maxRecordsPerFile", 1).json(f"{base}/set"))
     read = read_question_set(spark, f"{base}/set")
     hits = read.select(F.col("item_id").alias("query_id"), F.lit(1).alias("rank"),
                        F.when(F.col("item_id") % 2 == 0, "A").otherwise("B").alias("section_id"))

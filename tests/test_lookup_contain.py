@@ -53,3 +53,57 @@ def test_containing_with_any_ids_and_edges(spark):
     got = {(None if r[0] is None else float(r[0]), r[1]) for r in containing(n, h).collect()}
     assert got == {(1.5, "a"), (5.0, "a"), (4.0, None), (4.0, "d"), (None, None), (None, "d")}
     assert containing(n.limit(0), h).count() == 0 and containing(n, h.limit(0)).count() == 0
+
+
+def test_shared_beginnings_cost_no_more():
+    """Needles that share a long beginning: table lookups stay in proportion
+    to the text, whatever their number."""
+    import numpy as np
+    from quarry.operators import contain
+
+    looked = []
+
+    class Counted(contain.Hashed):
+        def of(self, start, size):
+            looked.append(len(start))
+            return super().of(start, size)
+
+    cost = []
+    for n in (100, 1000):
+        needles = [f"What is the meaning of case {i}?".encode() for i in range(n)]
+        text = b" ".join(needles[:100]) + b" What is the"
+        block = contain.Needles(needles)
+        raw = np.frombuffer(text, np.uint8)
+        looked.clear()
+        kept, contain.Hashed = contain.Hashed, Counted
+        try:
+            rows, found = block.search(raw, np.array([0, len(raw)]))
+        finally:
+            contain.Hashed = kept
+        assert found.tolist() == list(range(100))
+        cost.append(sum(looked))
+    assert cost[1] <= cost[0] * 2
+
+
+def test_nested_needles_are_all_found():
+    import numpy as np
+    from quarry.operators.contain import Needles
+
+    texts = [b"a", b"ab", b"abc", b"abcdefghij", b"abcdefghijkl", b"bc", b"zz"]
+    rows, found = Needles(texts).search(np.frombuffer(b"xabcdefghijkbcab", np.uint8), np.array([0, 12, 16]))
+    want = [(r, i) for r, t in enumerate([b"xabcdefghijk", b"bcab"]) for i, n in enumerate(texts) if n in t]
+    assert list(zip(rows.tolist(), found.tolist())) == want
+
+
+def test_flags_from_rows_of_right_ids(spark):
+    from quarry.operators.evaluate import hit_flags
+
+    items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long")
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 6, "d"), (3, 1, "e")],
+                                 "query_id long, rank int, section_id string")
+    right = spark.createDataFrame([(1, "b"), (1, "zz"), (1, "b"), (2, "d"), (2, "q"), (3, "e"), (4, "y")],
+                                  "query_id long, expected_id string")
+    got = {r.query_id: (r.retrieved, r.expected_found, r.in_top_5, r.in_top_1)
+           for r in hit_flags(items, hits, "query_id", right).collect()}
+    assert got == {1: (["a", "b"], ["b"], True, False), 2: (["c", "d"], ["d"], False, False),
+                   3: (["e"], ["e"], True, True), 4: ([], ["y"], False, False)}
