@@ -23,25 +23,30 @@ FULL_TITLE = "BNS Full Text"
 _M0, _M1, _M2 = "\ue000", "\ue001", "\ue002"
 
 
-def section_structs(text, prefix: str = DEFAULT_PREFIX):
-    """``array<struct<section_id, title, text>>`` for one text column."""
+def marked_parts(text):
+    """A text cut at its headers: what lies before the first one, then one
+    part per section (:func:`section_of` reads it)."""
     t = F.regexp_replace(F.coalesce(col_of(text), F.lit("")), "[\ue000-\ue002]", "")
-    marked = F.regexp_replace(t, HEADER, _M0 + "$1" + _M1 + "$2" + _M2)
-    parts = F.split(marked, _M0)
+    return F.split(F.regexp_replace(t, HEADER, _M0 + "$1" + _M1 + "$2" + _M2), _M0)
+
 
-    def one(p):
-        num = F.substring_index(p, _M1, 1)
-        title = rstrip_dots(strip(F.substring_index(F.substring_index(p, _M2, 1), _M1, -1)))
-        body = strip(F.substring_index(p, _M2, -1))
-        full = F.concat(F.lit("Section "), num, F.lit(". "), title, F.lit(".\n\n"), body)
-        return F.struct(F.concat(F.lit(prefix), num).alias("section_id"),
-                        title.alias("title"), full.alias("text"))
+def section_of(part, prefix: str = DEFAULT_PREFIX):
+    """``struct<section_id, title, text>`` of one part with a header."""
+    num = F.substring_index(part, _M1, 1)
+    title = rstrip_dots(strip(F.substring_index(F.substring_index(part, _M2, 1), _M1, -1)))
+    body = strip(F.substring_index(part, _M2, -1))
+    full = F.concat(F.lit("Section "), num, F.lit(". "), title, F.lit(".\n\n"), body)
+    return F.struct(F.concat(F.lit(prefix), num).alias("section_id"), title.alias("title"), full.alias("text"))
 
+
+def section_structs(text, prefix: str = DEFAULT_PREFIX):
+    """``array<struct<section_id, title, text>>`` for one text column."""
+    parts = marked_parts(text)
     fallback = F.array(F.struct(F.lit(FULL_ID).alias("section_id"),
                                 F.lit(FULL_TITLE).alias("title"),
-                                strip(t).alias("text")))
+                                strip(parts[0]).alias("text")))
     return F.when(F.size(parts) <= 1, fallback).otherwise(
-        F.transform(F.slice(parts, 2, F.size(parts) - 1), one))
+        F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda p: section_of(p, prefix)))
 
 
 def split_sections(df: DataFrame, text_col: str = "text", keys=("doc_id",),

@@ -16,6 +16,7 @@ from quarry.plans.search_checks import TEXT_HITS_SQL, TEXT_K, TEXT_MIN, passages
 from quarry.session import scratch_path
 from quarry.sources import tables as TB
 from quarry.sources.documents import read_text_files
+from quarry.sources.large_texts import read_large_sections
 from quarry.streaming.streams import answer_stream, answers_with_traces, chunk_stream, file_stream
 
 SUPPLIER_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
@@ -118,6 +119,16 @@ def ingest_corpus(spark, sf):
                          "chunk_id", F.col("chunk_index").cast("long"), "text")
 
 
+@register("large_text_sections", f"SELECT section_id, title, text FROM {S.section_rows()}")
+def large_text_sections(spark, sf):
+    """Statutes written into a few long text files, each read by byte ranges
+    and split into the sections of the whole."""
+    base = scratch_path(spark, "large-texts")
+    (conversation_statutes(spark, sf).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+     .select("text").write.text(base))
+    return read_large_sections(spark, base, chunk_bytes=1 << 16).select("section_id", "title", "text")
+
+
 # Questions of the trace query: their answers cite the first passage.
 _TRACE_SQL = f"""
 WITH m AS (SELECT h.query_id, h.rank, h.hit_id, c.section_id, coalesce(d.source, '') AS title
