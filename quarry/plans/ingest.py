@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quarry.operators.chunks import char_chunks, chunk_counts
 from quarry.functions.vectors import DEFAULT_BUCKETS
 from quarry.operators.embed import build_vector_set
+from quarry.operators.workers import factory_key
 from quarry.operators.sections import split_sections
 from quarry.sources import tables as TB
+from quarry.session import materialize
 from quarry.sources.documents import prefer_paged, read_text_files
 
 # Defaults of the reference (tokens per chunk, overlap).
@@ -74,6 +76,45 @@ def build_vectors(chunks: DataFrame, out_path: str, id_col: str = "passage_id",
     return TB.write_manifest(written, f"{out_path.rstrip('/')}/manifest", "buckets", dim=buckets)
 
 
+def update_vectors(chunks: DataFrame, out_path: str, id_col: str = "passage_id", text_col: str = "text",
+                   encoder_factory=None, buckets: int = DEFAULT_BUCKETS, encoder: str | None = None) -> DataFrame:
+    """Bring a vector set up to date; returns its manifest row.
+
+    Vectors are kept in ``out_path/encoded`` under a digest of the text and
+    the ``encoder``'s name (default: a digest of its factory, or the bucket
+    count).  Only distinct texts whose digest is not there are encoded and
+    appended; then ``out_path/vectors`` is written anew for the chunks as they
+    are, by a join on the digest: vectors of chunks that are gone leave it and
+    texts that come back are not encoded again.  A null text is an empty one.
+    A run that fails in between keeps what it encoded.  One update at a time
+    may run on a folder."""
+    spark = chunks.sparkSession
+    base = out_path.rstrip("/")
+    if chunks.isEmpty():
+        raise ValueError("passage table is empty; nothing to index")
+    encoder = encoder or (f"hashed-{buckets}" if encoder_factory is None else factory_key(encoder_factory))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = chunks.select(id_col, F.sha2(F.concat(F.lit(encoder + "\n"), text), 256).alias("digest"), text.alias("text"))
+    fresh = named.select("digest", "text").dropDuplicates(["digest"])
+    known = _stored(spark, f"{base}/encoded")
+    if known is not None:
+        fresh = fresh.join(known.select("digest"), "digest", "left_anti")
+    fresh = materialize(fresh)
+    if not fresh.isEmpty():
+        build_vector_set(fresh, "digest", "text", encoder_factory, buckets).write.mode("append").parquet(f"{base}/encoded")
+    vectors = spark.read.parquet(f"{base}/encoded")
+    TB.write_parquet(named.select(id_col, "digest").join(vectors, "digest").drop("digest"), f"{base}/vectors")
+    written = spark.read.parquet(f"{base}/vectors")
+    if "embedding" in written.columns:
+        return TB.write_manifest(written, f"{base}/manifest", "embedding")
+    return TB.write_manifest(written, f"{base}/manifest", "buckets", dim=buckets)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table folder, or None where nothing has been written yet."""
+    return spark.read.parquet(path) if TB.written(spark, path) else None
+
+
 def corpus_profile(chunks: DataFrame, catalogue: DataFrame | None = None,
                    mapping: DataFrame | None = None, n: int = 10) -> dict:
     """Chunks per section (ordered by id) and the first ``n`` rows of the

@@ -53,6 +53,14 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder holds finished Parquet files, in any store that
+    Spark reads (a job that failed may leave an empty folder)."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.parquet")
+    found = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files)
+    return found is not None and len(found) > 0
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 

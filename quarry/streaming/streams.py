@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import strip
 from quarry.operators.answers import answer, traces
 from quarry.operators.chunks import char_chunks
 from quarry.operators.sections import split_sections
@@ -80,3 +81,23 @@ def answers_with_traces(questions: DataFrame, passages: DataFrame, model_factory
     ``sink`` (one folder per micro-batch, replaced if the batch is replayed)."""
     return answer_stream(questions, lambda batch: answer_and_trace(
         batch, passages, model_factory, params or {}, **answer_kw), sink, checkpoint, available_now)
+
+
+def first_questions(questions: DataFrame, time_col: str, text_col: str = "question", delay: str = "1 hour") -> DataFrame:
+    """A stream of questions in which a text that repeats within ``delay`` of
+    event time passes once.  The state holds one row for each distinct text
+    until the watermark has passed it; rows later than the watermark go."""
+    return (questions.filter(strip(F.coalesce(F.col(text_col), F.lit(""))) != "")
+            .withWatermark(time_col, delay).dropDuplicatesWithinWatermark([text_col]))
+
+
+def answer_repeats(spark: SparkSession, asked: DataFrame, hits_sink: str, question_id: str = "query_id",
+                   text_col: str = "question") -> DataFrame:
+    """All asked questions with the hits that the first one of their text got:
+    ``hits_sink`` is the sink of an :func:`answer_stream` over
+    :func:`first_questions` whose rows carry ``text_col``.  Of several batches
+    that answered a text the first one counts."""
+    hits = spark.read.parquet(hits_sink)
+    first = hits.groupBy(text_col).agg(F.min("batch_id").alias("batch_id"))
+    hits = hits.join(first, [text_col, "batch_id"]).drop("batch_id")
+    return asked.select(question_id, text_col).join(hits.drop(question_id), text_col)
