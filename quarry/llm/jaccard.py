@@ -26,13 +26,21 @@ every two sets that meet often enough are connected or verified, so no link is
 lost for the components, and a large group of copies never becomes all its
 pairs.
 
-Verification sends each set to the smaller end of its pairs.  A bounded Bloom
+Every set has a sketch of ``SKETCH`` bits, the parities of its shingles by
+bit.  Where two sketches differ the sets differ, so ``(|x| + |y| - differing
+bits) / 2`` bounds the overlap from above: pairs that it rules out are neither
+verified nor, in the last round, returned by the task that met them, and a
+crowd of near copies that do not link leaves its task as few pairs.
+
+Verification sends each set to the smaller end of its pairs; an end that many
+sets are sent to is copied for every ``GUESTS`` of them.  A bounded Bloom
 filter of the ids in question spares the scan the sets that nobody asked for;
 the join behind it is exact.
 
 Null texts and texts without words have an empty set and link with nothing;
 texts of fewer words than a shingle have their word sequence as one shingle.
-Equal texts, repeated rows and repeated ids (one node) end in one component.
+Equal texts, repeated rows and rows that share an id, whatever their texts
+(one node), end in one component.
 Null ids are left out of components and get a null one.  Very long texts are
 shingled whole.  An empty table gives an empty table.
 """
@@ -44,7 +52,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 
 from quarry.llm.batches import per_text, slices, text_buffer
 from quarry.llm.components import components
@@ -58,6 +66,8 @@ LIGHT_LIMIT = 16  # sizes that are ever enumerated
 GROUP_POSTINGS = 500_000  # postings that a group of lists should have
 TOKEN_BYTES = 5  # bytes of a shingle's hash kept for verification
 TOGETHER = 5  # lists that linked sets share at least
+SKETCH = 512  # bits of a set's sketch
+GUESTS = 128  # sets that are compared with one copy of a set, about
 HUBS = 3  # members of a list's largest component that the others meet first
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -102,17 +112,32 @@ def set_key(tokens: np.ndarray) -> np.int64:
     return mix(tokens ^ _SALT).sum(dtype=np.uint64).astype(np.int64)
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles at each of ``SKETCH`` bits."""
+    odd = np.bincount((tokens >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(limit: Threshold, nx, ny, differing):
+    """Whether sketches that differ in so many bits allow the overlap."""
+    return nx + ny - differing >= 2 * limit.overlap(nx, ny)
+
+
 def describe(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, key, head``: size and key of each row's set and the upper half
-    of the hashes in its hash-order prefix."""
+    """``id, n, key, sketch, head``: size, key and sketch of each row's set and
+    the upper half of the hashes in its hash-order prefix."""
     def make(buf, off):
         sets = row_sets(buf, off, words)
         heads = [(t[:limit.prefix(len(t))] >> np.uint64(32)).astype(np.uint32).tobytes() if len(t) else b""
                  for t in sets]
+        words_ = SKETCH // 64
+        sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words_),
+                                            pa.array(np.concatenate([sketch(t) for t in sets])))
         return [np.array([len(t) for t in sets], np.int32),
-                np.array([set_key(t) for t in sets], np.int64), pa.array(heads, pa.binary())]
+                np.array([set_key(t) for t in sets], np.int64), sketches, pa.array(heads, pa.binary())]
 
-    fields = [StructField("n", IntegerType()), StructField("key", LongType()), StructField("head", BinaryType())]
+    fields = [StructField("n", IntegerType()), StructField("key", LongType()),
+              StructField("sketch", ArrayType(LongType())), StructField("head", BinaryType())]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return per_text(rows, "text", ["id"], fields, make)
 
@@ -340,16 +365,16 @@ def neighbours(table: DataFrame, limit: Threshold) -> DataFrame:
     return table.mapInArrow(pairs, PAIR)
 
 
-def mixed_lists(table: DataFrame, groups: DataFrame) -> DataFrame:
+def mixed_lists(table: DataFrame, groups: DataFrame, more: list[str] = []) -> DataFrame:
     """Lists of more than two members in several components: ``members``
     (``key, n, degree, component``; the degree is how many shingles the set
-    has in such lists) and ``times``."""
+    has in such lists; and the columns ``more`` of ``groups``) and ``times``."""
     single = table.select("mark", "times", F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
     single = single.select("mark", "times", F.col("m.keys").alias("key"), F.col("m.sizes").alias("n"))
     degree = materialize(single.groupBy("key", "n").agg(F.sum("times").alias("degree"))
-                         .join(groups, ["key", "n"]))
+                         .join(groups.select("key", "n", "component", *more), ["key", "n"]))
     return (single.join(degree, ["key", "n"]).groupBy("mark")
-            .agg(F.collect_list(F.struct("key", "n", "degree", "component")).alias("members"),
+            .agg(F.collect_list(F.struct("key", "n", "degree", "component", *more)).alias("members"),
                  F.first("times").alias("times"), F.min("component").alias("low"),
                  F.max("component").alias("high"))
             .filter("low != high").select("members", "times"))
@@ -360,7 +385,8 @@ def _members(batch):
         flat = members.values
         k, s, d, g = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         order = np.lexsort((k, s))
-        yield k[order], s[order], d[order], g[order], times
+        z = flat.field(4).flatten().to_numpy().reshape(len(k), -1)[order] if flat.type.num_fields > 4 else None
+        yield k[order], s[order], d[order], g[order], times, z
 
 
 def to_hubs(mixed: DataFrame, limit: Threshold, light: int, turn: int) -> DataFrame:
@@ -369,7 +395,7 @@ def to_hubs(mixed: DataFrame, limit: Threshold, light: int, turn: int) -> DataFr
     neighbour in size."""
     def pairs(batches):
         for batch in batches:
-            for k, s, d, g, times in _members(batch):
+            for k, s, d, g, times, _ in _members(batch):
                 parts, back, n = np.unique(g, return_inverse=True, return_counts=True)
                 large = np.flatnonzero(back == np.argmax(n))
                 stray = np.flatnonzero(back != np.argmax(n))
@@ -396,17 +422,21 @@ def _summed(rows: list) -> list:
 
 
 def across(mixed: DataFrame, limit: Threshold, light: int, hold: int = 1_000_000) -> DataFrame:
-    """All pairs of list members in different components, equal pairs added up
-    inside a task, which holds about ``hold`` of them at a time."""
+    """All pairs of list members in different components that their sketches
+    allow to link, equal pairs added up inside a task, which holds about
+    ``hold`` of them at a time."""
     def pairs(batches):
         rows: list = []
         held = 0
         for batch in batches:
-            for k, s, _, g, times in _members(batch):
+            for k, s, _, g, times, z in _members(batch):
                 for i in range(len(k) - 1):
                     stop = int(np.searchsorted(s, s[i] * limit.den // limit.num, "right"))
                     j = np.arange(i + 1, stop)
                     j = j[(g[j] != g[i]) & (s[j] > light)]
+                    if len(j):
+                        apart = np.bitwise_count((z[j] ^ z[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                        j = j[may_link(limit, int(s[i]), s[j].astype(np.int64), apart)]
                     if len(j):
                         rows.append((np.full(len(j), k[i]), np.full(len(j), s[i]), k[j], s[j],
                                      np.full(len(j), times)))
@@ -427,11 +457,15 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_c
            text_col: str) -> DataFrame:
     """Of the pairs ``a, x, b, y`` (id of a text and key of its set, twice)
     the ids of those whose overlap is large enough."""
-    host = pairs.select(F.col("a").alias("id"), F.col("x").alias("key"), F.col("a").alias("meet"),
-                        F.col("x").alias("meet_key"), F.lit(0).alias("guest")).distinct()
-    sends = materialize(host.unionByName(pairs.select(
-        F.col("b").alias("id"), F.col("y").alias("key"), F.col("a").alias("meet"),
-        F.col("x").alias("meet_key"), F.lit(1).alias("guest"))))
+    rooms = pairs.groupBy("a", "x").agg(F.ceil(F.count(F.lit(1)) / F.lit(GUESTS)).cast("int").alias("rooms"))
+    rooms = materialize(rooms)
+    host = rooms.select(F.col("a").alias("id"), F.col("x").alias("key"), F.col("a").alias("meet"),
+                        F.col("x").alias("meet_key"), F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"),
+                        F.lit(0).alias("guest"))
+    guests = pairs.join(rooms, ["a", "x"]).select(
+        F.col("b").alias("id"), F.col("y").alias("key"), F.col("a").alias("meet"), F.col("x").alias("meet_key"),
+        F.pmod(F.xxhash64("b", "y"), F.col("rooms")).cast("int").alias("room"), F.lit(1).alias("guest"))
+    sends = materialize(host.unionByName(guests))
     ids = sends.select("id").distinct()
     table, bits = id_filter(ids, "id")
     data = docs.sparkSession.sparkContext.broadcast(table)
@@ -462,7 +496,7 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_c
         meet = host = None
         for batch in batches:
             out = []
-            meets = zip(batch.column("meet").to_pylist(), batch.column("meet_key").to_pylist())
+            meets = zip(*[batch.column(c).to_pylist() for c in ("meet", "meet_key", "room")])
             for i, (m, guest) in enumerate(zip(meets, batch.column("guest").to_pylist())):
                 tokens = unpack(batch.column("tokens")[i].as_py())
                 if not guest:
@@ -477,8 +511,8 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_c
                                               pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
     sets = rows.mapInArrow(make, "id long, key long, tokens binary")
-    sent = (sends.join(sets, ["id", "key"]).select("meet", "meet_key", "guest", "id", "tokens")
-            .repartition("meet", "meet_key").sortWithinPartitions("meet", "meet_key", "guest"))
+    sent = (sends.join(sets, ["id", "key"]).select("meet", "meet_key", "room", "guest", "id", "tokens")
+            .repartition("meet", "meet_key", "room").sortWithinPartitions("meet", "meet_key", "room", "guest"))
     return materialize(sent.mapInArrow(compare, "a long, b long"))
 
 
@@ -489,7 +523,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(describe(docs, words, limit, "doc_id", "text"))
     classes = materialize(rows.filter("n > 0 and id is not null").groupBy("key", "n")
-                          .agg(F.min("id").alias("first")))
+                          .agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")))
     total = rows.agg(F.sum(F.octet_length("head") / 4)).first()[0] or 0
     parts = max(1, math.ceil(total / GROUP_POSTINGS),
                 int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -503,10 +537,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = materialize(listed.filter(F.size("keys") > 2).groupBy("mark").agg(
         F.first("keys").alias("keys"), F.first("sizes").alias("sizes"), F.sum("times").alias("times")))
 
-    def named(pairs: DataFrame) -> DataFrame:
+    def named(pairs: DataFrame, proved: bool = False) -> DataFrame:
         for side, name in (("x", "a"), ("y", "b")):
             pairs = pairs.join(classes.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"),
-                                              F.col("first").alias(name)), [side, f"n{side}"])
+                                              F.col("first").alias(name), F.col("sketch").alias(f"s{side}")),
+                               [side, f"n{side}"])
+        if not proved:
+            apart = F.aggregate(F.zip_with("sx", "sy", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                                F.lit(0), lambda total, n: total + n)
+            need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(num) / F.lit(num + den))
+            pairs = pairs.filter(F.col("nx") + F.col("ny") - apart >= 2 * need)
         turn = F.col("a") > F.col("b")
         return pairs.filter("a != b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
@@ -515,12 +555,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def grouped(edges: DataFrame) -> DataFrame:
         return materialize(classes.join(components(edges, "a", "b"), F.col("first") == F.col("id"), "left")
-                           .select("key", "n", F.coalesce("component", "first").alias("component")))
+                           .select("key", "n", F.coalesce("component", "first").alias("component"), "sketch"))
 
     star = found.filter("mark is null").select(
         F.col("keys")[0].alias("x"), F.col("sizes")[0].alias("nx"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
     links = named(star.select("x", "nx", F.col("m.keys").alias("y"), F.col("m.sizes").alias("ny"))
-                  .filter("x != y or nx != ny").distinct()).select("a", "b")
+                  .filter("x != y or nx != ny").distinct(), True).select("a", "b")
+    # Rows that share an id are one node, whatever their texts.
+    own = rows.filter("n > 0 and id is not null").select("id", "key", "n")
+    several = own.groupBy("id").agg(F.min(F.struct("key", "n")).alias("low"), F.max(F.struct("key", "n")).alias("high"))
+    several = materialize(several.filter("low != high").select("id"))
+    links = links.unionByName(own.join(several, "id").join(classes.select("key", "n", "first"), ["key", "n"])
+                              .select(F.col("id").alias("a"), F.col("first").alias("b")))
     met = materialize(named(often_enough(neighbours(table, limit).unionByName(twos), limit)))
     links = materialize(links.unionByName(verify(docs, met, words, limit, "doc_id", "text")))
     groups = grouped(links)
@@ -536,10 +582,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met = materialize(met.unionByName(fresh))
         groups = grouped(links)
         turn += 1
+    mixed = mixed_lists(table, groups, ["sketch"])
     last = often_enough(across(mixed, limit, light).unionByName(twos), limit)
     last = materialize(named(last).join(met, ["a", "b", "x", "y"], "left_anti"))
     if not last.isEmpty():
         groups = grouped(links.unionByName(verify(docs, last, words, limit, "doc_id", "text")))
-    return (rows.select(F.col("id").alias("doc_id"), "n", "key").join(groups, ["key", "n"], "left")
+    return (rows.select(F.col("id").alias("doc_id"), "n", "key").join(groups.drop("sketch"), ["key", "n"], "left")
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

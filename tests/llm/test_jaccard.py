@@ -111,3 +111,27 @@ def test_threshold_arithmetic():
                 assert t.together(x, y) == meet
                 assert x - least + meet <= t.prefix(x) <= x and y - least + meet <= t.prefix(y) <= y
     assert boundary(t, 1.0) < boundary(t, 1e6) <= jaccard.LIGHT_LIMIT
+
+
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, b), (2, a), (2, b), (7, a), (9, "c d e")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (7, 1), (9, 9)}
+
+
+def test_sketches_never_rule_out_a_link():
+    import numpy as np
+
+    rng, limit = np.random.default_rng(2), Threshold()
+    for _ in range(300):
+        n = int(rng.integers(4, 400))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = x.copy()
+        k = int(rng.integers(0, max(1, n // 3)))
+        y[rng.permutation(len(y))[:k]] = rng.integers(0, 2**63, k, dtype=np.uint64)
+        y = np.unique(y)
+        apart = int(np.bitwise_count((jaccard.sketch(x) ^ jaccard.sketch(y)).view(np.uint64)).sum())
+        if len(np.intersect1d(x, y)) >= limit.overlap(len(x), len(y)):
+            assert jaccard.may_link(limit, len(x), len(y), apart)
