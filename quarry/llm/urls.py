@@ -2,10 +2,10 @@
 over segmented host names and path tokens.
 
 A host label such as ``thetiongroup`` is cut by unigram Viterbi: the cheapest
-split under the word counts of the pages' own text, where an unknown letter
-costs more than any word.  Only substrings of the distinct labels are ever
-looked up, by a join with the word counts, and labels are segmented once
-each.  The model learns from the urls that a rule decides and judges the
+split under the word counts of the pages' own text (without its markup), where
+an unknown letter costs more than any word.  Words of every length count; only
+substrings of the distinct labels that have the length of some word are looked
+up, by a join with the word counts, and labels are segmented once each.  The model learns from the urls that a rule decides and judges the
 others: token weights are summed per distinct host and per distinct path
 shape (digits as one token), which pages then look up.
 
@@ -30,7 +30,6 @@ from quarry.session import materialize
 
 Rule = tuple[str, str, str]  # host, path, verdict
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_WORD = 24
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a"):ord("z") + 1] = _LETTER[ord("A"):ord("Z") + 1] = True
 
@@ -66,33 +65,42 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """``hash, n`` of the runs of ASCII letters in all texts, lower-cased;
-    counted inside each slice before the shuffle."""
+    """``hash, size, n`` of the runs of ASCII letters in all texts,
+    lower-cased; counted inside each slice before the shuffle."""
     def count(buf, off):
         word = np.concatenate([[False], _LETTER[buf], [False]])
         edge = np.zeros(len(buf) + 1, bool)
         edge[off] = True
         starts = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
         ends = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
-        short = ends - starts <= MAX_WORD
-        hashes, n = np.unique(word_hashes(buf, starts[short], ends[short]), return_counts=True)
+        hashes, one, n = np.unique(word_hashes(buf, starts, ends), return_index=True, return_counts=True)
         rows = len(off) - 1  # all counts of a slice go with its first row
         first = np.concatenate([[0], np.full(rows, len(hashes))]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.astype(np.int64)))
-                for x in (hashes, n)]
+                for x in (hashes, (ends - starts)[one], n)]
 
     lists = ArrayType(LongType())
-    per_slice = per_text(texts, text_col, [], [StructField("hash", lists), StructField("n", lists)], count)
-    return (per_slice.select(F.explode(F.arrays_zip("hash", "n")).alias("x"))
-            .groupBy("x.hash").agg(F.sum("x.n").alias("n")))
+    per_slice = per_text(texts, text_col, [], [StructField(c, lists) for c in ("hash", "size", "n")], count)
+    return (per_slice.select(F.explode(F.arrays_zip("hash", "size", "n")).alias("x"))
+            .groupBy("x.hash").agg(F.max("x.size").alias("size"), F.sum("x.n").alias("n")))
+
+
+def without_markup(text: Column) -> Column:
+    """A page's text: scripts, styles, comments and tags count as a space."""
+    return F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
 
 
 def cut(letters: str, costs: dict[tuple[int, int], float], unknown: float) -> list[str]:
     """The cheapest split; on equal cost the one with the longest last word."""
+    ending: dict[int, list[tuple[int, float]]] = {}
+    for (start, end), cost in sorted(costs.items()):
+        ending.setdefault(end, []).append((start, cost))
     best, back = [0.0] + [math.inf] * len(letters), [0] * (len(letters) + 1)
     for end in range(1, len(letters) + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            cost = costs.get((start, end), unknown if end - start == 1 else math.inf)
+        steps = ending.get(end, [])
+        if (end - 1, end) not in costs:
+            steps = [*steps, (end - 1, unknown)]
+        for start, cost in steps:
             if best[start] + cost < best[end]:
                 best[end], back[end] = best[start] + cost, start
     words, end = [], len(letters)
@@ -103,12 +111,16 @@ def cut(letters: str, costs: dict[tuple[int, int], float], unknown: float) -> li
 
 
 def segment(names: DataFrame, counts: DataFrame, name_col: str = "name") -> DataFrame:
-    """``name, words`` for a table of distinct letter runs."""
+    """``name, words`` for a table of distinct letter runs.  The lengths that
+    words have are few numbers (their sum is at most the bytes of all words)."""
+    longest = int(names.agg(F.max(F.octet_length(name_col))).first()[0] or 0)
+    length = np.array(sorted(r["size"] for r in counts.filter(F.col("size") <= longest).select("size").distinct().collect()),
+                      np.int64)
+
     def pieces(buf, off):
         size = np.diff(off)
         at = np.concatenate([np.arange(a, b) for a, b in zip(off[:-1], off[1:])] or [np.zeros(0, np.int64)])
         row = np.repeat(np.arange(len(size)), size)
-        length = np.arange(1, MAX_WORD + 1)
         ok = at[:, None] + length[None, :] <= off[1:][row][:, None]
         start = np.repeat(at, ok.sum(1))
         end = start + np.tile(length, (len(at), 1))[ok]
@@ -174,7 +186,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
         "host", F.lit("[a-z]+|[0-9]+|[^a-z0-9.\\-]+"), 0))
     names = runs.select(F.explode("runs").alias("name")).filter(F.col("name").rlike(r"\A[a-z]+\z")).distinct()
     names = materialize(names)
-    words = materialize(segment(names, word_counts(pages, text_col)))
+    text = pages.select(without_markup(F.col(f"`{text_col}`")).alias("text"))
+    words = materialize(segment(names, materialize(word_counts(text, "text"))))
     cutup = (runs.select("host", F.posexplode("runs").alias("pos", "name"))
              .join(words, "name", "left")
              .withColumn("words", F.coalesce("words", F.array(F.regexp_replace("name", "[0-9]+", "0"))))

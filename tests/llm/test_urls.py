@@ -54,7 +54,7 @@ def test_cut_is_the_cheapest_split():
 
 def test_word_counts(spark):
     df = spark.createDataFrame([("The the<b>THE</b> tea",), (None,), ("",), ("tea1tea",), ("x" * 50,)], "html string")
-    assert sorted(r.n for r in word_counts(df, "html").collect()) == [2, 3, 3]
+    assert sorted(r.n for r in word_counts(df, "html").collect()) == [1, 2, 3, 3]
 
 
 def test_judge(spark):
@@ -71,3 +71,16 @@ def test_judge(spark):
     assert by[5].rule == "org/" and by[105].verdict == "block" and by[105].rule == "com/de/"
     assert judge(df.limit(0), URL_RULES).count() == 0
     assert all(r.verdict == "allow" for r in judge(df.filter("page_id >= 200"), []).collect())
+
+
+def test_long_words_are_not_cut(spark):
+    from quarry.llm.urls import segment, without_markup
+
+    long_ = "antidisestablishmentarianismsx"
+    text = f"<p class='{'z' * 40}'>" + f"{long_} the " * 50 + "</p><script>var hidden = 1;</script><!-- gone -->"
+    pages = spark.createDataFrame([(text,), (None,)], "html string").select(without_markup(F.col("html")).alias("t"))
+    counts = word_counts(pages, "t")
+    assert counts.count() == 2
+    names = spark.createDataFrame([("the" + long_,), (long_,), ("q" * 300,)], "name string")
+    got = {r.name: r.words for r in segment(names, counts).collect()}
+    assert got == {"the" + long_: ["the", long_], long_: [long_], "q" * 300: ["q"] * 300}
