@@ -11,13 +11,17 @@ Null payload: empty.  Null url: no target line; line breaks in a url are
 percent-encoded.  Null ids: kept, never an original if another record of the
 digest has an id.  Repeated rows: one of them is the response.  Payloads of
 fewer than ``min_bytes`` bytes are always responses.  An empty table gives an
-empty archive and an empty result.  A payload of any length is one record; a
-file holds at most ``file_records`` records.
+empty archive and an empty result.  A payload of any length is one record.
+
+Records are written by size class (powers of 16), each in files of so many
+records that a file has at most ``FILE_BYTES`` bytes, unless it is one record;
+a file is unpacked whole by the task that reads it.
 """
 from __future__ import annotations
 
 import gzip
 import hashlib
+import time
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +34,9 @@ END = CRLF + CRLF
 # Fixed value of the format: the profile of a revisit with an equal payload.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = ("file string, position long, page_id string, url string, record_type string, "
-          "digest string, refers_to string, payload_bytes long")
+          "digest string, refers_to string, payload_bytes long, date string")
+FILE_BYTES = 64 << 20
+SMALL = 1 << 12  # bytes of the records of the first size class, at most
 
 
 def _line(name: str, value: Column) -> Column:
@@ -44,8 +50,13 @@ def _urn(value: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), value.cast("string"), F.lit(">"))
 
 
+def now() -> str:
+    """The time as a record's date."""
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
 def record_text(page_id: Column, url: Column, payload: Column, digest: Column,
-                refers_to: Column) -> Column:
+                refers_to: Column, date: Column) -> Column:
     """One record without its closing CRLF CRLF: a revisit (no payload) where
     ``refers_to`` is given, else a response."""
     revisit = refers_to.isNotNull()
@@ -54,6 +65,7 @@ def record_text(page_id: Column, url: Column, payload: Column, digest: Column,
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _line("WARC-Record-ID", _urn(page_id)),
+        _line("WARC-Date", date),
         _line("WARC-Target-URI", url),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         _line("WARC-Refers-To", _urn(refers_to)),
@@ -63,10 +75,16 @@ def record_text(page_id: Column, url: Column, payload: Column, digest: Column,
         F.lit(CRLF), body)
 
 
-def write_archive(records: DataFrame, path: str, file_records: int = 10_000) -> None:
+def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Write a one-column table of record texts as an archive."""
-    (records.write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", file_records).mode("errorifexists").text(path))
+    records = records.toDF("value")
+    size = F.octet_length("value")
+    rank = F.greatest(F.lit(0), F.ceil(F.log(16.0, size / F.lit(float(SMALL))))).cast("int")
+    ranked = records.withColumn("rank", F.coalesce(rank, F.lit(0)))
+    for r in sorted({0} | {x["rank"] for x in ranked.select("rank").distinct().collect()}):
+        (ranked.filter(F.col("rank") == r).select("value").write.option("lineSep", END).option("compression", "gzip")
+         .option("maxRecordsPerFile", max(1, file_bytes // (SMALL * 16**r))).mode("errorifexists")
+         .text(f"{path.rstrip('/')}/size-{r}"))
 
 
 def parse_records(data: bytes):
@@ -95,22 +113,23 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                rows: list[list] = [[] for _ in range(8 + payload)]
+                rows: list[list] = [[] for _ in range(9 + payload)]
                 for at, fields, body in parse_records(content.as_py()):
                     whole = fields["WARC-Type"] == "response"
                     row = [name.as_py(), at, _page(fields.get("WARC-Record-ID")),
                            fields.get("WARC-Target-URI"), fields["WARC-Type"],
                            hashlib.sha256(body).hexdigest() if whole
                            else fields["WARC-Payload-Digest"].split(":")[1],
-                           _page(fields.get("WARC-Refers-To")), len(body) if whole else None]
+                           _page(fields.get("WARC-Refers-To")), len(body) if whole else None,
+                           fields.get("WARC-Date")]
                     for column, value in zip(rows, row + [body.decode("utf-8")] * payload):
                         column.append(value)
-                kinds = [pa.string(), pa.int64()] + [pa.string()] * 5 + [pa.int64(), pa.string()]
+                kinds = [pa.string(), pa.int64()] + [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * payload
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(run, RECORD + ", payload string" * payload)
 
 
@@ -135,22 +154,23 @@ def deduplicate(spark: SparkSession, raw: str, out: str, id_type: str = "bigint"
     records = read_archive(spark, raw, payload=True).drop("refers_to")
     write_archive(records.join(revisits, ["file", "position"], "left").select(record_text(
         F.col("page_id"), F.col("url"), F.col("payload"), F.col("digest"),
-        F.col("refers_to")).alias("value")), out)
+        F.col("refers_to"), F.col("date")).alias("value")), out)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, out: str | None = None,
                   id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                  min_bytes: int = 100) -> DataFrame:
+                  min_bytes: int = 100, date: str | None = None) -> DataFrame:
     """Write ``pages`` as an archive, deduplicate it into ``out`` and read that
     back: per page ``page_id, payload_bytes, payload_digest, record_type,
     refers_to, url``, both payload columns of the full payload (a revisit
-    takes them from the response it refers to)."""
+    takes them from the response it refers to).  Records are dated ``date``
+    (default: now)."""
     id_type = pages.schema[id_col].dataType.simpleString()
     raw, out = scratch_path(spark, "warc-raw"), out or scratch_path(spark, "warc")
     body = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     write_archive(pages.select(record_text(
         F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), body, F.sha2(body.cast("binary"), 256),
-        F.lit(None).cast("string")).alias("value")), raw)
+        F.lit(None).cast("string"), F.lit(date or now())).alias("value")), raw)
     deduplicate(spark, raw, out, id_type, min_bytes)
     back = read_archive(spark, out).withColumn("page_id", F.col("page_id").cast(id_type)) \
         .withColumn("refers_to", F.col("refers_to").cast(id_type))

@@ -37,13 +37,21 @@ def test_repeated_original_and_empty_table(spark):
     assert archive_pages(spark, df.limit(0)).count() == 0
 
 
-def test_files_hold_valid_records(spark):
-    path = scratch_path(spark, "t")
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+def test_files_hold_valid_records_of_bounded_bytes(spark):
+    import gzip
+    import re
+
+    path, bound = scratch_path(spark, "t"), 300_000
+    pages = [(i, "u", "p" * (i * 40 % 9000)) for i in range(400)] + [(1000 + i, "u", "big " * 12_000) for i in range(20)] \
+        + [(2000, "u", "huge " * 200_000), (2001, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
     write_archive(df.select(record_text(F.col("page_id"), F.col("url"), F.col("html"), F.lit("00"),
-                                        F.lit(None).cast("string"))), path, file_records=4)
-    files = spark.read.format("binaryFile").load(path).collect()
-    assert len(files) >= len(PAGES) // 4
-    assert sum(len(list(parse_records(bytes(f.content)))) for f in files) == len(PAGES)
-    got = {(r.page_id, r.payload) for r in read_archive(spark, path, payload=True).collect()}
-    assert got == {(None if p is None else str(p), h or "") for p, _, h in PAGES}
+                                        F.lit(None).cast("string"), F.lit("2024-01-02T03:04:05Z"))), path, bound)
+    files = [bytes(f.content) for f in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()]
+    records = [list(parse_records(f)) for f in files]
+    assert sum(map(len, records)) == len(pages)
+    assert all(len(gzip.decompress(f)) <= bound for f, r in zip(files, records) if len(r) > 1)
+    for _, fields, _ in sum(records, []):
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+    got = {(r.page_id, r.payload, r.date) for r in read_archive(spark, path, payload=True).collect()}
+    assert got == {(str(p), h or "", "2024-01-02T03:04:05Z") for p, _, h in pages}
