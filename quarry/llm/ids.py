@@ -40,6 +40,22 @@ def passes(table: np.ndarray, *spots: np.ndarray) -> np.ndarray:
     return hit
 
 
+def maybe_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id may be among ``ids`` (one column of that name),
+    by the filter alone: all that are and few others; an exact join follows."""
+    table, bits = id_filter(ids, id_col)
+    data, names = df.sparkSession.sparkContext.broadcast(table), df.columns
+
+    def keep(batches):
+        for batch in batches:
+            spots = [batch.column(len(batch.columns) - 2 + i).to_numpy() for i in (0, 1)]
+            rows = batch.filter(pa.array(passes(data.value, *spots)))
+            yield pa.RecordBatch.from_arrays(rows.columns[:-2], names=names)
+
+    spots = {f"__b{i}": spot(F.col(f"`{id_col}`"), i, bits) for i in (0, 1)}
+    return df.withColumns(spots).mapInArrow(keep, df.schema)
+
+
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose id is not among ``ids`` (one column of that name);
     null ids stay.  Rows that the filter rules out stay where they are, only

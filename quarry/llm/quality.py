@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.byte_models import count_windows, estimate, score
+from quarry.llm.ids import maybe_ids
 from quarry.llm.toxicity import fold
 from quarry.session import materialize
 
@@ -27,15 +28,16 @@ DAMP = 100.0
 
 
 def trusted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``__text, __lang, __fold`` of all trusted texts.  Their ids are written
-    first, so that Spark knows their size when it plans the join."""
+    """``__text, __lang, __fold`` of all trusted texts, written once.  A bounded
+    filter of their ids keeps the texts of other rows where they are; what
+    passes it meets the ids by an exact join."""
     good = (labels.filter("quality is not null and doc_id is not null").groupBy("doc_id")
             .agg(F.min("quality").alias("q")).filter("q = 1"))
     good = materialize(good.select(F.col("doc_id").alias("__id")))
-    return (docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
+    named = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"),
                         F.col(f"`{lang_col}`").alias("__lang"))
-            .join(good, "__id")
-            .select("__text", "__lang", fold("__id").alias("__fold"), F.lit(0).alias("__class")))
+    return materialize(
+        maybe_ids(named, good, "__id").join(good, "__id").select("__text", "__lang", fold("__id").alias("__fold"), F.lit(0).alias("__class")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
