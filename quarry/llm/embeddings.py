@@ -216,9 +216,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         .mapInArrow(pack, "vec_id long, vec binary, dim int")
         .withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec")))
         .withColumn("h", F.when(F.col("vec").isNotNull(), F.sha2("vec", 256))))
+    # A class of equal vectors has a number of its own: ids may repeat.
     classes = materialize(rows.filter("h is not null").groupBy("h").agg(
-        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"),
-        F.first("dim").alias("dim")))
+        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec"),
+        F.first("dim").alias("dim")).withColumn("id", F.monotonically_increasing_id()))
     width, bands = plan_bands(classes.count(), threshold, miss)
     codes = materialize(encode(classes, width, bands))
 
@@ -240,11 +241,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = materialize(linked(blocks, threshold))
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    group = components(found.select("id", "root"), "id", "root")
-    classes = materialize(classes.select("h", "id", "m").join(links, "id", "left")
-                          .join(group, "id", "left")
-                          .select("h", F.coalesce("component", "id").alias("component_id"),
+    own = rows.filter("h is not null").select("vec_id", "h").distinct().join(classes.select("h", "id"), "h")
+    shared = (own.groupBy("vec_id").agg(F.min("id").alias("root"), F.max("id").alias("last"))
+              .filter("root != last").select("vec_id", "root"))
+    edges = found.select("id", "root").unionByName(own.join(shared, "vec_id").select("id", "root"))
+    group = components(edges, "id", "root")
+    classes = materialize(classes.select("h", "id", "low", "m").join(links, "id", "left").join(group, "id", "left")
+                          .select("h", "low", F.coalesce("component", "id").alias("component"),
                                   (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")))
+    least = classes.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = classes.join(least, "component").select("h", "component_id", "n_links")
     return (rows.select("vec_id", "h").join(classes, "h", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -73,3 +73,12 @@ def test_estimates_are_unbiased_and_bands_hold_recall():
     for n in (10, 10**5, 10**9):
         width, bands = plan_bands(n, 0.95, 1e-4)
         assert (1 - (1 - math.acos(0.95) / math.pi) ** width) ** bands <= 1e-4
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    near = [math.cos(0.01), math.sin(0.01)]
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (9, near), (10, near), (2, [-1.0, 0.0]), (2, [0.0, -1.0]),
+            (1, [-1.0, 0.001]), (5, None)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(5, 2, 5), (5, 0, 5), (9, 2, 5), (10, 2, 5), (2, 1, 1), (2, 0, 1), (1, 1, 1), (5, 0, 5)])
