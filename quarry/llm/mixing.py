@@ -107,11 +107,12 @@ def take(rows: DataFrame, targets: DataFrame, seed: int = 0, bin_rows: int = 2_0
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", seed: int = 0) -> DataFrame:
+        source_col: str = "source", seed: int = 0, row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target,
-    copies, taken``."""
+    copies, taken``, and ``row``, the column ``row_col``, if that is given."""
+    row = [F.col(f"`{row_col}`").alias("row")] if row_col else []
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                         word_count(F.col(f"`{text_col}`")).alias("size"))
+                         word_count(F.col(f"`{text_col}`")).alias("size"), *row)
     rows = materialize(quality_weights(narrow, labels).withColumnRenamed("__weight", "weight"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     return (take(rows, targets, seed)

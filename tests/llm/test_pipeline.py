@@ -16,7 +16,7 @@ def test_stages_and_run(spark):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_empty_documents(spark):
@@ -24,3 +24,19 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF_SMALL)
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Copies go whatever their ids are, and so do leaks."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    rows = [(1, one), (None, one), (None, one), (1, one), (2, two), (2, item + " " + two + " x y z"), (None, item), (None, None)]
+    made = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], docs.schema)
+    kept = corpus_pipeline.drop_near_duplicates(spark, made, SF_SMALL).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "")[1:] for r in kept if r.text == one) == [(1, one)]
+    assert len(kept) == 5
+    left = corpus_pipeline.drop_leaks(spark, made, SF_SMALL).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+    mixed = corpus_pipeline.mix_sources(spark, made, SF_SMALL)
+    assert mixed.columns == docs.columns and mixed.count() <= 2 * len(rows)
