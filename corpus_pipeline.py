@@ -7,7 +7,8 @@ predecessor; ``run`` writes every stage's result as Parquet into the shared
 checkpoint folder and reads it back for the next one.  All stages but the
 last return the columns of ``documents``; the last adds the shard.  Empty
 inputs give empty results; rows with null texts are neither toxic nor
-duplicates nor leaks and are kept.
+duplicates nor leaks and are kept.  Stages that drop or repeat rows give each
+row a number of its own first, so null and repeated ids are no matter.
 """
 from __future__ import annotations
 
@@ -33,28 +34,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity(docs, model, docs.columns).filter("__score < 0.5").drop("__score")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, written once with a number of their own."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a Jaccard
-    similarity of 0.75 or more over five-word shingles.  Of rows that share
-    that id all are kept."""
-    groups = jaccard_components(docs)
-    gone = materialize(groups.filter("doc_id != component_id").select("doc_id").distinct())
-    return without_ids(docs, gone, "doc_id")
+    """One row of each group linked by a Jaccard similarity of 0.75 or more
+    over five-word shingles: that of the smallest id (null last)."""
+    rows = numbered(docs)
+    groups = materialize(jaccard_components(rows, "__row").withColumnRenamed("doc_id", "__row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    first = (rows.select("__row", order.alias("place")).join(groups, "__row")
+             .groupBy("component_id").agg(F.min("place").alias("first")))
+    gone = materialize(groups.join(first, "component_id").filter(F.col("__row") != F.col("first")["__row"])
+                       .select("__row"))
+    return without_ids(rows, gone, "__row").drop("__row")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, exact or edited."""
-    found = materialize(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return without_ids(docs, found, "doc_id")
+    rows = numbered(docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+    gone = materialize(found.select(F.col("doc_id").alias("__row")).distinct())
+    return without_ids(rows, gone, "__row").drop("__row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: complete epochs of its
     source are repeated rows."""
-    taken = (mix(docs, table(spark, sf_dir, "labels")).filter("copies > 0")
-             .groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")))
-    return (docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns))
+    rows = numbered(docs)
+    taken = mix(rows, table(spark, sf_dir, "labels"), row_col="__row").filter("copies > 0").select(
+        F.col("row").alias("__row"), F.col("copies").cast("int").alias("__copies"))
+    return (rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+            .select(docs.columns))
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
