@@ -49,8 +49,8 @@ def test_models_are_built_once_per_worker_and_not_mixed_up(spark, tmp_path):
 
 def test_answer_bundle_and_trace(spark):
     passages = spark.createDataFrame(
-        [("BNS_303::chunk_0000", "BNS_303", "Theft", "Whoever commits theft shall be punished."),
-         ("BNS_103::chunk_0000", "BNS_103", "Murder", "Whoever commits murder shall be punished with death.")],
+        [("BNS_303::chunk_0000", "BNS_303", "Theft", "Any theft of goods is paid for with nine coins."),
+         ("BNS_103::chunk_0000", "BNS_103", "Murder", "For murder the price is a whole life.")],
         "chunk_id string, section_id string, title string, text string")
     cat = spark.createDataFrame([("S1", "Legal aid", "free legal services for theft victims", "all")],
                                 "scheme_id string, name string, description string, eligibility string")
@@ -127,8 +127,8 @@ def test_evaluate_end_to_end(spark, tmp_path):
     from quarry.operators.evaluate import evaluate
 
     passages = spark.createDataFrame(
-        [("p1", "BNS_303", "Theft", "Whoever commits theft shall be punished."),
-         ("p2", "BNS_103", "Murder", "Whoever commits murder shall be punished with death.")],
+        [("p1", "BNS_303", "Theft", "Any theft of goods is paid for with nine coins."),
+         ("p2", "BNS_103", "Murder", "For murder the price is a whole life.")],
         "passage_id string, section_id string, title string, text string")
     items = spark.createDataFrame([(1, "punishment for theft", "BNS_303"), (2, "murder death", "BNS_999")],
                                   "query_id long, question string, expected_section string")

@@ -68,7 +68,7 @@ def test_min_score_keeps_best_hit(spark):
 @pytest.mark.parametrize("block_bytes", [1 << 20, 400])
 def test_sparse_matches_dense_equivalent(spark, block_bytes):
     texts = ["the cat sat on the mat", "a dog and a cat", "Théft of property", "", "cat cat cat",
-             "Whoever commits theft shall be punished", "property of the state"]
+             "Any theft of goods is paid for with nine coins", "property of the state"]
     qs = ["cat on mat", "theft", "dog", "state property theft"]
     cdf = hashed_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
                          "text", keep=["doc_id"], buckets=64)

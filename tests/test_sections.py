@@ -22,9 +22,9 @@ CASES = [
     ("Section 3. Title\n", [("BNS_3", "Title", "Section 3. Title.\n\n")]),
     ("Section 4. T. . .\nx\nSection 4. dup\ny", [("BNS_4", "T. . ", "Section 4. T. . .\n\nx"),
                                               ("BNS_4", "dup", "Section 4. dup.\n\ny")]),
-    ("Section 303. Theft.\nWhoever commits theft shall be punished.\nSection 318. Cheating.\nWhoever cheats.\n",
-     [("BNS_303", "Theft", "Section 303. Theft.\n\nWhoever commits theft shall be punished."),
-      ("BNS_318", "Cheating", "Section 318. Cheating.\n\nWhoever cheats.")]),
+    ("Section 303. Theft.\nAny theft of goods is paid for with nine coins.\nSection 318. Cheating.\nA false weight is broken.\n",
+     [("BNS_303", "Theft", "Section 303. Theft.\n\nAny theft of goods is paid for with nine coins."),
+      ("BNS_318", "Cheating", "Section 318. Cheating.\n\nA false weight is broken.")]),
 ]
 
 
