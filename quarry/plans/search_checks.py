@@ -19,7 +19,7 @@ from quarry.plans.corpus_checks import (DOC_CHUNKS_SQL, DOC_OVERLAP, DOC_TOKENS,
 from quarry.plans.ingest import build_vectors, corpus_chunks, load_vectors
 from quarry.plans.registry import register, table
 from quarry.session import materialize, scratch_path
-from quarry.sources.tables import manifest, read_csv_strings, write_csv
+from quarry.sources.tables import create_database, manifest, read_csv_strings, write_bucketed, write_csv
 
 KNN_K = 5
 KNN_MIN = 0.40
@@ -152,6 +152,26 @@ def retrieve_text_blocked(spark, sf):
                        F.col("hit_id").alias("chunk_id"), "doc_id", "score")
 
 
+@register("retrieve_bucketed", f"""
+SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score,
+       translate(substring(c.text, 1, 280), chr(10), ' ') AS snippet
+FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
+""")
+def retrieve_bucketed(spark, sf):
+    """Text retrieval over a stored passage table that is bucketed by the
+    passage's id: its rows stay in their buckets when hits meet them."""
+    base = scratch_path(spark, "bucketed")
+    create_database(spark, "quarry_store", f"{base}/warehouse")
+    name = f"quarry_store.passages_{base.rsplit('-', 1)[-1]}"
+    write_bucketed(passages(spark, sf), name, "chunk_id", int(spark.conf.get("spark.sql.shuffle.partitions")), f"{base}/table")
+    stored = spark.table(name)
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))
+    hits = retrieve(q, stored, TEXT_K, TEXT_MIN, question_id="item_id", question_text="question",
+                    passage_id="chunk_id", attach=["doc_id", "text"])
+    return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
+                       F.col("hit_id").alias("chunk_id"), "doc_id", "score", snippet("text").alias("snippet"))
+
+
 @register("retrieve_text_index", f"""
 SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, h.score FROM {TEXT_HITS_SQL} h
 """)

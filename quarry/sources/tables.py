@@ -78,6 +78,18 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet", path: str | None
     w.saveAsTable(name)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> None:
+    """Overwrite a table bucketed and sorted by ``key``: joins on that key
+    read its rows where they are, so only the other side is shuffled.  One
+    file per bucket, as rows are dealt by the bucket's hash before they are
+    written."""
+    w = (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
+         .bucketBy(buckets, key).sortBy(key))
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(name)
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -56,3 +56,26 @@ def test_a_shared_folder_is_asked_for_off_local(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Cluster)
+
+
+def test_bucketed_passages_are_not_shuffled(spark, tmp_path):
+    """Hits meet a bucketed passage table without an exchange on its side."""
+    from quarry.operators.retrieve import attach_passages
+    from quarry.sources import tables as TB
+
+    TB.create_database(spark, "quarry_buckets", str(tmp_path / "db"))
+    rows = [(f"p{i:04d}", f"s{i}", None, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "passage_id string, section_id string, title string, text string")
+    TB.write_bucketed(df, "quarry_buckets.passages", "passage_id", 8, str(tmp_path / "table"))
+    hits = spark.createDataFrame([(1, "p0003", 0.5), (2, "p0499", 0.7)], "query_id long, hit_id string, score double")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = attach_passages(hits, spark.table("quarry_buckets.passages"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(hit_id") == 1 and plan.count("Exchange") == 1
+        assert sorted((r.query_id, r.section_id, r.title) for r in out.collect()) == [(1, "s3", ""), (2, "s499", "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE IF EXISTS quarry_buckets.passages")
+        spark.sql("DROP DATABASE IF EXISTS quarry_buckets CASCADE")
