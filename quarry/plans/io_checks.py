@@ -232,9 +232,8 @@ def vector_update(spark, sf):
     out = None
     for name, chunks in (("documents", docs), ("both", docs.unionByName(items)), ("benchmark", items)):
         update_vectors(chunks, base)
-        encoded = spark.read.parquet(f"{base}/encoded").agg(F.count(F.lit(1)).alias("n_encoded"))
-        state = materialize(spark.read.json(f"{base}/manifest").select(F.lit(name).alias("build"), "ntotal")
-                            .join(encoded))
+        encoded = F.lit(spark.read.parquet(f"{base}/encoded").count()).cast("long").alias("n_encoded")
+        state = materialize(spark.read.json(f"{base}/manifest").select(F.lit(name).alias("build"), "ntotal", encoded))
         out = state if out is None else out.unionByName(state)
     return out
 
@@ -251,8 +250,7 @@ def generate_ledger(spark, sf):
     for _ in range(2):
         g = generate_once(q, callables.think_then_echo, ledger, "question", system_prompt="You answer from the context.",
                           group_rows=20)
-    calls = spark.read.parquet(ledger).agg(F.count(F.lit(1)).alias("calls"))
-    return g.select("item_id", "answer").join(F.broadcast(calls))  # one row
+    return g.select("item_id", "answer", F.lit(spark.read.parquet(ledger).count()).cast("long").alias("calls"))
 
 
 @register("stream_repeats", f"""

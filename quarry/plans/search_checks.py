@@ -90,8 +90,8 @@ def knn_dense(spark, sf):
 
 @register("knn_dense_blocked", _KNN_SQL)
 def knn_dense_blocked(spark, sf):
-    """The same search with small question blocks, each met by one scan."""
-    return dense_knn(spark, sf, block_bytes=1 << 19).withColumn("rank", F.col("rank").cast("long"))
+    """The same search with small question blocks, which meet the corpus in a grid."""
+    return dense_knn(spark, sf, block_bytes=1 << 16).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("retrieve_min_score", f"""
@@ -146,8 +146,8 @@ SELECT h.query_id AS item_id, h.rank, h.hit_id AS chunk_id, c.doc_id, h.score
 FROM {TEXT_HITS_SQL} h JOIN {DOC_CHUNKS_SQL} c ON c.chunk_id = h.hit_id
 """)
 def retrieve_text_blocked(spark, sf):
-    """Text retrieval with small question blocks, each met by one scan."""
-    hits = text_hits(spark, sf, attach=["doc_id"], block_bytes=1 << 16)
+    """Text retrieval with small question blocks, which meet the corpus in a grid."""
+    hits = text_hits(spark, sf, attach=["doc_id"], block_bytes=1 << 12)
     return hits.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"),
                        F.col("hit_id").alias("chunk_id"), "doc_id", "score")
 
@@ -205,7 +205,7 @@ def knn_sparse_all(spark, sf):
                                          keep=["chunk_id", "chunk_index"]))
     q = vectors.filter((F.col("chunk_index") == 0) & (F.size("buckets") > 0))
     hits = index_search(q, materialize(build_index(vectors, "chunk_id", 2048)), 3, question_id="chunk_id",
-                        block_bytes=1 << 18)
+                        block_bytes=1 << 15)
     return hits.select("query_id", "hit_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
