@@ -101,14 +101,48 @@ def op4_tokens(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), *load_sentencepiece(vocabulary_path()), ["doc_id"])
 
 
-@register("op2_embeddings")
+@register("op2_embeddings", """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95),
+    reach(id, other) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION
+        SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+    n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN component ON component.id = vec_id LEFT JOIN n ON n.a = vec_id""")
 def op2_embeddings(spark, sf_dir):
     from quarry.llm.embeddings import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@register("op7_jaccard")
+@register("op7_jaccard", r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    sets AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    links AS (
+        SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+                          FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+        JOIN size p1 ON p1.doc_id = a JOIN size p2 ON p2.doc_id = b WHERE 100 * c >= 75 * (p1.n + p2.n - c)),
+    reach(id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM documents JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = doc_id LEFT JOIN size USING (doc_id)""")
 def op7_jaccard(spark, sf_dir):
     from quarry.llm.jaccard import jaccard_components
 
