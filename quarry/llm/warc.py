@@ -76,15 +76,16 @@ def record_text(page_id: Column, url: Column, payload: Column, digest: Column,
 
 
 def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write a one-column table of record texts as an archive."""
+    """Write a one-column table of record texts as an archive, in one pass: a
+    task's rows of a size class go to another file after every so many rows."""
     records = records.toDF("value")
-    size = F.octet_length("value")
-    rank = F.greatest(F.lit(0), F.ceil(F.log(16.0, size / F.lit(float(SMALL))))).cast("int")
-    ranked = records.withColumn("rank", F.coalesce(rank, F.lit(0)))
-    for r in sorted({0} | {x["rank"] for x in ranked.select("rank").distinct().collect()}):
-        (ranked.filter(F.col("rank") == r).select("value").write.option("lineSep", END).option("compression", "gzip")
-         .option("maxRecordsPerFile", max(1, file_bytes // (SMALL * 16**r))).mode("errorifexists")
-         .text(f"{path.rstrip('/')}/size-{r}"))
+    size = F.coalesce(F.octet_length("value"), F.lit(0))
+    rank = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(size, F.lit(1)) / F.lit(float(SMALL))))).cast("int")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its task
+    rows = F.greatest(F.lit(1), F.floor(F.lit(float(file_bytes)) / (F.lit(float(SMALL)) * F.pow(F.lit(16.0), F.col("rank")))))
+    (records.withColumn("rank", rank).withColumn("part", F.floor(row / rows))
+     .write.option("lineSep", END).option("compression", "gzip").mode("errorifexists")
+     .partitionBy("rank", "part").text(path))
 
 
 def parse_records(data: bytes):
