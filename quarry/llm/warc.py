@@ -84,7 +84,8 @@ def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its task
     rows = F.greatest(F.lit(1), F.floor(F.lit(float(file_bytes)) / (F.lit(float(SMALL)) * F.pow(F.lit(16.0), F.col("rank")))))
     (records.withColumn("rank", rank).withColumn("part", F.floor(row / rows))
-     .write.option("lineSep", END).option("compression", "gzip").mode("errorifexists")
+     .write.option("lineSep", END).option("compression", "gzip")
+     .option("zlib.compress.level", "THREE").mode("errorifexists")
      .partitionBy("rank", "part").text(path))
 
 
