@@ -315,6 +315,23 @@ def catalogue_match(spark, sf):
                     "p_name", "p_brand")
 
 
+@register("retrieve_whole_corpus", f"""
+WITH q AS (SELECT p_partkey, p_name FROM part WHERE {S.strip("coalesce(p_name, '')")} <> '')
+SELECT h.p_partkey, CAST(h.rk AS BIGINT) AS rank, h.r_regionkey, h.score, region.r_name
+FROM {dense_top_k_sql(letters_sql('q', 'p_partkey', 'p_name'), letters_sql('region', 'r_regionkey', 'r_name'),
+                      'p_partkey', 'r_regionkey', 50)} h
+JOIN region ON region.r_regionkey = h.r_regionkey
+""")
+def retrieve_whole_corpus(spark, sf):
+    """More hits are asked for than the corpus has passages: every question
+    gets each passage once and no empty places."""
+    q = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("question"))
+    hits = retrieve(q, table(spark, sf, "region"), 50, -1.0, question_id="p_partkey", passage_id="r_regionkey",
+                    passage_text="r_name", attach=["r_name"], encoder_factory=callables.letter_encoder)
+    return hits.select(F.col("query_id").alias("p_partkey"), F.col("rank").cast("long").alias("rank"),
+                       F.col("hit_id").alias("r_regionkey"), "score", "r_name")
+
+
 # Lookups through normalised keys.
 def _norm_sql(x: str) -> str:
     return f"lower(coalesce(nullif(ltrim({S.strip(x)}, '0'), ''), '0'))"
@@ -338,6 +355,26 @@ def key_lookup(spark, sf):
         "query_id", "lookup_key", "c_custkey", "c_name", "c_nationkey")
 
 
+KEY_RECORDS = [(1, " 0007 "), (2, "12"), (3, "0"), (4, "7A"), (5, ""), (6, None), (7, "7")]
+_KEY_VALUES = ", ".join(f"({i}, {'NULL' if k is None else repr(k)})" for i, k in KEY_RECORDS)
+
+
+@register("record_lookup", f"""
+WITH l AS (SELECT CAST(i AS BIGINT) AS query_id, k AS lookup_key FROM (VALUES {_KEY_VALUES}) t(i, k)),
+o AS (SELECT {_norm_sql('CAST(o_custkey AS VARCHAR)')} AS k, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1)
+SELECT l.query_id, l.lookup_key, CAST(o.o_orderkey AS BIGINT) AS o_orderkey
+FROM l JOIN o ON {_norm_sql('l.lookup_key')} = o.k WHERE l.lookup_key IS NOT NULL
+""")
+def record_lookup(spark, sf):
+    """Records held by the caller, looked up in a table: each customer's
+    first order.  A null key finds nothing."""
+    keys = spark.createDataFrame(KEY_RECORDS, "query_id long, lookup_key string")
+    mapping = first_per_key(table(spark, sf, "orders").select("o_orderkey", "o_custkey"),
+                            F.col("o_custkey").cast("string"), order_col="o_orderkey")
+    return lookup(keys, "lookup_key", mapping).select(
+        "query_id", "lookup_key", F.col("o_orderkey").cast("long").alias("o_orderkey"))
+
+
 @register("clause_lookup_csv", """
 WITH m AS (SELECT * FROM (
   SELECT substr(o_orderdate_key, 1, 6) AS k, o_orderkey, row_number() OVER (
