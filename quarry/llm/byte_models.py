@@ -8,10 +8,12 @@ aggregates over n-gram tables.  Several classes are estimated side by side in
 one table; orders up to ``shared`` use the counts of all classes together.
 
 Scoring looks every position up at the highest order and falls back order by
-order.  The model is broadcast in parts of at most ``max_entries`` rows
-(16 bytes each): an n-gram lies in the part given by the two bytes before its
-last one, and so do all contexts and shorter n-grams its score needs, so each
-part scores its positions completely and the parts' sums add up.
+order.  The model is broadcast in parts, as many as make ``max_entries`` rows
+(16 bytes each) the mean: an n-gram lies in the part given by the two bytes
+before its last one, and so do all contexts and shorter n-grams its score
+needs, so each part scores its positions completely and the parts' sums add
+up.  This is no strict bound: a row may lie in two parts, as an n-gram and as
+a context, and the n-grams of one pair of bytes stay together.
 """
 from __future__ import annotations
 

@@ -87,3 +87,28 @@ def test_common_words_bound_every_alignment():
         own = [items.words[items.woff[i]:items.woff[i + 1]] for i in range(40)]
         assert n.tolist() == [(Counter(o.tolist()) & Counter(words.tolist())).total() for o in own]
         assert all(align(own, [words] * 40) <= 2 * n)
+
+
+def test_edited_copies_are_found_by_share_of_changed_words(spark):
+    """Against a plain alignment of every copy: whatever scores and keeps a
+    run of three words is found; the seeds lose only copies without one."""
+    rng = random.Random(9)
+    items, rows, score, run = {}, [], {}, {}
+    for d in range(750):
+        share = (0.1, 0.2, 0.3, 0.4, 0.5)[d % 5]
+        item = items.setdefault(d % 150, [f"i{d % 150}w{j}" for j in range(rng.randint(12, 40))])
+        changed = [rng.random() < share for _ in item]
+        copy = [f"d{d}x{j}" if c else w for j, (w, c) in enumerate(zip(item, changed))]
+        around = [f"d{d}y{j}" for j in range(30)]
+        rows.append((d, " ".join(around[:15] + copy + around[15:])))
+        score[d] = smith_waterman(item, copy) / (2 * len(item))
+        run[d] = "000" in "".join(str(int(c)) for c in changed)
+    got = {r.doc_id: (r.item_id, r.score) for r in leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id int, text string")).collect()}
+    scoring = {d for d, s in score.items() if s >= 0.5}
+    assert {d for d in scoring if run[d]} == set(got)
+    assert all(got[d] == (d % 150, score[d]) for d in got)
+    recall = [(sum(d in got for d in of), len(of)) for k in range(5) for of in [[d for d in scoring if d % 5 == k]]]
+    print("found of scoring copies, by share of changed words:", recall)
+    assert recall[0][0] == recall[0][1] and sum(f for f, _ in recall) >= 0.99 * sum(n for _, n in recall)
