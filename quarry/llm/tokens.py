@@ -13,7 +13,8 @@ costs the lowest score less 10; it counts one token a byte with byte
 fallback, else one token for a run of such characters.
 
 Null and empty texts have 0 tokens and score 0.  Repeated rows get equal
-counts.  An empty table gives an empty table.  A segment of any length is
+counts.  Other columns may have the results' names, only kept ones may not;
+kept names hold no dots.  An empty table gives an empty table.  A segment of any length is
 counted whole; long ones are walked byte by byte.
 """
 from __future__ import annotations
@@ -267,7 +268,7 @@ def token_counts(docs: DataFrame, pieces: Sequence[str], scores: Sequence[float]
         row, start, end = segments(buf, off)
         score, n = _memory(key, data)(buf, start, end)
         rows = len(off) - 1
-        return [np.bincount(row, n, rows).astype(np.int64), np.bincount(row, score, rows)]
+        return [np.bincount(row, n, rows).astype(np.int64), np.bincount(row, score, rows).astype(np.float64)]
 
     return per_text(docs, text_col, keep, [StructField("n_tokens", LongType()),
                                            StructField("score", DoubleType())], count)

@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quarry.llm.queries import QUERIES
+from quarry.session import materialize
 
 from tests.conftest import SF_SMALL
 
@@ -40,3 +43,18 @@ def test_null_and_repeated_ids(spark):
     assert sorted(str((r.doc_id, r.text)) for r in left) == sorted(str(r) for r in rows if item not in (r[1] or ""))
     mixed = corpus_pipeline.mix_sources(spark, made, SF_SMALL)
     assert mixed.columns == docs.columns and mixed.count() <= 2 * len(rows)
+
+
+def test_extra_columns_with_names_of_the_stages_own(spark):
+    """Columns that are called like columns a stage makes stay as they are,
+    and do not change which rows stay."""
+    plain = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    names = ["component_id", "score", "copies", "row", "item_id", "size", "target", "toxic", "quality", "place",
+             "first", "start", "stop", "n", "id", "key", "slot", "words", "value"]
+    wide = plain.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = (materialize(stage(spark, d, SF_SMALL)) for d in (plain, wide))
+        own = [c for c in plain.columns]
+        assert sorted(map(str, wide.select(own).collect())) == sorted(map(str, plain.collect())), name
+        for c in names:
+            assert wide.filter(~F.col(c).eqNullSafe(F.concat(F.lit(f"{c} of "), "doc_id"))).isEmpty(), (name, c)

@@ -41,3 +41,13 @@ def test_ties_keep_the_longest_last_piece(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts(df, pieces, scores, False, ["doc_id"]).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert token_counts(df.limit(0), pieces, scores, False, ["doc_id"]).count() == 0
+
+
+def test_kept_columns_stay_when_others_clash(spark):
+    pieces, scores, _ = load_sentencepiece(vocabulary_path())
+    df = spark.createDataFrame([(1, "the tea", "a", 2.0, "x"), (1, "the tea", "a", 2.0, "x"), (None, None, None, None, None)],
+                               "doc_id long, text string, n_tokens string, score double, odd_name string")
+    got = token_counts(df, pieces, scores, True, ["doc_id", "odd_name"])
+    assert got.columns == ["doc_id", "odd_name", "n_tokens", "score"]
+    rows = got.collect()
+    assert rows[0] == rows[1] and rows[0].n_tokens > 0 and rows[0]["odd_name"] == "x" and tuple(rows[2]) == (None, None, 0, 0)
