@@ -28,6 +28,7 @@ def bucket_of(token: str, buckets: int) -> int:
 # Runs of anything but letters, marks and digits separate tokens (the
 # complement of the token pattern).
 _SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
+_SLICE_BYTES = 1 << 20  # texts that are encoded at once: their tokens take many times their bytes
 _BUCKET_MEMO: dict = {}
 
 
@@ -76,14 +77,27 @@ def term_vectors(texts: pa.Array, buckets: int):
             pa.ListArray.from_arrays(offsets, pa.array(out_w, pa.float64())))
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int):
+    """A batch cut into slices whose texts have about ``limit`` bytes, one row
+    at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Sparse unit vectors ``buckets array<int>, weights array<double>``.
 
     One ``mapInArrow`` pass over Arrow batches of (keep..., text): tokens are
     found and hashed per batch, equal ids counted and L2-divided with numpy
-    over the whole batch.  A narrow transformation: no shuffle, whatever the
-    size of a document; texts never leave their partition."""
+    over slices of bounded bytes of the batch.  A narrow transformation: no
+    shuffle, whatever the size of a document; texts never leave their
+    partition."""
     keep = [c for c in (keep if keep is not None else df.columns)
             if c not in ("buckets", "weights", "_tb")]
     src = df.select(*keep, F.col(text_col).cast("string").alias("_tb"))
@@ -92,7 +106,7 @@ def hashed_vectors(df: DataFrame, text_col: str = "text", keep=None,
     schema = (schema + ", " if schema else "") + "buckets array<int>, weights array<double>"
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in text_slices(batch, batch.schema.get_field_index("_tb"), _SLICE_BYTES)):
             i = b.schema.get_field_index("_tb")
             ids, weights = term_vectors(b.column(i), buckets)
             cols = [b.column(j) for j in range(b.num_columns) if j != i]
