@@ -25,9 +25,12 @@ from quarry.operators.sections import split_sections
 
 def file_stream(spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
                 max_files: int | None = None) -> DataFrame:
+    """Parquet files arriving in ``directory``.  ``glob`` names or matches the
+    files in it that count, or folders whose files count."""
     r = spark.readStream.schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
+    if glob:  # a pattern in any case: the path of a stream is a folder or a pattern
+        plain = not any(c in glob for c in "*?[{")
+        directory = f"{directory.rstrip('/')}/{'{' + glob + '}' if plain else glob}"
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(directory)
