@@ -5,7 +5,9 @@ every cell of the grid is a task's work: it holds one left group (which the
 caller keeps bounded by the number of rows) and streams one right group past
 it.  The left side is copied ``columns`` times and the right side ``rows``
 times; no side passes the driver, none is broadcast, and no pair of rows is
-ever a row.  A lost task is one cell, done again from the shuffle.
+ever a row.  Every cell is a partition of its own (a hash of the cells would
+put several into one task and none into others).  A lost task is one cell,
+done again from the shuffle.
 """
 from __future__ import annotations
 
@@ -38,7 +40,7 @@ def grid(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column,
 
     both = dealt(0, left, left_key, rows, columns).unionByName(
         dealt(1, right, right_key, columns, rows), allowMissingColumns=True)
-    return both.repartition(rows * columns, "__cell").sortWithinPartitions("__cell", "__side")
+    return both.repartitionById(rows * columns, F.col("__cell")).sortWithinPartitions("__cell", "__side")
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import index, search as module
 from quarry.operators.embed import hashed_vectors, text_slices
@@ -102,3 +103,13 @@ def test_texts_are_encoded_in_slices_of_bounded_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 10, "c" * 50, "", "d" * 9])], names=["i", "t"])
     got = [s.column(0).to_pylist() for s in text_slices(batch, 1, 20)]
     assert got == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_every_cell_of_a_grid_is_a_task(spark):
+    """No task holds two cells, and none is without one."""
+    left = spark.range(300).select(F.col("id").alias("q0"))
+    right = spark.range(900).select(F.col("id").alias("c0"))
+    for shape in ((1, 24), (5, 7)):
+        met = module.grid(left, right, F.col("q0"), F.col("c0"), *shape)
+        tasks = met.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("__cell").alias("n")).collect()
+        assert len(tasks) == shape[0] * shape[1] and {t.n for t in tasks} == {1}
