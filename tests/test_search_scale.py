@@ -113,3 +113,26 @@ def test_every_cell_of_a_grid_is_a_task(spark):
         met = module.grid(left, right, F.col("q0"), F.col("c0"), *shape)
         tasks = met.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("__cell").alias("n")).collect()
         assert len(tasks) == shape[0] * shape[1] and {t.n for t in tasks} == {1}
+
+
+def test_passages_of_a_segment_are_scored_in_bounded_runs(spark, monkeypatch):
+    """More than a few questions are scored together, some passages at a time."""
+    p = hashed_vectors(spark.createDataFrame([(f"p{i:04d}", t) for i, t in enumerate(texts(900, 7))],
+                                             "passage_id string, text string"), "text", keep=["passage_id"])
+    q = hashed_vectors(spark.createDataFrame(list(enumerate(texts(index.FEW + 10, 8) + ["zebra"])),
+                                             "query_id long, text string"), "text", keep=["query_id"])
+    batches = build_index(p.coalesce(1), "passage_id").toArrow().to_batches()
+    prep = module._prepared(q.select("query_id", "buckets", "weights").toArrow(), "sparse")
+    seen = []
+
+    def noted(self, n, mine, *args, real=index.Block.score):
+        seen.append(n * max(self.n, len(mine)))
+        return real(self, n, mine, *args)
+
+    monkeypatch.setattr(index.Block, "score", noted)
+    monkeypatch.setattr(index, "_RUN_CELLS", 30_000)
+    got = pa.Table.from_batches(index.best_hits(prep, batches, 3)).to_pylist()
+    assert len(seen) > 5 and max(seen) <= 30_000
+    want = {(r.query_id, r.hit_id, round(r.score, 6))
+            for r in search(q, p, 3, kind="sparse", corpus_id="passage_id").collect()}
+    assert {(r["query_id"], r["hit_id"], round(r["score"], 6)) for r in got} == want
