@@ -184,11 +184,19 @@ class Best:
     def offer(self, cids: np.ndarray, scores: np.ndarray, error: float = 0.0, exact=None) -> None:
         """``scores`` may differ by ``error`` from the true ones; those of
         chosen (passages, questions), or of all, are then given by ``exact``."""
-        near = np.flatnonzero(scores >= (self.least - (_ROUND + error)).astype(scores.dtype))
+        bar = (self.least - (_ROUND + error)).astype(scores.dtype)
+        some = np.flatnonzero(np.fmax.reduce(scores, axis=0, initial=-np.inf) >= bar)  # questions that may find a hit
+        tile = scores
+        if 4 * len(some) < len(bar):
+            tile, bar = scores[:, some], bar[some]
+        else:
+            some = self.place
+        near = np.flatnonzero(tile >= bar)
         if len(near) > 2 * self.k * len(self.ids):  # nothing is known yet, or many scores are equal
             found = local_top_k(self.place, cids, scores if exact is None else exact(None, None), self.k)
         elif len(near):
-            ri, qj = np.divmod(near, len(self.ids))
+            ri, qj = np.divmod(near, len(some))
+            qj = some[qj]
             key = np.round(scores[ri, qj] if exact is None else exact(ri, qj), 6)
             use = (key >= self.least[qj]) & np.isfinite(key)
             found = pd.DataFrame({"query_id": qj[use], "hit_id": cids[ri[use]], "score": key[use]})

@@ -136,3 +136,18 @@ def test_passages_of_a_segment_are_scored_in_bounded_runs(spark, monkeypatch):
     want = {(r.query_id, r.hit_id, round(r.score, 6))
             for r in search(q, p, 3, kind="sparse", corpus_id="passage_id").collect()}
     assert {(r["query_id"], r["hit_id"], round(r["score"], 6)) for r in got} == want
+
+
+def test_questions_without_a_near_passage_are_left_out_of_a_tile():
+    """Ties at the bar, scores below it and NaN, offered tile by tile."""
+    rng = np.random.default_rng(9)
+    s = np.round(rng.normal(size=(600, 40)), 1)
+    s[300:, 5:] -= 3.0
+    s[400, 2] = np.nan
+    best = module.Best(np.arange(40), 4)
+    for lo in range(0, 600, 60):
+        best.offer(np.arange(lo, lo + 60), s[lo:lo + 60])
+    got = best.hits().sort_values(["query_id", "score", "hit_id"], ascending=[True, False, True])
+    s[400, 2] = -np.inf
+    for j in range(40):
+        assert got[got.query_id == j].hit_id.tolist() == np.lexsort((np.arange(600), -s[:, j]))[:4].tolist()
