@@ -26,11 +26,15 @@ every two sets that meet often enough are connected or verified, so no link is
 lost for the components, and a large group of copies never becomes all its
 pairs.
 
-Every set has a sketch of ``SKETCH`` bits, the parities of its shingles by
-bit.  Where two sketches differ the sets differ, so ``(|x| + |y| - differing
-bits) / 2`` bounds the overlap from above: pairs that it rules out are neither
-verified nor, in the last round, returned by the task that met them, and a
-crowd of near copies that do not link leaves its task as few pairs.
+Every set has a sketch, the parities of its shingles by bit, of the first
+power of two bits that is at least its size and ``SKETCH``; a longer sketch
+folds to a shorter one.  Where two sketches differ the sets differ, so ``(|x| +
+|y| - differing bits) / 2`` bounds the overlap from above: pairs that it rules
+out are not verified.  A sketch of a fixed size says nothing of sets much
+larger than it, and then all that meet by a shared passage would be sent to be
+compared.  In the last round sketches folded to ``SKETCH`` bits rule out pairs
+in the task that met them, and a crowd of near copies that do not link leaves
+its task as few pairs.
 
 Verification sends each set to the smaller end of its pairs; an end that many
 sets are sent to is copied for every ``GUESTS`` of them.  A bounded Bloom
@@ -50,7 +54,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 
@@ -58,7 +62,7 @@ from quarry.llm.batches import per_text, slices, text_buffer
 from quarry.llm.components import components
 from quarry.llm.ids import id_filter, passes, spot
 from quarry.llm.words import Lookup, mix, text_shingles
-from quarry.session import materialize
+from quarry.session import materialize, scratch_tables
 
 FREQUENT = 1 << 17  # most frequent shingles that go last in every prefix
 FREQUENT_FROM = 8  # texts that must share a shingle for that
@@ -66,7 +70,7 @@ LIGHT_LIMIT = 16  # sizes that are ever enumerated
 GROUP_POSTINGS = 500_000  # postings that a group of lists should have
 TOKEN_BYTES = 5  # bytes of a shingle's hash kept for verification
 TOGETHER = 5  # lists that linked sets share at least
-SKETCH = 512  # bits of a set's sketch
+SKETCH = 512  # bits of the smallest sketch of a set
 GUESTS = 128  # sets that are compared with one copy of a set, about
 HUBS = 3  # members of a list's largest component that the others meet first
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -112,12 +116,31 @@ def set_key(tokens: np.ndarray) -> np.int64:
     return mix(tokens ^ _SALT).sum(dtype=np.uint64).astype(np.int64)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """The parity of the number of shingles at each of ``SKETCH`` bits."""
-    odd = np.bincount((tokens >> np.uint64(7)) % np.uint64(SKETCH), minlength=SKETCH) & 1
+def sketch_bits(n: int) -> int:
+    return max(SKETCH, 1 << max(0, n - 1).bit_length())
+
+
+def sketch(tokens: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """The parity of the number of shingles at each of ``bits`` bits."""
+    odd = np.bincount((tokens >> np.uint64(7)) % np.uint64(bits), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(wide: Column, size: Column) -> Column:
+    """A sketch as one of ``size`` longs, or as it is if it is no longer."""
+    words = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(
+        F.sequence(F.lit(0), (F.size(wide) / size).cast("int") - 1), F.lit(0).cast("long"),
+        lambda total, j: total.bitwiseXOR(F.get(wide, i + j * size))))
+    return F.when(F.size(wide) <= size, wide).otherwise(words)
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded."""
+    return F.aggregate(F.zip_with(folded(x, F.size(y)), folded(y, F.size(x)),
+                                  lambda a, b: F.bit_count(a.bitwiseXOR(b))),
+                       F.lit(0), lambda total, n: total + n)
+
+
 def may_link(limit: Threshold, nx, ny, differing):
     """Whether sketches that differ in so many bits allow the overlap."""
     return nx + ny - differing >= 2 * limit.overlap(nx, ny)
@@ -130,9 +153,9 @@ def describe(docs: DataFrame, words: int, limit: Threshold, id_col: str, text_co
         sets = row_sets(buf, off, words)
         heads = [(t[:limit.prefix(len(t))] >> np.uint64(32)).astype(np.uint32).tobytes() if len(t) else b""
                  for t in sets]
-        words_ = SKETCH // 64
-        sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * words_),
-                                            pa.array(np.concatenate([sketch(t) for t in sets])))
+        sketched = [sketch(t, sketch_bits(len(t))) for t in sets]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in sketched])]).astype(np.int32)
+        sketches = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sketched)))
         return [np.array([len(t) for t in sets], np.int32),
                 np.array([set_key(t) for t in sets], np.int64), sketches, pa.array(heads, pa.binary())]
 
@@ -519,15 +542,30 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, limit: Threshold, id_c
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                        num: int = 3, den: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row (ids are longs)."""
+    with scratch_tables(docs.sparkSession) as tables:
+        rows, groups = _components(docs, id_col, text_col, words, num, den)
+        tables.keep(rows, groups)
+    return (rows.select(F.col("id").alias("doc_id"), "n", "key").join(groups, ["key", "n"], "left")
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
+                den: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``id, n, key`` of every row and ``key, n, component`` of
+    every class."""
     limit = Threshold(num, den)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = materialize(describe(docs, words, limit, "doc_id", "text"))
-    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("key", "n")
-                          .agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")))
-    total = rows.agg(F.sum(F.octet_length("head") / 4)).first()[0] or 0
-    parts = max(1, math.ceil(total / GROUP_POSTINGS),
-                int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    often, length = frequent(rows, parts)
+    with scratch_tables(docs.sparkSession) as tables:  # the prefixes are only counted
+        full = materialize(describe(docs, words, limit, "doc_id", "text"))
+        rows = materialize(full.select("id", "n", "key"))
+        classes = materialize(full.filter("n > 0 and id is not null").groupBy("key", "n")
+                              .agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")))
+        total = full.agg(F.sum(F.octet_length("head") / 4)).first()[0] or 0
+        parts = max(1, math.ceil(total / GROUP_POSTINGS),
+                    int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        often, length = frequent(full, parts)
+        tables.keep(rows, classes)
     light = boundary(limit, length)
 
     found = lists(postings(docs, words, limit, light, often, parts, "text"), limit, light)
@@ -540,13 +578,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def named(pairs: DataFrame, proved: bool = False) -> DataFrame:
         for side, name in (("x", "a"), ("y", "b")):
             pairs = pairs.join(classes.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"),
-                                              F.col("first").alias(name), F.col("sketch").alias(f"s{side}")),
+                                              F.col("first").alias(name),
+                                              *([] if proved else [F.col("sketch").alias(f"s{side}")])),
                                [side, f"n{side}"])
         if not proved:
-            apart = F.aggregate(F.zip_with("sx", "sy", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-                                F.lit(0), lambda total, n: total + n)
             need = F.ceil((F.col("nx") + F.col("ny")) * F.lit(num) / F.lit(num + den))
-            pairs = pairs.filter(F.col("nx") + F.col("ny") - apart >= 2 * need)
+            pairs = pairs.filter(F.col("nx") + F.col("ny") - differing(F.col("sx"), F.col("sy")) >= 2 * need)
         turn = F.col("a") > F.col("b")
         return pairs.filter("a != b").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
@@ -555,7 +592,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def grouped(edges: DataFrame) -> DataFrame:
         return materialize(classes.join(components(edges, "a", "b"), F.col("first") == F.col("id"), "left")
-                           .select("key", "n", F.coalesce("component", "first").alias("component"), "sketch"))
+                           .select("key", "n", F.coalesce("component", "first").alias("component")))
 
     star = found.filter("mark is null").select(
         F.col("keys")[0].alias("x"), F.col("sizes")[0].alias("nx"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
@@ -582,11 +619,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met = materialize(met.unionByName(fresh))
         groups = grouped(links)
         turn += 1
-    mixed = mixed_lists(table, groups, ["sketch"])
+    small = classes.select("key", "n", folded(F.col("sketch"), F.lit(SKETCH // 64)).alias("sketch"))
+    mixed = mixed_lists(table, groups.join(small, ["key", "n"]), ["sketch"])
     last = often_enough(across(mixed, limit, light).unionByName(twos), limit)
     last = materialize(named(last).join(met, ["a", "b", "x", "y"], "left_anti"))
     if not last.isEmpty():
         groups = grouped(links.unionByName(verify(docs, last, words, limit, "doc_id", "text")))
-    return (rows.select(F.col("id").alias("doc_id"), "n", "key").join(groups.drop("sketch"), ["key", "n"], "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    return rows, groups

@@ -135,3 +135,43 @@ def test_sketches_never_rule_out_a_link():
         apart = int(np.bitwise_count((jaccard.sketch(x) ^ jaccard.sketch(y)).view(np.uint64)).sum())
         if len(np.intersect1d(x, y)) >= limit.overlap(len(x), len(y)):
             assert jaccard.may_link(limit, len(x), len(y), apart)
+
+
+def test_folded_sketches_never_rule_out_a_link(spark):
+    import numpy as np
+
+    rng, limit = np.random.default_rng(5), Threshold()
+    rows, want = [], []
+    for n in (3, 500, 512, 513, 1000, 1024, 1100, 3000, 5000):
+        for share in (0.0, 0.1, 0.14, 0.5, 1.0):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[int(n * share):], rng.integers(0, 2**63, int(n * share * 1.2), dtype=np.uint64)]))
+            rows.append((len(rows), *[jaccard.sketch(t, jaccard.sketch_bits(len(t))).tolist() for t in (x, y)]))
+            want.append((len(x), len(y), len(np.intersect1d(x, y))))
+    df = spark.createDataFrame(rows, "i int, x array<long>, y array<long>")
+    got = {r.i: r.d for r in df.select("i", jaccard.differing(F.col("x"), F.col("y")).alias("d")).collect()}
+    for i, (nx, ny, both) in enumerate(want):
+        assert got[i] <= nx + ny - 2 * both
+        if both >= limit.overlap(nx, ny):
+            assert jaccard.may_link(limit, nx, ny, got[i])
+        elif both < (nx + ny) / 4 and nx >= 500:
+            assert not jaccard.may_link(limit, nx, ny, got[i])
+
+
+def test_long_texts_with_a_shared_passage_are_not_compared(spark, monkeypatch):
+    """They meet in lists, but their sketches rule them out; long copies link."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(500)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(1100 + i)])) for i in range(12)]
+    rows += [(100 + i, t + " x y z") for i, t in rows[:3]]
+    sent = []
+    verify = jaccard.verify
+
+    def counted(docs, pairs, *rest):
+        sent.append(pairs.count())
+        return verify(docs, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verify", counted)
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows)
+    assert sum(sent) == 3
