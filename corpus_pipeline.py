@@ -22,7 +22,7 @@ from quarry.llm.mixing import mix
 from quarry.llm.queries import table
 from quarry.llm.sharding import plain_layout, shard
 from quarry.llm.toxicity import toxicity, train
-from quarry.session import ensure_checkpoint_dir, materialize, ship_package
+from quarry.session import ensure_checkpoint_dir, materialize, scratch_tables, ship_package
 
 SHARDS = 8
 
@@ -30,33 +30,40 @@ SHARDS = 8
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the models are trained on the labelled
     documents among ``docs``."""
-    model = train(docs, table(spark, sf_dir, "labels"))
+    with scratch_tables(spark) as tables:
+        model = train(docs, table(spark, sf_dir, "labels"))
+        if model.grams is not None:
+            tables.keep(model.grams)
     return toxicity(docs, model, docs.columns).filter("__score < 0.5").drop("__score")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows, written once with a number of their own."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), {"compression": "zstd"})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by a Jaccard similarity of 0.75 or more
     over five-word shingles: that of the smallest id (null last)."""
-    rows = numbered(docs)
-    groups = materialize(jaccard_components(rows, "__row").withColumnRenamed("doc_id", "__row"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
-    first = (rows.select("__row", order.alias("place")).join(groups, "__row")
-             .groupBy("component_id").agg(F.min("place").alias("first")))
-    gone = materialize(groups.join(first, "component_id").filter(F.col("__row") != F.col("first")["__row"])
-                       .select("__row"))
+    with scratch_tables(spark) as tables:
+        rows = numbered(docs)
+        groups = materialize(jaccard_components(rows, "__row").withColumnRenamed("doc_id", "__row"))
+        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+        first = (rows.select("__row", order.alias("place")).join(groups, "__row")
+                 .groupBy("component_id").agg(F.min("place").alias("first")))
+        gone = materialize(groups.join(first, "component_id").filter(F.col("__row") != F.col("first")["__row"])
+                           .select("__row"))
+        tables.keep(rows, gone)
     return without_ids(rows, gone, "__row").drop("__row")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, exact or edited."""
-    rows = numbered(docs)
-    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
-    gone = materialize(found.select(F.col("doc_id").alias("__row")).distinct())
+    with scratch_tables(spark) as tables:
+        rows = numbered(docs)
+        found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+        gone = materialize(found.select(F.col("doc_id").alias("__row")).distinct())
+        tables.keep(rows, gone)
     return without_ids(rows, gone, "__row").drop("__row")
 
 
@@ -93,5 +100,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch_tables(spark) as tables:
+            docs = materialize(stage(spark, docs, sf_dir))
+            tables.keep(docs)
     return docs

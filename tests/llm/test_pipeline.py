@@ -1,8 +1,11 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm.queries import QUERIES
-from quarry.session import materialize
+from quarry.session import ensure_checkpoint_dir, materialize, scratch_tables
 
 from tests.conftest import SF_SMALL
 
@@ -58,3 +61,36 @@ def test_extra_columns_with_names_of_the_stages_own(spark):
         assert sorted(map(str, wide.select(own).collect())) == sorted(map(str, plain.collect())), name
         for c in names:
             assert wide.filter(~F.col(c).eqNullSafe(F.concat(F.lit(f"{c} of "), "doc_id"))).isEmpty(), (name, c)
+
+
+def scratch(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return {f for f in os.listdir(folder) if f.startswith("quarry-table-")}
+
+
+def test_stages_leave_only_the_tables_that_their_result_reads(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate([one, one, two])],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    before = scratch(spark)
+    made = corpus_pipeline.drop_near_duplicates(spark, docs, SF_SMALL)
+    assert len(scratch(spark) - before) == 2
+    assert sorted(r.doc_id for r in made.collect()) == [0, 2]
+
+
+def test_scratch_tables_may_be_nested(spark):
+    before = scratch(spark)
+    with scratch_tables(spark) as outer:
+        with scratch_tables(spark) as inner:
+            one, two = materialize(spark.range(3)), materialize(spark.range(4))
+            inner.keep(one, two)
+            materialize(spark.range(5))
+            with pytest.raises(ValueError):
+                inner.keep(one.filter("id > 0"))
+        assert len(scratch(spark) - before) == 2
+        outer.keep(two)
+    assert two.count() == 4 and len(scratch(spark) - before) == 1
+    with pytest.raises(ZeroDivisionError), scratch_tables(spark):
+        materialize(spark.range(2))
+        1 / 0
+    assert len(scratch(spark) - before) == 1
