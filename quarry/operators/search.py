@@ -185,6 +185,7 @@ class Best:
         """``scores`` may differ by ``error`` from the true ones; those of
         chosen (passages, questions), or of all, are then given by ``exact``."""
         bar = (self.least - (_ROUND + error)).astype(scores.dtype)
+        bar = np.maximum(bar, np.finfo(scores.dtype).min)  # pairs that are masked never pass
         some = np.flatnonzero(np.fmax.reduce(scores, axis=0, initial=-np.inf) >= bar)  # questions that may find a hit
         tile = scores
         if 4 * len(some) < len(bar):
